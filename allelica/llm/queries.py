@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from allelica.llm import quality_rules, shard_table, source_mix
+from allelica.llm import decontaminate, quality_rules, shard_table, simhash_dedup, source_mix
 from allelica.llm.common import table
 
 
@@ -10,16 +10,24 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.cluster(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_shard_table(spark, sf_dir):
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op4_source_mix, op10_shard_table)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op4_source_mix, op5_decontaminate, op10_shard_table)}
 
 
 def oracle_sql():
