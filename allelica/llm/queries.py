@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from allelica.llm import decontaminate, quality_rules, shard_table, simhash_dedup, source_mix
+from allelica.llm import decontaminate, quality_rules, shard_table, simhash_dedup, source_mix, token_codec
 from allelica.llm.common import table
 
 
@@ -22,12 +22,18 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_codec(spark, sf_dir):
+    import public_tokenizers
+
+    return token_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_shard_table(spark, sf_dir):
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op4_source_mix, op5_decontaminate, op10_shard_table)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op4_source_mix, op5_decontaminate, op9_token_codec, op10_shard_table)}
 
 
 def oracle_sql():

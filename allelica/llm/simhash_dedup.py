@@ -116,6 +116,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A component without any id keeps one of its rows.
     """
-    firsts = cluster(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    d, f = docs.dropDuplicates(["doc_id"]).alias("d"), firsts.alias("f")
-    return d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
+    firsts = written(cluster(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    repeated = not firsts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    d, f = docs.alias("d"), firsts.distinct().alias("f")
+    kept = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept

@@ -24,14 +24,22 @@ MAX_BROADCAST_SOURCES = 20_000
 WIDTH = 3  # hexadecimal digits of a level: 4096 buckets
 
 
+def digits_of(key: Column) -> Column:
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return F.substring(digest, 1, WIDTH * LEVELS)
+
+
+def passes(digits: Column, whole: Column, cut: Column, most: Column) -> Column:
+    return F.least(whole + (digits < cut).cast("int"), most)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and the hash's digits. A null text has size 0; a null id hashes as ''."""
-    digits = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         "doc_id",
         "source",
         F.size(words_of(F.col("text"))).cast("bigint").alias("size"),
-        F.substring(digits, 1, WIDTH * LEVELS).alias("digits"),
+        digits_of(F.col("doc_id")).alias("digits"),
     )
 
 
@@ -109,6 +117,21 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return open_.select("source", "whole", F.when(over, F.concat("prefix", F.lit("~"))).otherwise(F.col("prefix")).alias("cut"))
 
 
+def cut_table(sized: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
+    """source, source_size, target, whole, cut, most: one row per source.
+
+    It is broadcast while there are few sources; otherwise joins shuffle and skew is split at run time.
+    """
+    targets = written(source_targets(sized, weights, total, most))
+    cuts = written(thresholds(sized, targets))
+    t, c = targets.alias("t"), cuts.alias("c")
+    plan = t.join(c, _same(F.col("t.source"), F.col("c.source"))).select(
+        "t.source", "t.source_size", "t.target", "c.whole", "c.cut", F.lit(int(most)).alias("most")
+    )
+    few = targets.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
+    return F.broadcast(plan) if few else plan
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, size, source_size, target, taken, passes, source: one row for each row of ``docs``.
 
@@ -117,18 +140,23 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5, most: flo
     all-empty source has target 0.
     """
     sized = written(sizes(docs))
-    targets = written(source_targets(sized, weights, total, most))
-    cuts = written(thresholds(sized, targets))
-    t, c = targets.alias("t"), cuts.alias("c")
-    # One row per source: broadcast while there are few, else both joins shuffle and skew is split at run time.
-    few = targets.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda df: df)
-    plan = t.join(c, _same(F.col("t.source"), F.col("c.source"))).select("t.source", "t.source_size", "t.target", "c.whole", "c.cut")
-    s, p = sized.alias("s"), plan.alias("p")
-    passes = F.col("p.whole") + (F.col("s.digits") < F.col("p.cut")).cast("int")
-    passes = F.least(passes, F.lit(int(most)))
-    return s.join(small(p), _same(F.col("s.source"), F.col("p.source"))).select(
+    s, p = sized.alias("s"), cut_table(sized, weights, total, most).alias("p")
+    n = passes(F.col("s.digits"), F.col("p.whole"), F.col("p.cut"), F.col("p.most"))
+    return s.join(p, _same(F.col("s.source"), F.col("p.source"))).select(
         "s.doc_id", "s.size", "p.source_size", "p.target",
-        (F.col("s.size") * passes).cast("bigint").alias("taken"),
-        passes.cast("int").alias("passes"), "s.source",
+        (F.col("s.size") * n).cast("bigint").alias("taken"), n.cast("int").alias("passes"), "s.source",
     )
+
+
+def repeat(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; columns as before.
+
+    The passes follow from a row's source and hash alone, so no row is joined to another table but the one
+    of sources.
+    """
+    plan = cut_table(written(sizes(docs)), **parameters)
+    d, p = docs.alias("d"), plan.alias("p")
+    rows = d.join(p, _same(F.col("d.source"), F.col("p.source")))
+    own = F.sequence(F.lit(1), passes(digits_of(F.col("d.doc_id")), F.col("p.whole"), F.col("p.cut"), F.col("p.most")))
+    some = passes(digits_of(F.col("d.doc_id")), F.col("p.whole"), F.col("p.cut"), F.col("p.most")) > 0
+    return rows.where(some).select("d.*", F.explode(own).alias("__pass")).drop("__pass")
