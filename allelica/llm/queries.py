@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from allelica.llm import decontaminate, quality_rules, shard_table, simhash_dedup, source_mix, token_codec
+from allelica.llm import decontaminate, mixing_lm, quality_rules, shard_table, simhash_dedup, source_mix, token_codec
 from allelica.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_mixing_lm(spark, sf_dir):
+    return mixing_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_token_codec(spark, sf_dir):
     import public_tokenizers
 
@@ -33,7 +37,7 @@ def op10_shard_table(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op4_source_mix, op5_decontaminate, op9_token_codec, op10_shard_table)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op4_source_mix, op5_decontaminate, op8_mixing_lm, op9_token_codec, op10_shard_table)}
 
 
 def oracle_sql():
