@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from allelica.llm import decontaminate, mixing_lm, quality_rules, shard_table, simhash_dedup, source_mix, token_codec
+from allelica.llm import (
+    decontaminate,
+    html_extract,
+    license_scan,
+    mixing_lm,
+    perplexity_filter,
+    quality_rules,
+    shard_table,
+    simhash_dedup,
+    source_mix,
+    token_codec,
+)
 from allelica.llm.common import table
 
 
@@ -14,6 +25,10 @@ def op2_simhash_dedup(spark, sf_dir):
     return simhash_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_source_mix(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -22,6 +37,14 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_perplexity_filter(spark, sf_dir):
+    return perplexity_filter.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing_lm(spark, sf_dir):
     return mixing_lm.score(table(spark, sf_dir, "documents"))
 
@@ -37,7 +60,11 @@ def op10_shard_table(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op4_source_mix, op5_decontaminate, op8_mixing_lm, op9_token_codec, op10_shard_table)}
+    found = (
+        op1_quality_rules, op2_simhash_dedup, op3_license_scan, op4_source_mix, op5_decontaminate, op6_perplexity_filter,
+        op7_html_extract, op8_mixing_lm, op9_token_codec, op10_shard_table,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
