@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelica.llm.common import lower_words, written
@@ -77,18 +77,21 @@ def links(distinct_fp: DataFrame) -> DataFrame:
     inside = (F.col("seg") < 0) | ((F.col("up") == 1) & (digit < 4)) | ((F.col("up") == 0) & (digit > 0))
     unit = F.expr("shiftleft(1L, 4 * greatest(seg, 0))")
     cell = F.when(F.col("seg") < 0, F.col("point")).when(F.col("up") == 1, F.col("point") + unit).otherwise(F.col("point") - unit)
-    # The step is packed into one small number, so a row of the grid is two longs and a short.
-    grid = point.where(inside).select("fp", cell.alias("cell"), (F.col("seg") * 2 + F.col("up")).cast("short").alias("step"))
-    shared = grid.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    near = grid.join(shared, "cell", "left_semi")
-    bit = F.expr("shiftleft(1L, 4 * shiftright(step, 1) + k)")
-    words = near.select(
-        "fp", "step",
-        F.explode(F.when(F.col("step") < 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(4))))).alias("k"),
+    # A row of the grid is two longs: the step follows from the cell and the fingerprint's own point. One
+    # exchange brings each cell's rows together; the window counts them and spills where a cell is large.
+    grid = point.where(inside).select("fp", cell.alias("cell"))
+    near = grid.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1").select("fp", "cell")
+    moved = F.col("cell") - embed(F.col("fp"))
+    # |moved| is 16 to the power of the segment.
+    near = near.select(
+        "fp", F.signum(moved.cast("double")).cast("int").alias("up"),
+        F.when(moved == 0, 0).otherwise(F.length(F.conv(F.abs(moved), 10, 16)) - 1).alias("seg"),
     )
+    words = near.select("fp", "up", "seg", F.explode(F.when(F.col("up") == 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(4))))).alias("k"))
+    bit = F.expr("shiftleft(1L, 4 * seg + k)")
     # A step up sets a bit that is clear, a step down clears one that is set.
-    fits = (F.col("step") < 0) | ((F.col("step") % 2 == 1) == (F.col("fp").bitwiseAND(bit) == 0))
-    meet = words.where(fits).select("fp", F.when(F.col("step") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(bit)).alias("word"))
+    fits = (F.col("up") == 0) | ((F.col("up") > 0) == (F.col("fp").bitwiseAND(bit) == 0))
+    meet = written(words.where(fits).select("fp", F.when(F.col("up") == 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(bit)).alias("word")))
     least = meet.groupBy("word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("word", "b")
     return meet.join(least, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
