@@ -28,7 +28,9 @@ from allelica.llm.common import scratch_dir, written
 LIMIT, BLOCK, STRIDE = 16, 65_536, 256
 IDS_PER_PARTITION = 6_000_000
 #: Texts of a worker whose ids are remembered, at most.
-MEMORY = 600_000
+MEMORY = 1_200_000
+#: Marks that may follow a word; the tokenizer starts a new word at the first of them.
+MARKS = ".,;:!?&#*$%)"
 #: White space other than space and line feed, for Unicode's or the library's idea of it.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff\u180e]")
 
@@ -39,13 +41,40 @@ def odd_space(text: str) -> bool:
     return doubled or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text) is not None
 
 
+class Pieces(dict):
+    """Ids of the pieces of texts, encoded by the library when first asked for.
+
+    A piece has a space before it; one whose first character is a line feed begins a line and has none.
+    Letters followed by marks are two words to the tokenizer, so they are remembered apart.
+    """
+
+    def __init__(self, encode, feed: bytes):
+        super().__init__()
+        self.ids, self.feed, self.marks = encode, feed, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[0] == "\n":
+            ids = self.feed + (self.ids(piece[1:]) if len(piece) > 1 else b"")
+        else:
+            word = piece.rstrip(MARKS)
+            if word is not piece and len(word) < len(piece) and word.isalpha():
+                tail = piece[len(word) :]
+                if tail not in self.marks:
+                    self.marks[tail] = self.ids(tail)
+                ids = self[word] + self.marks[tail]
+            else:
+                ids = self.ids(" " + piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     Byte-level BPE never merges over the start of a word with the space before it, nor over a line feed
-    between two other characters, so the pieces between them are encoded independently; each distinct
-    piece goes through the library once, many in one call with line feeds between. Texts with other
-    white space or a special token's name, and all texts of other kinds of tokenizers, go through whole.
+    between two other characters, so the pieces between them are encoded independently, and each distinct
+    piece goes through the library once while it is remembered. Texts with other white space or a special
+    token's name, and all texts of other kinds of tokenizers, go through whole.
     """
 
     def __init__(self, path: str):
@@ -56,58 +85,51 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         made = json.loads(self.tokenizer.to_str())
         split = made["pre_tokenizer"] or {}
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"]
-        self.piecewise = bool(plain and made["normalizer"] is None and made["model"]["type"] == "BPE" and len(feed) == 1)
-        self.feed = feed[0] if feed else 0
-        self.known: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.width).tobytes() for e in found]
-
-    def learn(self, pieces: list[str], before: str, feed: bytes) -> None:
-        """Encode new pieces, 2000 to a call, and cut the ids at the line feeds between them.
-
-        ``before`` stands before each piece: a space, or nothing for one that begins a line, which has a
-        line feed as its first character instead.
-        """
-        size, skip, ahead = np.dtype(self.width).itemsize, 0 if before else 1, b"" if before else feed
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            texts = [before + p[skip:] for p in part]
-            ids = np.frombuffer(self.library(["\n".join(texts)])[0], dtype=self.width)
-            cuts = np.flatnonzero(ids == self.feed)
-            if len(cuts) != len(part) - 1:
-                self.known.update(zip(part, [ahead + x for x in self.library(texts)], strict=True))
-                continue
-            raw = ids.tobytes()
-            starts = [0, *(size * (cuts + 1)).tolist()]
-            ends = [*(size * cuts).tolist(), len(raw)]
-            self.known.update(zip(part, [ahead + raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        self.piecewise = bool(plain and made["normalizer"] is None and made["model"]["type"] == "BPE")
+        self.feed = self.library("\n")
+        self.known = Pieces(self.library, self.feed)
+
+    def library(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype=self.width).tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the words of new pieces, 2000 to a call, and cut the ids at the line feeds between them."""
+        known, size = self.known, np.dtype(self.width).itemsize
+        words = set()
+        for p in pieces.difference(known):
+            if p[0] != "\n":
+                w = p.rstrip(MARKS)
+                words.add(w if w.isalpha() else p)
+        fresh, feed = list(words.difference(known)), np.frombuffer(self.feed, dtype=self.width)
+        for at in range(0, len(fresh) if len(feed) == 1 else 0, 2000):
+            part = fresh[at : at + 2000]
+            raw = self.library(" " + "\n ".join(part))
+            cuts = np.flatnonzero(np.frombuffer(raw, dtype=self.width) == feed[0])
+            if len(cuts) == len(part) - 1:  # else the pieces are encoded one by one when asked for
+                starts, ends = [0, *(size * (cuts + 1)).tolist()], [*(size * cuts).tolist(), len(raw)]
+                known.update(zip(part, [raw[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        tail = np.array([end], dtype=self.width).tobytes()
-        feed = np.array([self.feed], dtype=self.width).tobytes()
+        tail, skip = np.array([end], dtype=self.width).tobytes(), len(self.feed)
+        if len(self.known) > MEMORY:
+            self.known = Pieces(self.library, self.feed)
         out: list[bytes] = [tail] * len(texts)
-        whole, cut, seen = [], [], set()
+        cut, seen = [], set()
         for k, t in enumerate(texts):
-            if t and (not self.piecewise or odd_space(t) or any(s in t for s in self.special)):
-                whole.append(k)
-            elif t:
+            if not t:
+                continue
+            if not self.piecewise or odd_space(t) or any(s in t for s in self.special):
+                out[k] = self.library(t) + tail
+            else:
                 pieces = ("\n" + t).replace("\n", " \n").split(" ")[1:]
                 seen.update(pieces)
                 cut.append((k, pieces))
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = seen.difference(self.known)
-        self.learn([p for p in new if p[0] != "\n"], " ", feed)
-        self.learn([p for p in new if p[0] == "\n"], "", feed)
+        self.learn(seen)
         ids = self.known.__getitem__
         for k, pieces in cut:
-            out[k] = b"".join(map(ids, pieces))[len(feed) :] + tail
-        for k, found in zip(whole, self.library([texts[k] for k in whole]), strict=True):
-            out[k] = found + tail
+            out[k] = b"".join(map(ids, pieces))[skip:] + tail
         return out
 
 
@@ -125,8 +147,8 @@ def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
         own = encoder(path)
         size = np.dtype(own.width).itemsize
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
                 ids = own.encode(part.column("text").to_pylist(), end)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(i) // size for i in ids], pa.int64()), pa.array(ids, pa.binary())],
