@@ -204,3 +204,13 @@ def basis_blocks(markers: DataFrame, pops: Sequence) -> DataFrame:
     same = F.when(F.col("q")[0] == F.col("q")[1], F.col("c0")).otherwise(F.lit(0.0))
     top = (F.col("p0") - F.col("p2")) * (F.col("p1") - F.col("p2")) + F.col("c2") + same
     return _sums(rows, top, F.when(top.isNotNull(), F.lit(1.0)))
+
+
+def general_blocks(markers: DataFrame, quads: Sequence[Sequence]) -> DataFrame:
+    """qid, block, top, bot, n of f(a, b; c, d) for any quadruples, populations that stand squared corrected:
+    + c where a = c or b = d, - c where a = d or b = c."""
+    rows = spread(markers, quads, 4)
+    top = f4("p0", "p1", "p2", "p3")
+    for i, j, sign in ((0, 2, 1), (1, 3, 1), (0, 3, -1), (1, 2, -1)):
+        top = top + F.when(F.col("q")[i] == F.col("q")[j], sign * F.col(f"c{i}")).otherwise(0.0)
+    return _sums(rows, top, F.when(top.isNotNull(), F.lit(1.0)))
