@@ -138,7 +138,8 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are kept, without their removed lines; columns as before, n_chars counted anew."""
     lines = written(line_verdicts(docs, **limits))
-    bad = base_rules(docs).where("base_failed").select("doc_id")
+    # Written first: a filter pushed below the array steps would repeat their expressions many times over.
+    bad = written(base_rules(docs).select("doc_id", "base_failed")).where("base_failed").select("doc_id")
     verdict = lines.select("doc_id", "removed", "depleted").withColumn("failed", F.lit(False)).unionByName(
         bad.select("doc_id", F.lit(None).cast("array<bigint>").alias("removed"), F.lit(False).alias("depleted"), F.lit(True).alias("failed"))
     )
