@@ -247,8 +247,28 @@ def report(docs: DataFrame, benchmark: DataFrame, **sizes) -> DataFrame:
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, **sizes) -> DataFrame:
-    """The documents that hold no window of a test item; columns as before."""
-    dirty = report(docs, benchmark, **sizes).where("contaminated").select("doc_id").distinct()
-    d, b = docs.alias("d"), dirty.alias("b")
-    return d.join(b, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")
+def remove(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The documents that hold no window of a test item; columns as before. Rows are filtered where they are
+    read, block after block of the test set, so no text is shuffled."""
+    out = docs
+    for test in _blocks(benchmark, block_words):
+        out = _without(out, docs.sparkSession.sparkContext.broadcast(test), shard_words)
+    return out
+
+
+def _without(docs: DataFrame, block, shard_words: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            words = [plain_words(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            keep, at = np.ones(b.num_rows, dtype=bool), 0
+            while at < len(words):
+                end, n = at, 0
+                while end < len(words) and (n == 0 or n + len(words[end]) < shard_words):
+                    n += len(words[end]) + 1
+                    end += 1
+                for d, *_ in search(words[at:end], block.value):
+                    keep[at + d] = False
+                at = end
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -121,6 +121,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     firsts = written(cluster(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
     repeated = not firsts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    d, f = docs.alias("d"), firsts.distinct().alias("f")
+    # The same plan at every size: the ids kept grow with the documents, so neither side is broadcast.
+    d, f = docs.hint("merge").alias("d"), firsts.distinct().alias("f")
     kept = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
