@@ -94,11 +94,11 @@ class Encoder:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype=self.width).tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         """Encode the words of new pieces, 2000 to a call, and cut the ids at the line feeds between them."""
         known, size = self.known, np.dtype(self.width).itemsize
         words = set()
-        for p in pieces.difference(known):
+        for p in pieces:
             if p[0] != "\n":
                 w = p.rstrip(MARKS)
                 words.add(w if w.isalpha() else p)
@@ -116,20 +116,26 @@ class Encoder:
         if len(self.known) > MEMORY:
             self.known = Pieces(self.library, self.feed)
         out: list[bytes] = [tail] * len(texts)
-        cut, seen = [], set()
+        known, open_, new = self.known, [], []
         for k, t in enumerate(texts):
             if not t:
                 continue
             if not self.piecewise or odd_space(t) or any(s in t for s in self.special):
                 out[k] = self.library(t) + tail
+                continue
+            pieces = ("\n" + t).replace("\n", " \n").split(" ")[1:]
+            ids = list(map(known.get, pieces))
+            if missing := [i for i, x in enumerate(ids) if x is None]:
+                missing = [(i, pieces[i]) for i in missing]
+                new += [p for _, p in missing]
+                open_.append((k, ids, missing))
             else:
-                pieces = ("\n" + t).replace("\n", " \n").split(" ")[1:]
-                seen.update(pieces)
-                cut.append((k, pieces))
-        self.learn(seen)
-        ids = self.known.__getitem__
-        for k, pieces in cut:
-            out[k] = b"".join(map(ids, pieces))[skip:] + tail
+                out[k] = b"".join(ids)[skip:] + tail
+        self.learn(new)
+        for k, ids, missing in open_:
+            for i, p in missing:
+                ids[i] = known[p]
+            out[k] = b"".join(ids)[skip:] + tail
         return out
 
 
@@ -139,40 +145,43 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian numbers of 16 bits, or 32 for a larger vocabulary)."""
+    """doc_id, ids (little-endian numbers of 16 bits, or 32 for a larger vocabulary), is_count.
+
+    A task's last row has ``is_count``: its ids are the counts of all ids the task has made, in 64 bits.
+    """
     rows = docs.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
         own = encoder(path)
-        size = np.dtype(own.width).itemsize
+        total = np.zeros(own.tokenizer.get_vocab_size(), dtype=np.int64)
+        number = None
         for b in batches:
+            number = b.column("doc_id").type
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 ids = own.encode(part.column("text").to_pylist(), end)
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype=own.width), minlength=len(total))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(i) // size for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
+                    [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([False] * len(ids))], ["doc_id", "ids", "is_count"]
                 )
+        if number is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, number), pa.array([total.tobytes()]), pa.array([True])], ["doc_id", "ids", "is_count"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, is_count boolean")
 
 
-def id_counts(tokens: DataFrame, width: type) -> DataFrame:
-    """id, n: each task counts its rows, then the sums are added up."""
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """id, n: the tasks' counts added up."""
 
     def run(batches):
-        total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for ids in b.column("ids"):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), dtype=width))
-                if len(n) > len(total):
-                    total, n = n.astype(np.int64), total
-                total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+            for raw in b.column("ids").to_pylist():
+                n = np.frombuffer(raw, dtype=np.int64)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.where("is_count").select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -313,13 +322,13 @@ def encode(docs: DataFrame, tokenizer: str, path: str, end: int = 2) -> None:
     """
     width = encoder(tokenizer).width
     tokens = written(tokenize(docs, tokenizer, end), "zstd")
-    counts = id_counts(tokens, width).orderBy("id").collect()  # one row per vocabulary entry at most
+    counts = id_counts(tokens).orderBy("id").collect()  # one row per vocabulary entry at most
     ids, n = np.array([r.id for r in counts], dtype=np.int64), np.array([r.n for r in counts], dtype=np.int64)
     code = Code(ids, code_lengths(n))
     spark = docs.sparkSession
     rows = [(int(i), int(c), int(k)) for i, c, k in zip(ids, n, code.lengths, strict=True)]
     spark.createDataFrame(rows, "id bigint, n bigint, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    write_blocks(tokens, code, width, path, int(n.sum()))
+    write_blocks(tokens.where("not is_count").select("doc_id", "ids"), code, width, path, int(n.sum()))
 
 
 def _square(m: list[int]) -> list[int]:
