@@ -54,5 +54,14 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Column of a row's own key, which tells rows apart where ids are null or repeated.
+ROW = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own in ``ROW``, written so that the key stays the same."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,22 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelica.llm.common import SPACE, words_of, written
+from allelica.llm.common import ROW, SPACE, keyed, words_of, written
 
 WINDOW = 8
 MIN_DOCS, MIN_SHARE, MAX_LOST = 20, 0.02, 0.7
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+def base_rules(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
     A null text counts as an empty one: all figures 0, base_failed true.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
+    rows = docs.select(key, text.alias("text"))
     rows = rows.select(
-        "doc_id",
+        key,
         F.length(F.regexp_replace("text", SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(_HAS_WORD)).alias("lines"),
@@ -38,7 +38,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))),
     ).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select(
-        "doc_id", "word_chars", "n_symbols",
+        key, "word_chars", "n_symbols",
         F.size("words").cast("bigint").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         windows.alias("windows"),
@@ -48,7 +48,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         F.size(F.array_distinct("windows")) < F.size("windows"),
         F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
-    rows = rows.select("doc_id", "word_chars", "n_symbols", "n_words", "n_dup_lines", placed.alias("placed"))
+    rows = rows.select(key, "word_chars", "n_symbols", "n_words", "n_dup_lines", placed.alias("placed"))
     twin = lambda k, other: F.coalesce(F.get("placed", k)["h"] == F.get("placed", other)["h"], F.lit(False))
     starts = F.sort_array(
         F.transform(
@@ -65,7 +65,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("starts")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return rows.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
 def normalised(line: Column) -> Column:
@@ -74,17 +74,17 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(letters, r"[\x00-\x60\x7B-\x7F]+", " "))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, host, copy (hash of the whole text), line (hash), words: a row per line with a letter."""
+def line_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key, host, copy (hash of the whole text), line (hash), words: a row per line with a letter."""
     per = docs.where(F.col("text").isNotNull()).select(
-        "doc_id",
+        key,
         F.col("source").alias("host"),
         F.xxhash64("text").alias("copy"),
         F.explode(F.split("text", "\n")).alias("raw"),
     )
     per = per.withColumn("norm", normalised(F.col("raw"))).where(F.col("norm") != "")
     words = F.length(F.regexp_replace("raw", SPACE, ""))
-    return per.select("doc_id", "host", "copy", F.xxhash64("norm").alias("line"), words.cast("bigint").alias("chars"))
+    return per.select(key, "host", "copy", F.xxhash64("norm").alias("line"), words.cast("bigint").alias("chars"))
 
 
 def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -100,22 +100,22 @@ def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_share: float
     return a.join(b, F.col("a.host").eqNullSafe(F.col("b.host"))).where(F.col("n_docs") > F.col("host_docs") * min_share).select("a.host", "line", "n_docs")
 
 
-def line_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_lost: float = MAX_LOST) -> DataFrame:
-    """doc_id, lost (characters of words in removed lines), n_removed, removed (their hashes), depleted.
+def line_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_lost: float = MAX_LOST, key: str = "doc_id") -> DataFrame:
+    """The key, lost (characters of words in removed lines), n_removed, removed (their hashes), depleted.
 
-    Only documents that lose a line have a row. Repeated ids are judged together.
+    Only documents that lose a line have a row. Rows with the same key are judged together.
     """
-    lines = written(line_rows(docs))
+    lines = written(line_rows(docs, key))
     often = written(frequent_lines(lines, min_docs, min_share))
     a, b = lines.alias("a"), often.alias("b")
     hits = a.join(b, (F.col("a.line") == F.col("b.line")) & F.col("a.host").eqNullSafe(F.col("b.host")))
-    hits = hits.groupBy(F.col("a.doc_id").alias("doc_id")).agg(
+    hits = hits.groupBy(F.col(f"a.{key}").alias(key)).agg(
         F.sum("a.chars").alias("lost"), F.count("*").alias("n_removed"), F.collect_set("a.line").alias("removed")
     )
-    totals = lines.groupBy("doc_id").agg(F.sum("chars").alias("chars"))
+    totals = lines.groupBy(key).agg(F.sum("chars").alias("chars"))
     t, h = totals.alias("t"), hits.alias("h")
-    return h.join(t, F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))).select(
-        "h.doc_id", "lost", "n_removed", "removed", (F.col("lost") > F.col("chars") * max_lost).alias("depleted")
+    return h.join(t, F.col(f"t.{key}").eqNullSafe(F.col(f"h.{key}"))).select(
+        f"h.{key}", "lost", "n_removed", "removed", (F.col("lost") > F.col("chars") * max_lost).alias("depleted")
     )
 
 
@@ -136,17 +136,21 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
 
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that are kept, without their removed lines; columns as before, n_chars counted anew."""
-    lines = written(line_verdicts(docs, **limits))
+    """The documents that are kept, without their removed lines; columns as before, n_chars counted anew.
+
+    Every row is judged by itself, whatever its doc_id.
+    """
+    rows = keyed(docs)
+    lines = written(line_verdicts(rows, key=ROW, **limits))
     # Written first: a filter pushed below the array steps would repeat their expressions many times over.
-    bad = written(base_rules(docs).select("doc_id", "base_failed")).where("base_failed").select("doc_id")
-    verdict = lines.select("doc_id", "removed", "depleted").withColumn("failed", F.lit(False)).unionByName(
-        bad.select("doc_id", F.lit(None).cast("array<bigint>").alias("removed"), F.lit(False).alias("depleted"), F.lit(True).alias("failed"))
+    bad = written(base_rules(rows, ROW).select(ROW, "base_failed")).where("base_failed").select(ROW)
+    verdict = lines.select(ROW, "removed", "depleted").withColumn("failed", F.lit(False)).unionByName(
+        bad.select(ROW, F.lit(None).cast("array<bigint>").alias("removed"), F.lit(False).alias("depleted"), F.lit(True).alias("failed"))
     )
-    verdict = verdict.groupBy("doc_id").agg(F.first("removed", True).alias("removed"), F.max("depleted").alias("depleted"), F.max("failed").alias("failed"))
+    verdict = verdict.groupBy(ROW).agg(F.first("removed", True).alias("removed"), F.max("depleted").alias("depleted"), F.max("failed").alias("failed"))
     # The same plan at every size: the verdicts grow with the documents, so neither side is broadcast.
-    d, v = docs.hint("merge").alias("d"), written(verdict).alias("v")
-    rows = d.join(v, F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")), "left")
+    d, v = rows.hint("merge").alias("d"), written(verdict).alias("v")
+    rows = d.join(v, F.col(f"d.{ROW}") == F.col(f"v.{ROW}"), "left")
     rows = rows.where(~F.coalesce(F.col("v.failed") | F.col("v.depleted"), F.lit(False)))
     left = F.array_join(
         F.filter(F.split("d.text", "\n"), lambda x: ~F.array_contains("v.removed", F.xxhash64(normalised(x)))), "\n"

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelica.llm.common import lower_words, written
+from allelica.llm.common import ROW, keyed, lower_words, written
 from allelica.llm.components import components
 
 SEED, SHINGLE, SEGMENTS = 42, 3, 16
@@ -41,18 +41,18 @@ def fingerprint(words: list[bytes], n: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long): one row per row; a null or empty text has 0."""
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys and fp (the 64 bits as a signed long): one row per row; a null or empty text has 0."""
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
             fps = np.array([fingerprint(lower_words(t)) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, keys), pa.array(fps)], [*keys, "fp"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select(*keys, F.col("text").cast("binary").alias("text"))
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", fp bigint")
 
 
 def embed(fp: Column) -> Column:
@@ -105,23 +105,29 @@ def cluster(docs: DataFrame) -> DataFrame:
     table gives an empty result; other columns are not read.
     """
     prints = written(fingerprints(docs))
-    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comps = components(links(reps.select("fp")))
-    rooted = reps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"))
+    rooted, least = _leasts(prints, F.col("doc_id"))
+    named = written(rooted.join(least, "root").select("fp", F.col("least").alias("component_id")))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def _leasts(prints: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of every fingerprint, and (root, least): the least ``name`` among the rows of a component."""
+    reps = written(prints.groupBy("fp").agg(F.min(name).alias("rep")))
+    comps = components(links(reps.select("fp")))
+    rooted = reps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("rep").alias("least"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of which doc_id names their component, one row each; columns as before.
+    """One row of each component, the one with the least doc_id; columns as before.
 
-    A component without any id keeps one of its rows.
+    Of several rows with that id the first stays, and a component without any id keeps its first row. Ids
+    only order the rows: rows of other components are kept whatever ids they share.
     """
-    firsts = written(cluster(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
-    repeated = not firsts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    # The same plan at every size: the ids kept grow with the documents, so neither side is broadcast.
-    d, f = docs.hint("merge").alias("d"), firsts.distinct().alias("f")
-    kept = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    rows = keyed(docs)
+    prints = written(fingerprints(rows, ("doc_id", ROW)))
+    _, least = _leasts(prints, F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", ROW))
+    firsts = written(least.select(F.col(f"least.{ROW}").alias(ROW)))
+    # The same plan at every size: the rows kept grow with the documents, so neither side is broadcast.
+    return rows.hint("merge").join(firsts, ROW, "left_semi").drop(ROW)
