@@ -34,8 +34,7 @@ def op4_source_mix(spark, sf_dir):
 
 
 def op5_decontaminate(spark, sf_dir):
-    # longest depends on which documents share a shard, so it is no part of the digest.
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_perplexity_filter(spark, sf_dir):
@@ -80,21 +79,22 @@ l AS (SELECT rid, source, text, UNNEST(string_split(text, chr(10))) AS raw FROM
 n AS (SELECT rid, source, text, length(regexp_replace(raw, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
   trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x60\x7B-\x7F]+', ' ', 'g')) AS norm FROM l),
 m AS (SELECT * FROM n WHERE norm <> ''),
-often AS (SELECT source, norm FROM m JOIN (SELECT source, COUNT(DISTINCT text) AS hd FROM m GROUP BY 1) USING (source)
-  GROUP BY source, norm, hd HAVING COUNT(DISTINCT text) > 20 AND COUNT(DISTINCT text) > hd * 0.02),
+per AS (SELECT source, norm, COUNT(DISTINCT rid) AS nd, COUNT(DISTINCT text) AS nt FROM m GROUP BY 1, 2),
+often AS (SELECT source, norm FROM (SELECT *, SUM(nd) OVER (PARTITION BY norm) AS ad, SUM(nt) OVER (PARTITION BY norm) AS tt FROM per)
+  WHERE (nd > 10 AND nt > 5) OR (ad > 20 AND tt > 5)),
 lost AS (SELECT rid, SUM(chars) AS total, SUM(CASE WHEN o.norm IS NOT NULL THEN chars ELSE 0 END) AS lost, COUNT(o.norm) AS n_removed
   FROM m LEFT JOIN often o ON o.source IS NOT DISTINCT FROM m.source AND o.norm = m.norm GROUP BY 1),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(cov.n, 0) AS BIGINT) AS n_repeat_words,
-  COALESCE(n_removed, 0) AS n_removed, COALESCE(lost > 0.7 * total, FALSE) AS depleted
+  COALESCE(n_removed, 0) AS n_removed, COALESCE(lost > 0.5 * total, FALSE) AS depleted
   FROM w LEFT JOIN cov USING (rid) LEFT JOIN lost USING (rid)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM f
 """
 
 OP4 = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 9) AS digits
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || md5(text)), 1, 9) AS digits, ROW_NUMBER() OVER () AS rid
   FROM (SELECT doc_id, source, COALESCE(text, '') AS text FROM documents)),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 p AS (SELECT *, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM s),
@@ -104,13 +104,12 @@ v AS (SELECT *, (SUM(source_size) OVER () * 1.5::DOUBLE - COALESCE(SUM(stop) OVE
 t AS (SELECT source, source_size, weight, stop, (SELECT FIRST(level ORDER BY stop / weight, pos) FROM v WHERE level * weight <= stop) AS level FROM v),
 g AS (SELECT source, source_size, LEAST(COALESCE(level * weight, stop), stop) AS target FROM t),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(FLOOR(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM g),
-h AS (SELECT source, digits, SUM(size) AS words FROM d GROUP BY 1, 2),
-r AS (SELECT *, SUM(words) OVER (PARTITION BY source ORDER BY digits) AS upto FROM h),
-x AS (SELECT r.source, r.digits, r.upto <= k.target - k.whole * k.source_size
-  OR (r.upto - r.words <= k.target - k.whole * k.source_size AND (k.target - k.whole * k.source_size - (r.upto - r.words)) * 2 > r.words) AS more
+r AS (SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY digits, rid ROWS UNBOUNDED PRECEDING) AS upto FROM d),
+x AS (SELECT r.rid, k.*, r.doc_id, r.size, r.upto <= k.target - k.whole * k.source_size
+  OR (r.upto - r.size <= k.target - k.whole * k.source_size AND (k.target - k.whole * k.source_size - (r.upto - r.size)) * 2 > r.size) AS more
   FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, size, source_size, target, CAST(size * LEAST(whole + CAST(more AS BIGINT), 2) AS BIGINT) AS taken, CAST(LEAST(whole + CAST(more AS BIGINT), 2) AS INTEGER) AS passes
-FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.digits = x.digits
+FROM x
 """
 
 
@@ -121,14 +120,19 @@ _PLAIN = (
 
 OP5 = rf"""
 WITH d AS (SELECT doc_id, ROW_NUMBER() OVER () AS rid, {_PLAIN} AS ws FROM (SELECT doc_id, COALESCE(text, '') AS text FROM documents)),
-t AS (SELECT item, ws, LEAST(10, len(ws)) AS n FROM (SELECT COALESCE(CAST(item_id AS VARCHAR), '') AS item, {_PLAIN} AS ws FROM (SELECT item_id, COALESCE(text, '') AS text FROM benchmark)) WHERE len(ws) > 0),
-tw AS (SELECT DISTINCT item, n, array_to_string(ws[i:i+n-1], ' ') AS k FROM t, UNNEST(range(1, len(ws) - n + 2)) AS u(i)),
+t AS (SELECT ROW_NUMBER() OVER () AS tid, item, ws, LEAST(10, len(ws)) AS n FROM (SELECT COALESCE(CAST(item_id AS VARCHAR), '') AS item, {_PLAIN} AS ws FROM (SELECT item_id, COALESCE(text, '') AS text FROM benchmark)) WHERE len(ws) > 0),
+tw AS (SELECT tid, item, n, j, array_to_string(ws[j:j+n-1], ' ') AS k FROM t, UNNEST(range(1, len(ws) - n + 2)) AS u(j)),
 dw AS (SELECT rid, i, n, array_to_string(ws[i:i+n-1], ' ') AS k FROM d, (SELECT DISTINCT n FROM t), UNNEST(range(1, len(ws) - n + 2)) AS u(i)),
-hit AS (SELECT rid, i, n, item FROM dw JOIN tw USING (n, k)),
+hit AS (SELECT rid, i, n, item, tid, j FROM dw JOIN tw USING (n, k)),
 hw AS (SELECT rid, COUNT(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, i, n FROM hit), UNNEST(range(i, i + n)) AS u(p) GROUP BY 1),
-hi AS (SELECT rid, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY 1)
+hi AS (SELECT rid, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY 1),
+run AS (SELECT *, i - ROW_NUMBER() OVER (PARTITION BY rid, tid, i - j ORDER BY i) AS g FROM hit),
+far AS (SELECT rid, item, MIN(i) AS i, CAST(MAX(i) - MIN(i) + ANY_VALUE(n) AS BIGINT) AS words FROM run GROUP BY rid, tid, item, i - j, g),
+top AS (SELECT rid, words, i, item FROM far QUALIFY ROW_NUMBER() OVER (PARTITION BY rid ORDER BY words DESC, i, item) = 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
-  sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
+  sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated, COALESCE(words, 0) AS longest,
+  CAST(top.i - 1 AS BIGINT) AS longest_start, top.item AS longest_item
+FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid) LEFT JOIN top USING (rid)
 """
 
 

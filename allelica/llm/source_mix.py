@@ -1,9 +1,10 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a fixed 36-bit hash of its id. Words are summed by source and by the first 12 bits;
-running sums find the bucket in which a source's budget ends. Only that boundary bucket is summed again
-by the next 12 bits, and once more by the last 12. A document is taken when its hash lies below its
-source's threshold, so nothing is sorted and reruns agree.
+Every row has a fixed hash: 36 bits of its id and text, then 36 bits of a key of its own, which tells equal
+rows apart. Words are summed by source and by the first 12 bits; running sums find the bucket in which a
+source's budget ends. Only that boundary bucket is summed again by the next 12 bits, and so on to the last.
+A row is taken when its hash lies below its source's threshold, so nothing is sorted. Reruns agree: the own
+key only decides how many of some equal rows are taken.
 
 A target of up to twice the source's size is met by whole passes over the source and one pass over the
 documents below the threshold.
@@ -16,30 +17,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelica.llm.common import words_of, written
+from allelica.llm.common import ROW, keyed, words_of, written
 
 WEIGHTS = (5, 2, 1)
-LEVELS = 3
+LEVELS = 6
 MAX_BROADCAST_SOURCES = 20_000
 WIDTH = 3  # hexadecimal digits of a level: 4096 buckets
+DIGITS = "_mix_digits"
 
 
-def digits_of(key: Column) -> Column:
-    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
-    return F.substring(digest, 1, WIDTH * LEVELS)
+def digits_of(key: Column, text: Column, row: Column) -> Column:
+    """The hash of a row in hexadecimal digits; half of them come from the id and the text."""
+    half = WIDTH * LEVELS // 2
+    named = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.concat(F.substring(F.md5(named.cast("binary")), 1, half), F.substring(F.md5(row.cast("string").cast("binary")), 1, half))
 
 
 def passes(digits: Column, whole: Column, cut: Column, most: Column) -> Column:
     return F.least(whole + (digits < cut).cast("int"), most)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the hash's digits. A null text has size 0; a null id hashes as ''."""
+def sizes(docs: DataFrame, row: Column) -> DataFrame:
+    """doc_id, source, size and the hash's digits. A null text has size 0; a null id counts as ''."""
     return docs.select(
         "doc_id",
         "source",
         F.size(words_of(F.col("text"))).cast("bigint").alias("size"),
-        digits_of(F.col("doc_id")).alias("digits"),
+        digits_of(F.col("doc_id"), F.col("text"), row).alias("digits"),
     )
 
 
@@ -77,41 +81,32 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, whole (passes over all of it), cut (documents with smaller digits get one pass more)."""
+    """source, whole (passes over all of it), cut (rows with smaller digits get one pass more).
+
+    Each level is one aggregate over the rows in the boundary buckets of the level before; its result, a row
+    for each source, is written.
+    """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    open_ = targets.select("source", whole.cast("int").alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("budget"), F.lit("").alias("prefix"))
+    open_ = written(targets.select(
+        "source", whole.cast("int").alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("budget"),
+        F.lit("").alias("prefix"), F.lit(0).cast("bigint").alias("words"),
+    ))
     for level in range(1, LEVELS + 1):
         n = WIDTH * level
         s, o = sized.alias("s"), open_.alias("o")
         inside = s.join(o, _same(F.col("s.source"), F.col("o.source")) & (F.substring("s.digits", 1, n - WIDTH) == F.col("o.prefix")))
-        sums = inside.groupBy(F.col("s.source").alias("source"), F.substring("s.digits", 1, n).alias("bucket")).agg(F.sum("s.size").alias("words"))
-        run = Window.partitionBy("source").orderBy("bucket")
-        sums = sums.withColumn("upto", F.sum("words").over(run))
-        b, o = sums.alias("b"), open_.alias("o")
-        ranked = b.join(o, _same(F.col("b.source"), F.col("o.source")))
-        # The boundary bucket is the first whose running sum passes the budget.
-        edge = F.when(F.col("b.upto") > F.col("o.budget"), F.col("b.bucket"))
-        found = ranked.groupBy(F.col("o.source").alias("source"), "o.whole", "o.budget").agg(
-            F.min(edge).alias("prefix"), F.min_by(F.struct("b.upto", "b.words"), edge).alias("at")
-        )
-        # Where the sum never passes it (an empty source, or a budget that takes all), the cut is the end.
-        left = F.col("budget") - (F.col("at.upto") - F.col("at.words"))
-        found = found.select(
-            "source", "whole",
-            F.when(F.col("prefix").isNull(), F.lit(0.0)).otherwise(left).alias("budget"),
-            F.coalesce("prefix", F.lit("~")).alias("prefix"),
-            F.col("at.words").alias("words"),
-        )
-        keep = open_.alias("p").join(found.alias("f"), _same(F.col("p.source"), F.col("f.source")), "left")
-        done = F.col("f.prefix").isNull() | (F.col("p.prefix") == "~")
-        open_ = keep.select(
-            F.col("p.source").alias("source"), F.col("p.whole").alias("whole"),
-            F.when(done, 0.0).otherwise(F.col("f.budget")).alias("budget"),
-            F.when(done, "~").otherwise(F.col("f.prefix")).alias("prefix"),
-            F.coalesce("f.words", F.lit(0)).alias("words"),
+        sums = inside.groupBy(F.col("s.source").alias("source"), "o.budget", F.substring("s.digits", 1, n).alias("bucket")).agg(F.sum("s.size").alias("sum"))
+        sums = sums.withColumn("upto", F.sum("sum").over(Window.partitionBy("source").orderBy("bucket")))
+        # The boundary bucket is the first whose running sum passes the budget. Where the sum never passes it
+        # (an empty source, or a budget that takes all), the cut is the end.
+        edge = sums.where(F.col("upto") > F.col("budget")).groupBy("source").agg(
+            F.min_by(F.struct("bucket", (F.col("budget") - (F.col("upto") - F.col("sum"))).alias("left"), "sum"), "bucket").alias("at")
         )
-        if level < LEVELS:
-            open_ = open_.drop("words")
+        keep = o.join(edge.alias("f"), _same(F.col("o.source"), F.col("f.source")), "left")
+        open_ = written(keep.select(
+            "o.source", "o.whole", F.coalesce("f.at.left", F.lit(0.0)).alias("budget"),
+            F.coalesce("f.at.bucket", F.lit("~")).alias("prefix"), F.coalesce("f.at.sum", F.lit(0)).alias("words"),
+        ))
     # The last bucket is taken when that comes nearer to the budget than leaving it.
     over = (F.col("prefix") != "~") & (F.col("budget") * 2 > F.col("words"))
     return open_.select("source", "whole", F.when(over, F.concat("prefix", F.lit("~"))).otherwise(F.col("prefix")).alias("cut"))
@@ -135,11 +130,11 @@ def cut_table(sized: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5, mo
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, size, source_size, target, taken, passes, source: one row for each row of ``docs``.
 
-    Null ids, null sources (a source of their own, last) and null texts (size 0) are rows like others.
-    Repeated ids share a hash and are taken or left together. An empty table gives an empty result; an
-    all-empty source has target 0.
+    Null ids, null sources (a source of their own, last) and null texts (size 0) are rows like others, and so
+    are repeated ids; of repeated rows as many are taken as the budget asks for. An empty table gives an empty
+    result; an all-empty source has target 0; other columns are not read.
     """
-    sized = written(sizes(docs))
+    sized = written(sizes(docs.select("doc_id", "source", "text"), F.monotonically_increasing_id()))
     s, p = sized.alias("s"), cut_table(sized, weights, total, most).alias("p")
     n = passes(F.col("s.digits"), F.col("p.whole"), F.col("p.cut"), F.col("p.most"))
     return s.join(p, _same(F.col("s.source"), F.col("p.source"))).select(
@@ -152,11 +147,12 @@ def repeat(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns as before.
 
     The passes follow from a row's source and hash alone, so no row is joined to another table but the one
-    of sources.
+    of sources. Nulls, empty texts, repeated rows and empty tables are treated as in ``mix``; further columns
+    are passed on.
     """
-    plan = cut_table(written(sizes(docs)), **parameters)
-    d, p = docs.alias("d"), plan.alias("p")
-    rows = d.join(p, _same(F.col("d.source"), F.col("p.source")))
-    own = F.sequence(F.lit(1), passes(digits_of(F.col("d.doc_id")), F.col("p.whole"), F.col("p.cut"), F.col("p.most")))
-    some = passes(digits_of(F.col("d.doc_id")), F.col("p.whole"), F.col("p.cut"), F.col("p.most")) > 0
-    return rows.where(some).select("d.*", F.explode(own).alias("__pass")).drop("__pass")
+    rows = keyed(docs)
+    p = cut_table(written(sizes(rows, F.col(ROW))), **parameters).alias("p")
+    d = rows.withColumn(DIGITS, digits_of(F.col("doc_id"), F.col("text"), F.col(ROW))).alias("d")
+    n = passes(F.col(f"d.{DIGITS}"), F.col("p.whole"), F.col("p.cut"), F.col("p.most"))
+    rows = d.join(p, _same(F.col("d.source"), F.col("p.source"))).where(n > 0)
+    return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), n)).alias(DIGITS)).drop(DIGITS)
