@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,5 +64,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    name = f"_{name}_"
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def own_names(*names: str):
+    """For functions of a DataFrame that use columns of these names for themselves: a column of the input that
+    has such a name goes through under another one."""
+
+    def wrap(f):
+        @wraps(f)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            clash = {n: free_name(docs, n) for n in names if n in docs.columns}
+            out = f(docs.withColumnsRenamed(clash), *args, **kwargs)
+            return out.withColumnsRenamed({v: k for k, v in clash.items()})
+
+        return run
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

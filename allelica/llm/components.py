@@ -21,16 +21,17 @@ def _toward_min(links: DataFrame, own: bool) -> DataFrame:
     return out.where("a <> b")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b; same type, not null) but the roots themselves.
 
     The root is the least node that can be reached. A large-star step joins each node's greater
     neighbours to its least neighbour, a small-star step its lesser ones; when a round changes nothing,
-    all components are stars around their least node. Each round is written to the shared folder.
+    all components are stars around their least node. The rounds grow with the logarithm of the longest path.
+    Each is written to the shared folder.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -40,4 +41,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = seen
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

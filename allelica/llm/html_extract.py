@@ -11,7 +11,7 @@ siblings'. So a heading or a short line is carried by the prose around it. What
 fused in as a factor: article and main count for more; navigation, footers, asides, forms and boxes named as
 adverts, notices, menus or comments for nothing. Paths whose smoothed weight reaches a share of the page's
 best one are content, in every box alike; all their blocks are kept whole, in page order. Paths of several
-blocks that are all link text are lists of links and go wherever they stand.
+blocks in one box that are all link text are lists of links and go wherever they stand.
 """
 
 from __future__ import annotations
@@ -174,14 +174,17 @@ class Page:
         self._close()
 
 
-def ratios(page: Page) -> tuple[list[float], set[int]]:
-    """The fused ratio of each tag path, and the paths that are lists of links."""
+def ratios(page: Page) -> tuple[list[float], set[tuple[int, int]]]:
+    """The fused ratio of each tag path, and the (path, container) that are lists of links."""
     sums = [[0, 0, 0, 0] for _ in page.paths]
-    for text, path, _, links in page.blocks:
+    boxes: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0, 0])
+    for text, path, container, links in page.blocks:
         for k, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), links)):
             sums[path][k] += v
+        for k, v in enumerate((1, len(text), links)):
+            boxes[path, container][k] += v
     fused = [chars / n * (1 + marks / n) * (1 - links / chars) if n else 0.0 for n, chars, marks, links in sums]
-    lists = {p for p, (n, chars, _, links) in enumerate(sums) if n >= LIST and links >= 0.95 * chars}
+    lists = {box for box, (n, chars, links) in boxes.items() if n >= LIST and links >= 0.95 * chars}
     return fused, lists
 
 
@@ -208,9 +211,9 @@ def main_text(html: str | None) -> str:
         return ""
     fused, lists = ratios(page)
     weights = smoothed(page, fused)
-    held = {c for _, path, c, _ in page.blocks if path not in lists}
+    held = {c for _, path, c, _ in page.blocks if (path, c) not in lists}
     least = SHARE * max((weights[c] / (BOOST if page.article[c] else 1.0) for c in held), default=0.0)
-    return "\n".join(text for text, path, c, _ in page.blocks if path not in lists and weights[c] >= least)
+    return "\n".join(text for text, path, c, _ in page.blocks if (path, c) not in lists and weights[c] >= least)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -25,7 +25,50 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Public license notices and texts, as templates. Labels follow the common short identifiers.
+# The wording of public licenses, shared parts first. Words that a licensor fills in are
+# replaceable, headings and lines that copies often lack are optional.
+_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var:1-3>> software and associated documentation files "
+    "(the <<beginOptional>>\"<<endOptional>>Software), to deal in the Software without restriction, including without limitation the rights to use, "
+    "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+    "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+    "<<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software."
+)
+_MIT_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var:1-8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+    "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+    "OTHER DEALINGS IN THE SOFTWARE"
+)
+_ISC_GRANT = (
+    "Permission to use, copy, modify, <<beginOptional>>and<<endOptional>> <<beginOptional>>or<<endOptional>> distribute this software for any purpose "
+    "with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+)
+_ISC_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS AND <<var:1-8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:1-8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
+    "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"
+)
+_BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "<<beginOptional>><<var:1-1>><<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. <<beginOptional>><<var:1-1>><<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this "
+    "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    "<<beginOptional>><<var:1-1>><<endOptional>> Neither the name of <<var:1-10>> nor the names of <<var:1-3>> contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission."
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY <<var:1-8>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var:1-8>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+
+#: Public license notices and whole license texts, as templates. Labels follow the common short identifiers.
 TEMPLATES = {
     "gpl-3.0": "<<beginOptional>>this <<var:1-3>> is<<endOptional>> licensed under the GNU General Public License version 3",
     "gpl-2.0": "<<beginOptional>>this <<var:1-3>> is<<endOptional>> licensed under the GNU General Public License version 2",
@@ -34,27 +77,46 @@ TEMPLATES = {
         "terms of the GNU General Public License as published by the Free Software Foundation "
         "<<beginOptional>>either<<endOptional>> version <<var:1-2>> of the License <<beginOptional>>or at your option any later version<<endOptional>>"
     ),
+    "gpl-notice-text": (
+        "This <<var:1-4>> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version <<var:1-2>> of the License, or (at your option) any later version. This <<var:1-4>> is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU General Public License for more details."
+    ),
     "apache-2.0": (
         "licensed under the Apache License Version 2.0 <<beginOptional>>the License you may not use this <<var:1-3>> except in "
         "compliance with the License<<endOptional>>"
     ),
+    "apache-2.0-text": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this <<var:1-3>> except in compliance with the License. You may "
+        "obtain a copy of the License at <<var:1-8>> Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License."
+    ),
     "mit-notice": "<<beginOptional>>this <<var:1-3>> is<<endOptional>> released under the MIT License",
-    "mit-text": (
-        "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files the Software to deal in the Software without restriction including without limitation the rights "
-        "to use copy modify merge publish distribute sublicense and or sell copies of the Software and to permit persons to "
-        "whom the Software is furnished to do so subject to the following conditions The above copyright notice and this "
-        "permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or "
-        "substantial portions of the Software"
+    "mit-grant": _GRANT,
+    "mit-text": f"{_GRANT} {_MIT_WARRANTY}",
+    "isc-grant": _ISC_GRANT,
+    "isc-text": f"{_ISC_GRANT} {_ISC_WARRANTY}",
+    "bsd-2-clause-text": f"{_BSD_TERMS} {_BSD_WARRANTY}",
+    "bsd-3-clause-text": f"{_BSD_TERMS} {_BSD_NAMES} {_BSD_WARRANTY}",
+    "bsd-terms": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "<<beginOptional>><<var:1-1>><<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer"
     ),
-    "isc-text": (
-        "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
-        "provided that the above copyright notice and this permission notice appear in all copies"
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
     ),
-    "bsd-text": (
-        "Redistribution and use in source and binary forms with or without modification are permitted provided that the "
-        "following conditions are met <<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above "
-        "copyright notice this list of conditions and the following disclaimer"
+    "zlib-text": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+        "and redistribute it freely, subject to the following restrictions: <<beginOptional>><<var:1-1>><<endOptional>> The origin of this software must not "
+        "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+        "documentation would be appreciated but is not required. <<beginOptional>><<var:1-1>><<endOptional>> Altered source versions must be plainly marked as "
+        "such, and must not be misrepresented as being the original software. <<beginOptional>><<var:1-1>><<endOptional>> This notice may not be removed or "
+        "altered from any source distribution."
     ),
     "cc-by-4.0": "licensed under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>a<<endOptional>> CC BY 4.0",
     "cc-by-sa-4.0": "licensed under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>a<<endOptional>> CC BY SA 4.0",

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelica.llm.common import ROW, SPACE, keyed, words_of, written
+from allelica.llm.common import ROW, SPACE, keyed, own_names, words_of, written
 
 WINDOW = 8
 HOST_DOCS, ALL_DOCS, MIN_TEXTS, MAX_LOST = 10, 20, 5, 0.5
@@ -142,6 +142,7 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
     )
 
 
+@own_names(ROW)
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are kept, without their removed lines; columns as before, n_chars counted anew.
 

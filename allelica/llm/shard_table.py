@@ -5,8 +5,9 @@ steps by a fixed skip. The shards take turns; in its turn a shard claims the fir
 permutation that is still free. A row's slot is its key's hash modulo the table size, and the slot
 names the shard. When a shard leaves, the others keep almost all their slots.
 
-The table has ``size`` rows whatever the input, so it is broadcast: its size bound is the parameter.
-Placing rows is a map-side join without a shuffle; a hot key costs no more than any other rows.
+The table has ``size`` rows whatever the input, so it is broadcast up to ``MAX_BROADCAST`` rows: its size bound
+is the parameter. Placing rows is a map-side join without a shuffle; a hot key costs no more than any other
+rows. A larger table is joined as Spark chooses.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_TABLE = 1_000_003
+from allelica.llm.common import free_name
+
+MAX_BROADCAST = 1_000_003
+N_SHARDS, SIZE = 64, 65_537
 
 
 def is_prime(n: int) -> bool:
@@ -32,8 +36,8 @@ def fill_table(shards: list[str], size: int) -> np.ndarray:
     """Slot -> index into ``shards``. Each shard gets size/len(shards) slots, give or take one."""
     if not shards or len(set(shards)) != len(shards):
         raise ValueError("shard names must be distinct and at least one")
-    if not is_prime(size) or size < len(shards) or size > MAX_TABLE:
-        raise ValueError(f"table size must be a prime from the number of shards to {MAX_TABLE}")
+    if not is_prime(size) or size < len(shards):
+        raise ValueError("table size must be a prime, and no less than the number of shards")
     at = [_number(f"offset:{s}") % size for s in shards]
     skip = [_number(f"skip:{s}") % (size - 1) + 1 for s in shards]
     taken = np.full(size, -1, dtype=np.int32)
@@ -49,9 +53,9 @@ def fill_table(shards: list[str], size: int) -> np.ndarray:
     return taken
 
 
-def lookup_frame(spark: SparkSession, shards: list[str], size: int) -> DataFrame:
+def lookup_frame(spark: SparkSession, shards: list[str], size: int, names: tuple[str, str] = ("slot", "shard")) -> DataFrame:
     slots = fill_table(shards, size)
-    return spark.createDataFrame([(i, int(k)) for i, k in enumerate(slots)], "__slot int, __shard int")
+    return spark.createDataFrame([(i, int(k)) for i, k in enumerate(slots)], f"`{names[0]}` int, `{names[1]}` int")
 
 
 def slot_of(key: Column, size: int) -> Column:
@@ -60,24 +64,23 @@ def slot_of(key: Column, size: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(size)).cast("int")
 
 
-def place(docs: DataFrame, key: str = "doc_id", n_shards: int = 64, size: int = 65_537) -> DataFrame:
+def place(docs: DataFrame, key: str = "doc_id", n_shards: int = N_SHARDS, size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` with ``slot`` and ``shard``, both int.
 
     Every row gets a shard: rows with a null key all go to the shard of the empty string, repeated keys
     go together, texts are not read. An empty table gives an empty result. Columns of these names that
     ``docs`` already has are replaced.
     """
-    lookup = lookup_frame(docs.sparkSession, [f"shard-{i:05d}" for i in range(n_shards)], size)
-    rows = docs.drop("slot", "shard").withColumn("__slot", slot_of(F.col(key), size))
-    return (
-        rows.join(F.broadcast(lookup), "__slot", "left")
-        .withColumnsRenamed({"__slot": "slot", "__shard": "shard"})
-        .select(*[c for c in docs.columns if c not in ("slot", "shard")], "slot", "shard")
-    )
-
-
-def write_shards(placed: DataFrame, path: str, splits: int = 8) -> None:
-    """One folder per shard. Each shard is dealt to ``splits`` writers, so no task holds a whole shard."""
-    cells = F.pmod(F.xxhash64(*[F.col(c) for c in placed.columns if c != "shard"]), F.lit(splits))
-    n = placed.select("shard").distinct().count()
-    placed.repartition(max(1, n * splits), "shard", cells).write.partitionBy("shard").parquet(path)
+    slot, shard = free_name(docs, "slot"), free_name(docs, "shard")
+    lookup = lookup_frame(docs.sparkSession, [f"shard-{i:05d}" for i in range(n_shards)], size, (slot, shard))
+    rows = docs.withColumn(slot, slot_of(F.col(key), size)).join(F.broadcast(lookup) if size <= MAX_BROADCAST else lookup, slot, "left")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("slot", "shard")]
+    return rows.select(*kept, F.col(slot).alias("slot"), F.col(shard).alias("shard"))
+
+
+def write_shards(placed: DataFrame, path: str, n_shards: int = N_SHARDS, splits: int = 8) -> None:
+    """One folder per shard that has rows, none for an empty table. Each shard is dealt to ``splits`` writers by
+    the hash of its rows' keys and places, so no task holds a whole shard; nulls, repeated rows and further
+    columns are written as they are."""
+    cells = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in placed.columns if c != "shard"]), F.lit(splits))
+    placed.repartition(n_shards * splits, "shard", cells).write.partitionBy("shard").parquet(path)

@@ -16,16 +16,18 @@ fingerprint and word, and never all pairs of a large group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelica.llm.common import ROW, keyed, lower_words, written
+from allelica.llm.common import ROW, keyed, lower_words, own_names, written
 from allelica.llm.components import components
 
-SEED, SHINGLE, SEGMENTS = 42, 3, 16
+SEED, SHINGLE, SEGMENTS, BITS = 42, 3, 16, 2
 
 
 def fingerprint(words: list[bytes], n: int = SHINGLE) -> int:
@@ -64,6 +66,12 @@ def embed(fp: Column) -> Column:
     return pairs.bitwiseAND(two) + F.shiftrightunsigned(pairs, 2).bitwiseAND(two)
 
 
+def manhattan(a: Column, b: Column) -> Column:
+    """Manhattan distance of two fingerprints' points."""
+    digit = lambda x, k: F.shiftrightunsigned(embed(x), 4 * k).bitwiseAND(F.lit(15))
+    return reduce(lambda s, k: s + F.abs(digit(a, k) - digit(b, k)), range(SEGMENTS), F.lit(0))
+
+
 def links(distinct_fp: DataFrame) -> DataFrame:
     """(a, b): every fingerprint linked to the least one that it meets; together they connect all pairs
     that differ in 2 bits or fewer. ``distinct_fp`` has one column fp without repeats."""
@@ -93,7 +101,9 @@ def links(distinct_fp: DataFrame) -> DataFrame:
     fits = (F.col("up") == 0) | ((F.col("up") > 0) == (F.col("fp").bitwiseAND(bit) == 0))
     meet = written(words.where(fits).select("fp", F.when(F.col("up") == 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(bit)).alias("word")))
     least = meet.groupBy("word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("word", "b")
-    return meet.join(least, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    pairs = meet.join(least, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    # Lower bound, then the exact distance: every link is checked.
+    return pairs.where(manhattan(F.col("a"), F.col("b")) <= BITS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
 
 
 def cluster(docs: DataFrame) -> DataFrame:
@@ -119,11 +129,13 @@ def _leasts(prints: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
     return rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("rep").alias("least"))
 
 
+@own_names(ROW)
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, the one with the least doc_id; columns as before.
 
     Of several rows with that id the first stays, and a component without any id keeps its first row. Ids
-    only order the rows: rows of other components are kept whatever ids they share.
+    only order the rows: rows of other components are kept whatever ids they share. Null and empty texts are
+    one component, an empty table stays empty, and further columns are passed on.
     """
     rows = keyed(docs)
     prints = written(fingerprints(rows, ("doc_id", ROW)))

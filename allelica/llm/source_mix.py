@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelica.llm.common import ROW, keyed, words_of, written
+from allelica.llm.common import ROW, keyed, own_names, words_of, written
 
 WEIGHTS = (5, 2, 1)
 LEVELS = 6
@@ -143,6 +143,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5, most: flo
     )
 
 
+@own_names(ROW, DIGITS)
 def repeat(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns as before.
 

@@ -1,7 +1,7 @@
 """Token-id files: canonical length-limited Huffman codes in independent blocks with bit-offset checkpoints.
 
 Writing: texts are tokenized once and the ids kept in a shared table; ids are counted over all documents;
-the code lengths (at most ``LIMIT`` bits, by package-merge) come from these global counts, and the codes
+the code lengths (at most ``LIMIT`` bits, or as many as that number of ids needs, by package-merge) come from these global counts, and the codes
 follow from the lengths alone. Rows are range-partitioned and sorted by doc_id and written as blocks of
 ``BLOCK`` ids. A block holds its bits, the bit offset of every ``STRIDE``-th id, and the parts of
 documents in it, so any block, and any stride of it, can be decoded alone.
@@ -215,7 +215,8 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 class Code:
     """Canonical codes: by length, then by id."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, limit: int = LIMIT):
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+        limit = max(LIMIT, int(lengths.max())) if len(lengths) else LIMIT
         self.ids, self.lengths, self.limit = ids, lengths, limit
         order = np.lexsort((ids, lengths))
         slots = 1 << (limit - lengths[order].astype(np.int64))
@@ -291,9 +292,9 @@ def write_blocks(tokens: DataFrame, code: Code, width: type, path: str, total: i
             return {"part": [part], "first": [first], "n_ids": [len(ids)], "payload": [payload], "offsets": [offsets],
                     "piece_doc": [docs], "piece_start": [starts], "piece_at": [ats], "piece_n": [sizes]}
 
-        number = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-        schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("offsets", pa.binary()), ("piece_doc", pa.list_(number)), ("piece_start", pa.list_(pa.int64())), ("piece_at", pa.list_(pa.int64())), ("piece_n", pa.list_(pa.int32()))])
         for b in batches:
+            number = b.column("doc_id").type
+            schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("offsets", pa.binary()), ("piece_doc", pa.list_(number)), ("piece_start", pa.list_(pa.int64())), ("piece_at", pa.list_(pa.int64())), ("piece_n", pa.list_(pa.int32()))])
             for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
                 ids = np.frombuffer(raw.as_buffer(), dtype=width)
                 start, at = first + n, 0
@@ -324,7 +325,7 @@ def encode(docs: DataFrame, tokenizer: str, path: str, end: int = 2) -> None:
     tokens = written(tokenize(docs, tokenizer, end), "zstd")
     counts = id_counts(tokens).orderBy("id").collect()  # one row per vocabulary entry at most
     ids, n = np.array([r.id for r in counts], dtype=np.int64), np.array([r.n for r in counts], dtype=np.int64)
-    code = Code(ids, code_lengths(n))
+    code = Code(ids, code_lengths(n, max(LIMIT, len(n).bit_length())))
     spark = docs.sparkSession
     rows = [(int(i), int(c), int(k)) for i, c, k in zip(ids, n, code.lengths, strict=True)]
     spark.createDataFrame(rows, "id bigint, n bigint, length int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -374,6 +375,7 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         own = Code(*shared.value)
         for b in batches:
+            doc_type = b.column("piece_doc").type.value_type
             for at in range(0, b.num_rows, 16):
                 p = b.slice(at, 16).to_pydict()
                 found: dict[str, list] = {k: [] for k in ("part", "doc_id", "piece_start", "at", "n", "crc")}
@@ -389,7 +391,6 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
                     list(found),
                 )
 
-    doc_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     pieces = blocks.drop("first").mapInArrow(run, f"part int, doc_id {kind}, piece_start bigint, at bigint, n bigint, crc bigint")
     docs = pieces.groupBy("part", "piece_start", "doc_id").agg(
         F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces"), F.sum("n").alias("n_tokens")

@@ -20,7 +20,7 @@ DOCS = [
 ]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use for columns of their own.
-CLASH = ("n", "words", "size", "digits", "fp", "cell", "slot", "shard", "copy", "row", "ids", "v", "rows", "hits")
+CLASH = ("n", "words", "size", "digits", "fp", "cell", "slot", "shard", "copy", "row", "ids", "v", "rows", "hits", "_row_key", "_mix_digits", "_slot_", "key", "salt", "hash", "host", "line", "lines", "removed")
 
 
 @pytest.fixture(scope="session")
