@@ -421,19 +421,14 @@ def mixed_by_loops(texts, training, tokens, counts):
                 x.append(local((None, word, *node)))
                 want = [byte >> (7 - k) & 1 for byte, _ in guess]
                 x = np.array(x + [(2 * want[j] - 1) * r[j] if alive[j] else 0.0 for j in (0, 1)])
-                z = np.clip(w @ x, -9, 9)
-                w += m.RATE * (bit - sigmoid(z)) * x
-                f = int(np.floor(z))
-                fix = fixes.get(f, 0.0)
-                p = sigmoid(np.clip(z + fix, -9, 9))
-                fixes[f] = fix + m.REFINE * (bit - p)
+                p = sigmoid(np.clip(w @ x + fixes.get(k, 0.0), -9, 9))
+                w += m.RATE * (bit - p) * x
+                fixes[k] = fixes.get(k, 0.0) + m.REFINE * (bit - p)
                 logp += np.log10(p if bit else 1 - p)
-                for j in (0, 1):
-                    if alive[j]:
-                        r[j] += m.ADAPT * ((want[j] == bit) - sigmoid(r[j]))
-                        alive[j] = want[j] == bit
+                alive = [a and v == bit for a, v in zip(alive, want, strict=True)]
             for j, (_, level) in enumerate(guess):
-                trust[j, level] = r[j]
+                if level:
+                    trust[j, level] = r[j] + m.ADAPT * (alive[j] - sigmoid(r[j]) ** 8)
         out.append(logp)
     return out
 
