@@ -62,3 +62,12 @@ def ordered_hash(rows: DataFrame, name: str, order: str) -> DataFrame:
     """One row: hash of a sample or marker table's ids in file order. The list has one id per row of the table."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).cast("string").alias("s")))), lambda x: x["s"])
     return rows.agg(id_hash_column(ids).alias("hash"))
+
+
+def pair_class(a: Column, b: Column) -> Column:
+    """Class of an allele pair up to strand: AC 0, AG 1, AT 2, CA 3, CG 4, CT 5; -1 for equal or unknown ones."""
+    i, j = (F.array_position(F.array(*map(F.lit, "ACGT")), x).cast("int") - 1 for x in (a, b))
+    turn = i > 1
+    i, j = F.when(turn, 3 - i).otherwise(i), F.when(turn, 3 - j).otherwise(j)
+    known = a.isin(*"ACGT") & b.isin(*"ACGT") & (a != b)
+    return F.when(~F.coalesce(known, F.lit(False)), -1).when(i == 0, j - 1).when(j == 0, 3).otherwise(j + 2)

@@ -24,21 +24,23 @@ def greedy_starts(position: np.ndarray, size: int) -> np.ndarray:
 def assign_blocks(marker: DataFrame, size: int = 500_000) -> DataFrame:
     """The markers with ``block``, numbered from 1 over chromosomes and positions.
 
-    ``size`` is in the units of genpos (500,000 of 1e-7 Morgan are 0.05 Morgan). A task holds one
-    chromosome's markers, whose number the genome bounds.
+    ``size`` is in the units of genpos (500,000 of 1e-7 Morgan are 0.05 Morgan). Block starts follow from the
+    distinct positions, so a task holds one chromosome's positions, whose number its length bounds, and no
+    markers.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["genpos", "physpos", "snp"], kind="stable")
-        return pdf.assign(local=greedy_starts(pdf["genpos"].to_numpy(), size))[["snp", "chrom", "local"]]
+        pdf = pdf.sort_values("genpos", kind="stable")
+        return pdf.assign(local=greedy_starts(pdf["genpos"].to_numpy(), size))
 
-    local = marker.select("snp", "chrom", "genpos", "physpos").groupBy("chrom").applyInPandas(one, "snp bigint, chrom bigint, local bigint")
+    kind = dict(marker.dtypes)["genpos"]
+    local = marker.select("chrom", "genpos").distinct().groupBy("chrom").applyInPandas(one, f"chrom bigint, genpos {kind}, local bigint")
     # One row per chromosome.
     counts = local.groupBy("chrom").agg((F.max("local") + 1).alias("blocks"))
     before = F.sum("blocks").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("chrom", F.coalesce(before, F.lit(0)).alias("base"))
-    numbered = local.join(base, "chrom").select("snp", (F.col("local") + F.col("base") + 1).cast("bigint").alias("block"))
-    return marker.join(numbered, "snp")
+    numbered = local.join(base, "chrom").select("chrom", "genpos", (F.col("local") + F.col("base") + 1).cast("bigint").alias("block"))
+    return marker.join(numbered, ["chrom", "genpos"]).select(*marker.columns, "block")
 
 
 def from_table(marker: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -43,16 +43,29 @@ def moments(counts: DataFrame) -> DataFrame:
 
 
 def inbred_moments(classes: DataFrame) -> DataFrame:
-    """The same from genotype classes of inbred samples: two alleles of one sample are never compared."""
-    f = F.col("x0") + F.col("x1") + F.col("x2")
-    n0, n1 = 2 * F.col("x0") + F.col("x1"), 2 * F.col("x2") + F.col("x1")
+    """The same from genotype classes of inbred samples: two alleles of one sample are never compared.
+
+    Hemizygous samples, where there are columns w0 and w1 of them, have one allele each.
+    """
+    w0, w1 = (F.col(c) if c in classes.columns else F.lit(0) for c in ("w0", "w1"))
     x0, x1, x2 = F.col("x0"), F.col("x1"), F.col("x2")
-    pairs = 4 * x0 * x2 + 2 * x2 * x1 + 2 * x0 * x1 + x1 * (x1 - 1)
-    h = F.when(f >= 2, pairs / (4 * f * (f - 1)))
-    out = classes.withColumns({"n0": n0, "n1": n1, "n": 2 * f, "p": n1 / (2 * f), "h": h})
+    f, m = x0 + x1 + x2, w0 + w1
+    n0, n1 = 2 * x0 + x1 + w0, 2 * x2 + x1 + w1
+    pairs = 4 * x0 * x2 + 2 * x2 * x1 + 2 * x0 * x1 + x1 * (x1 - 1) + (2 * x0 + x1) * w1 + (2 * x2 + x1) * w0 + w0 * w1
+    all_pairs = 4 * f * (f - 1) + 4 * f * m + m * (m - 1)
+    out = classes.withColumns({"n0": n0, "n1": n1, "n": n0 + n1, "p": n1 / (n0 + n1), "h": F.when(f + m >= 2, F.try_divide(pairs, all_pairs))})
     return out.withColumn("c", F.col("p") - F.col("h") - F.col("p") * F.col("p"))
 
 
+def hemizygous_classes(genotype: DataFrame, sample: DataFrame, haploid: Column) -> DataFrame:
+    """snp, pop, x0, x1, x2 of diploid samples and w0, w1 of those for which ``haploid`` holds; a heterozygous
+    call of the latter is dropped."""
+    rows = genotype.join(sample.select("sample", "pop", haploid.alias("haploid")), "sample")
+    count = lambda on, name: F.sum(on.cast("bigint")).alias(name)
+    g, own = F.col("g"), F.col("haploid")
+    return rows.groupBy("snp", "pop").agg(*[count(~own & (g == k), f"x{k}") for k in range(3)], count(own & (g == 0), "w0"), count(own & (g == 2), "w1"))
+
+
 def by_marker(stats: DataFrame, keys: tuple[str, ...] = ("snp", "block")) -> DataFrame:
     """One row per marker with ``m``, a map from population to its counts and moments.
 

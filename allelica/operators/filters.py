@@ -106,3 +106,82 @@ def thinned(marker: DataFrame, distance: int) -> DataFrame:
     blocked = assign_blocks(marker, distance)
     first = Window.partitionBy("block").orderBy("genpos", "physpos", "snp")
     return blocked.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "block")
+
+
+def chromosome_range(marker: DataFrame, low: int, high: int) -> DataFrame:
+    return marker.where(F.col("chrom").between(low, high))
+
+
+def listed_samples(sample: DataFrame, names: DataFrame) -> DataFrame:
+    """The samples on a list; it overrides any choice by population."""
+    return sample.join(names.select("sample").distinct(), "sample", "left_semi")
+
+
+def without_male_x_hets(genotype: DataFrame, sample: DataFrame, marker: DataFrame, x: int = 23) -> DataFrame:
+    """The calls without heterozygous ones of males (sex M) on chromosome ``x``: those become missing."""
+    on_x = marker.where(F.col("chrom") == x).select("snp", F.lit(True).alias("on_x"))
+    males = sample.where("sex = 'M'").select("sample", F.lit(True).alias("male"))
+    rows = genotype.join(on_x, "snp", "left").join(males, "sample", "left")
+    return rows.where((F.col("g") != 1) | F.col("on_x").isNull() | F.col("male").isNull()).select("snp", "sample", "g")
+
+
+def explicit_weights(counts: DataFrame, outpop) -> DataFrame:
+    """snp, weight: (a+b+2)(a+b+1) / ((a+1)(b+1)) of the outgroup's allele counts, the expected 1/(p(1-p)) under
+    a flat prior, scaled to mean 1 over the markers."""
+    a, b = F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0))
+    raw = (a + b + 2) * (a + b + 1) / ((a + 1) * (b + 1))
+    every = counts.select("snp").distinct().join(counts.where(F.col("pop") == outpop), "snp", "left").select("snp", raw.alias("raw"))
+    mean = every.agg(F.avg("raw")).first()[0]
+    return every.select("snp", (F.col("raw") / F.lit(mean)).alias("weight"))
+
+
+def allele_pairs(marker: DataFrame, mode: int) -> DataFrame:
+    """Markers whose pair of alleles the mode allows: 0 any, 1 the transversion classes AC, AT and CA, 2 all but
+    the transitions, 10 + k only class k, 99 also pairs that have no class."""
+    from allelica.functions.alleles import pair_class
+
+    c = pair_class(F.col("ref"), F.col("alt"))
+    if mode == 99:
+        return marker
+    if mode >= 10:
+        return marker.where(c == mode - 10)
+    keep = {0: c >= 0, 1: c.isin(0, 2, 3), 2: (c >= 0) & ~c.isin(1, 5)}
+    return marker.where(keep[mode])
+
+
+def legal_tuple(types: Column, bankers: int) -> Column:
+    """Whether four populations of kinds 0, 1 and 2 (banker) may form a query: one of kind 1 at least, and two
+    bankers or all the ``bankers`` there are. ``types`` is the array of the four kinds, bankers distinct."""
+    count = lambda k: F.size(F.filter(types, lambda t: t == k))
+    return (count(1) > 0) & ((count(2) >= 2) | (count(2) == bankers))
+
+
+def linked_prune(scores: DataFrame, linked: DataFrame) -> DataFrame:
+    """snp of the markers that stay after pruning. ``scores`` has (snp, chrom, ord, score), ``linked`` the pairs
+    (snp1, snp2, chrom) within the window whose correlation is too high.
+
+    Along a chromosome each marker that is still there looks at the later ones it is linked to: if one of
+    them has a greater score it goes itself, else they go. Pairs come from a distributed band join; the walk
+    holds one chromosome's linked pairs, and markers without pairs never reach it.
+    """
+    import pandas as pd
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["ord1", "ord2"])
+        gone: set = set()
+        for first, group in own.groupby("ord1", sort=True):
+            if first in gone:
+                continue
+            rows = [r for r in zip(group["ord2"], group["score1"], group["score2"], strict=True) if r[0] not in gone]
+            if rows and max(r[2] for r in rows) > rows[0][1]:
+                gone.add(first)
+            else:
+                gone.update(r[0] for r in rows)
+        names = dict(zip(own["ord1"], own["snp1"], strict=True)) | dict(zip(own["ord2"], own["snp2"], strict=True))
+        return pd.DataFrame({"snp": [names[k] for k in gone]}, dtype="int64")
+
+    one = scores.select(F.col("snp").alias("snp1"), F.col("ord").alias("ord1"), F.col("score").alias("score1"))
+    two = scores.select(F.col("snp").alias("snp2"), F.col("ord").alias("ord2"), F.col("score").alias("score2"))
+    pairs = linked.select("snp1", "snp2", "chrom").join(one, "snp1").join(two, "snp2").where("ord1 < ord2")
+    gone = pairs.groupBy("chrom").applyInPandas(walk, "snp bigint")
+    return scores.select("snp").join(gone, "snp", "left_anti")

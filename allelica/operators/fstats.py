@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,14 +58,48 @@ def dstat(markers: DataFrame, queries: Sequence[Sequence], f4mode: bool = False)
     """
     if any(len(set(q)) < 4 for q in queries):
         raise ValueError("a D statistic needs four different populations")
-    rows = spread(markers, queries, 4)
-    ab = [F.col(f"p{a}") * (1 - F.col(f"p{b}")) for a, b in ((0, 1), (1, 0), (2, 3), (3, 2))]
-    rows = rows.withColumns({"baba": ab[0] * ab[2] + ab[1] * ab[3], "abba": ab[0] * ab[3] + ab[1] * ab[2]})
-    bot = F.lit(1.0) if f4mode else F.col("baba") + F.col("abba")
-    sums = _sums(rows, F.col("baba") - F.col("abba"), F.when(F.col("baba").isNotNull(), bot), F.sum("baba").alias("baba"), F.sum("abba").alias("abba"))
+    sums = d_blocks(markers, queries, f4mode)
     return _finish(sums, queries, "d", [F.col("baba"), F.col("abba")], [F.sum("baba").alias("baba"), F.sum("abba").alias("abba")])
 
 
+def d_blocks(markers: DataFrame, queries: Sequence[Sequence], f4mode: bool = False, cells: int = 2_000_000) -> DataFrame:
+    """qid, block, top, bot, n, baba, abba of D statistics.
+
+    Frequencies are laid out once a marker as an array in the order of the populations; tasks multiply batches of
+    markers by the tuples' columns, at most ``cells`` products at once, and add them up by block before the
+    shuffle. Tuples are an array of four small numbers each, sent to the tasks; none is a literal of the plan.
+    """
+    pops = list(dict.fromkeys(p for q in queries for p in q))
+    place = {p: k for k, p in enumerate(pops)}
+    tuples = markers.sparkSession.sparkContext.broadcast(np.array([[place[p] for p in q] for q in queries], dtype=np.int32))
+    wide = markers.select(F.col("block").cast("bigint").alias("block"), F.array(*[F.coalesce(F.try_element_at("m", F.lit(p))["p"], F.lit(float("nan"))) for p in pops]).alias("p"))
+
+    def run(batches):
+        t = tuples.value
+        step = 64
+        for b in batches:
+            block = b.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            p = b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(len(block), -1)[order]
+            own, first = np.unique(block[order], return_index=True)
+            step = max(1, cells // max(1, len(block)))
+            for at in range(0, len(t), step):
+                q = t[at : at + step]
+                w = [p[:, q[:, k]] for k in range(4)]
+                held = ~np.isnan(w[0] + w[1] + w[2] + w[3])
+                ab = [np.where(held, w[i] * (1 - w[j]), 0.0) for i, j in ((0, 1), (1, 0), (2, 3), (3, 2))]
+                sums = [np.add.reduceat(x, first, axis=0) for x in (ab[0] * ab[2] + ab[1] * ab[3], ab[0] * ab[3] + ab[1] * ab[2], held.astype(np.int64))]
+                i, j = np.nonzero(sums[2])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((j + at).astype(np.int32)), pa.array(own[i]), *[pa.array(x[i, j]) for x in sums]], ["qid", "block", "baba", "abba", "n"]
+                )
+
+    found = wide.mapInArrow(run, "qid int, block bigint, baba double, abba double, n bigint")
+    sums = found.groupBy("qid", "block").agg(*[F.sum(c).alias(c) for c in ("baba", "abba", "n")])
+    bot = F.col("n").cast("double") if f4mode else F.col("baba") + F.col("abba")
+    return sums.select("qid", "block", (F.col("baba") - F.col("abba")).alias("top"), bot.alias("bot"), "n", "baba", "abba")
+
+
 def three_pairings(pops: Sequence) -> list[tuple]:
     """For every four of the populations the three ways of pairing them."""
     out = []
@@ -214,3 +250,64 @@ def general_blocks(markers: DataFrame, quads: Sequence[Sequence]) -> DataFrame:
     for i, j, sign in ((0, 2, 1), (1, 3, 1), (0, 3, -1), (1, 2, -1)):
         top = top + F.when(F.col("q")[i] == F.col("q")[j], sign * F.col(f"c{i}")).otherwise(0.0)
     return _sums(rows, top, F.when(top.isNotNull(), F.lit(1.0)))
+
+
+def inbreeding(classes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """pop, inbreeding, se, nsnp, blocks: the share of heterozygosity between samples that is missing within them,
+    sum(H - h) / sum(H) by block jackknife, over markers with two samples of the population or more."""
+    s = F.col("x0") + F.col("x1") + F.col("x2")
+    between = 2 * (F.col("x0") * F.col("x2") + (F.col("x0") + F.col("x2")) * F.col("x1") / 2 + F.col("x1") * (F.col("x1") - 1) / 4) / (s * (s - 1))
+    rows = classes.where(s >= 2).join(blocks.select("snp", "block"), "snp").select("pop", "block", between.alias("bot"), (between - F.col("x1") / s).alias("top"))
+    sums = rows.groupBy("pop", "block").agg(F.sum("top").alias("top"), F.sum("bot").alias("bot"), F.count("*").alias("n"))
+    total = sums.groupBy("pop").agg(F.sum("n").alias("nsnp"))
+    return jackknife.ratio(sums, ["pop"]).join(total, "pop").select("pop", F.col("est").alias("inbreeding"), "se", "nsnp", "blocks")
+
+
+def fst_scale(matrix: DataFrame) -> DataFrame:
+    """scale: FST regressed on f2 without a constant, weighted by the inverse variance of FST, from ``pair_matrix``."""
+    w = 1 / ((F.col("fst_se") + 1e-10) * (F.col("fst_se") + 1e-10))
+    return matrix.agg((F.sum(w * F.col("fst") * F.col("f2")) / F.sum(w * F.col("f2") * F.col("f2"))).alias("scale"))
+
+
+def frequency_correlation(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
+    """qid, rho, se, blocks: Pearson correlation of two populations' frequencies over markers with both, with a
+    block jackknife from six sums."""
+    rows = spread(markers, queries, 2).where("p0 is not null and p1 is not null")
+    terms = {"s11": F.col("p0") * F.col("p0"), "s22": F.col("p1") * F.col("p1"), "s12": F.col("p0") * F.col("p1"), "s1": F.col("p0"), "s2": F.col("p1"), "n": F.lit(1)}
+    sums = rows.groupBy("qid", "block").agg(*[F.sum(v).alias(c) for c, v in terms.items()])
+    own = jackknife.Window.partitionBy("qid")
+    sums = sums.withColumns({f"all_{c}": F.sum(c).over(own) for c in terms})
+
+    def rho(at) -> Column:
+        n = at("n")
+        cov, v1, v2 = (at(f"s{i}{j}") - at(f"s{i}") * at(f"s{j}") / n for i, j in ((1, 2), (1, 1), (2, 2)))
+        return F.try_divide(cov, F.sqrt(v1 * v2))
+
+    whole, less = rho(lambda c: F.col(f"all_{c}")), rho(lambda c: F.col(f"all_{c}") - F.col(c))
+    return jackknife.jackknife(sums, ["qid"], whole, less).select("qid", F.col("jack").alias("rho"), "se", "blocks")
+
+
+def variance_weighted_f4(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
+    """qid, f4, se, blocks: block means weighted by the inverse of their variances, from the spread of the markers
+    within a block; blocks of one marker or without spread are left out."""
+    rows = spread(markers, queries, 4).withColumn("v", f4("p0", "p1", "p2", "p3")).where("v is not null")
+    own = rows.groupBy("qid", "block").agg(F.avg("v").alias("mean"), (F.var_samp("v") / F.count("*")).alias("var")).where("var > 0")
+    sums = own.select("qid", "block", (F.col("mean") / F.col("var")).alias("top"), (1 / F.col("var")).alias("bot"), (1 / F.col("var")).alias("n"))
+    return jackknife.ratio(sums, ["qid"]).select("qid", F.col("jack").alias("f4"), "se", "blocks")
+
+
+def subset(queries: Sequence[Sequence], low: int, high: int) -> list[tuple[int, Sequence]]:
+    """Lines ``low`` to ``high`` of a list of tuples, both from 1 on and included, with their numbers."""
+    return [(k, q) for k, q in enumerate(queries, 1) if low <= k <= high]
+
+
+def complete_blocks(markers: DataFrame, quads: Sequence[Sequence]) -> DataFrame:
+    """qid, block, top, bot, n as ``general_blocks``, over markers where all the statistics are known."""
+    rows = spread(markers, quads, 4)
+    top = f4("p0", "p1", "p2", "p3")
+    for i, j, sign in ((0, 2, 1), (1, 3, 1), (0, 3, -1), (1, 2, -1)):
+        top = top + F.when(F.col("q")[i] == F.col("q")[j], sign * F.col(f"c{i}")).otherwise(0.0)
+    rows = rows.select("snp", "block", "qid", top.alias("top")).where("top is not null")
+    whole = rows.groupBy("snp").agg(F.count("*").alias("k")).where(F.col("k") == len(quads)).select("snp")
+    kept = rows.join(whole, "snp", "left_semi")
+    return kept.groupBy("qid", "block").agg(F.sum("top").alias("top"), F.count("*").cast("double").alias("bot"), F.count("*").alias("n"))

@@ -58,24 +58,33 @@ def effective_blocks(weights: np.ndarray) -> float:
 
 
 def fourier(full: float, without: np.ndarray, weights: np.ndarray) -> tuple[float, float, float]:
-    """(mean, error, lag-one correlation) for blocks in genome order.
+    """(mean, error, lag-one correlation) for blocks in genome order, ``without`` the estimate less each block.
 
-    With a positive circular lag-one correlation of the scaled residuals, residuals and weights are
-    whitened by the circulant whose spectrum is (1 + 2 rho cos(2 pi k / g)) to the power -1/2.
+    rho is the circular lag-one correlation of the centred estimates over the square roots of their weights.
+    Below 0 the plain jackknife stands. Else the estimates are whitened by the circulant kernel c whose
+    spectrum is (1 + 2 rho cos(2 pi k / g)) to the power -1/2, scaled to sum 1; a whitened block's weight is
+    the sum of c_k^2 w and of the lag-one terms c_k c_(k+1) rho sqrt(w w'), scaled to mean 1. A spectrum that
+    is not positive, at rho of a half and more, has no such kernel: the error is not a number.
     """
-    w, x = weights.astype(float), without.astype(float)
-    n, g = w.sum(), len(w)
-    h = n / w
-    mean = (full - x).sum() + (w * x).sum() / n
-    tau = h * full - (h - 1) * x
-    scaled = (tau - mean) / np.sqrt(h - 1)
-    rho = float((scaled * np.roll(scaled, 1)).sum() / (scaled * scaled).sum())
-    if rho <= 0:
-        return mean, float(np.sqrt((scaled * scaled).mean())), rho
-    spectrum = (1 + 2 * min(rho, 0.49) * np.cos(2 * np.pi * np.arange(g) / g)) ** -0.5
-    spectrum /= spectrum[0]
-    white = lambda v: np.fft.ifft(np.fft.fft(v) * spectrum).real
-    block_mean, whitened = white(tau), np.maximum(white(w), 1e-6)
-    h2 = whitened.sum() / whitened
-    centre = (whitened * block_mean).sum() / whitened.sum()
-    return centre, float(np.sqrt(((block_mean - centre) ** 2 / (h2 - 1)).mean())), rho
+    w, x = weights.astype(float) + 1e-20, without.astype(float)
+    g, centre = len(w), without.mean()
+    scaled = (x - centre) / np.sqrt(w)
+    pair = np.corrcoef(scaled, np.roll(scaled, -1))[0, 1]
+    rho = float(pair) if pair == pair else 0.0
+    if rho < 0:
+        return (*_plain(full, x, w), 0.0)
+    spectrum = 1 + 2 * rho * np.cos(2 * np.pi * np.arange(g) / g)
+    if (spectrum <= 0).any():
+        return full, float("nan"), rho
+    kernel = np.fft.ifft(spectrum**-0.5).real
+    kernel /= kernel.sum()
+    turn = lambda a, b: np.fft.ifft(np.fft.fft(a) * np.fft.fft(b)).real
+    cross = rho * np.sqrt(w * np.roll(w, -1))
+    # Sums over k of c_k c_(k+1) q at k places further on.
+    new = turn(kernel**2, w) + np.fft.ifft(np.conj(np.fft.fft(kernel * np.roll(kernel, -1))) * np.fft.fft(cross)).real
+    return (*_plain(full, turn(kernel, x - centre) + centre, new / new.mean()), rho)
+
+
+def _plain(full: float, without: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    mean, cov = vector(without[:, None], np.array([full]), weights)
+    return float(mean[0]), float(np.sqrt(cov[0, 0]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,26 +19,50 @@ def marker_pairs(marker: DataFrame, most: int) -> DataFrame:
     return pairs.select("snp1", "snp2", "chrom", (F.col("g2") - F.col("g1")).alias("distance"))
 
 
+def planes(genotype: DataFrame) -> DataFrame:
+    """snp and three arrays of 64-bit words, a bit for each sample: ``c`` called, ``p1`` one reference allele,
+    ``p2`` two. A marker is three bits a sample, whatever the form of the ids.
+
+    Samples are numbered by id; the numbering is one row for each sample.
+    """
+    names = genotype.select("sample").distinct().withColumn("k", (F.row_number().over(Window.orderBy("sample")) - 1).cast("int"))
+    n = names.count()
+    rows = genotype.join(names, "sample").select("snp", F.shiftright("k", 6).alias("word"), "g", F.expr("shiftleft(1L, k & 63)").alias("bit"))
+    word = rows.groupBy("snp", "word").agg(
+        F.bit_or("bit").alias("c"), F.bit_or(F.when(F.col("g") == 1, F.col("bit")).otherwise(0)).alias("p1"),
+        F.bit_or(F.when(F.col("g") == 2, F.col("bit")).otherwise(0)).alias("p2"),
+    )
+    held = word.groupBy("snp").agg(F.array_sort(F.collect_list(F.struct("word", "c", "p1", "p2"))).alias("w"))
+    # Dense arrays: a word without calls is a zero, so a word's place is its number.
+    every = F.transform(F.sequence(F.lit(0), F.lit(max(0, (n - 1) // 64))), lambda k: F.get(F.filter("w", lambda x: x["word"] == k), 0))
+    zero = F.lit(0).cast("bigint")
+    dense = held.select("snp", every.alias("w"))
+    part = lambda c: F.transform("w", lambda x: F.coalesce(x[c], zero)).alias(c)
+    return dense.select("snp", part("c"), part("p1"), part("p2"))
+
+
 def pair_tables(genotype: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs with n and the sums x, y, xx, yy, xy of the calls over common samples.
 
-    Calls are gathered once to a map per marker (a row per marker, not per call), and a pair's sums are
-    taken over the common keys of two maps.
+    Calls are packed to bit planes once a marker; a pair's sums are bit counts of ANDs, word by word.
     """
-    packed = genotype.groupBy("snp").agg(F.map_from_entries(F.collect_list(F.struct("sample", "g"))).alias("calls"))
-    one = packed.select(F.col("snp").alias("snp1"), F.col("calls").alias("c1"))
-    two = packed.select(F.col("snp").alias("snp2"), F.col("calls").alias("c2"))
+    packed = planes(genotype)
+    one = packed.select(F.col("snp").alias("snp1"), *[F.col(c).alias(f"a_{c}") for c in ("c", "p1", "p2")])
+    two = packed.select(F.col("snp").alias("snp2"), *[F.col(c).alias(f"b_{c}") for c in ("c", "p1", "p2")])
     rows = pairs.join(one, "snp1").join(two, "snp2")
-    zero = lambda: F.lit(0).cast("bigint")
-    start = F.struct(*[zero().alias(n) for n in ("n", "x", "y", "xx", "yy", "xy")])
 
-    def step(acc, k):
-        g, h = F.try_element_at("c1", k), F.try_element_at("c2", k)
-        add = {"n": F.lit(1), "x": g, "y": h, "xx": g * g, "yy": h * h, "xy": g * h}
-        return F.struct(*[(acc[n] + v).cast("bigint").alias(n) for n, v in add.items()])
+    def common(x: str, y: str) -> Column:
+        """Samples with a bit in both planes."""
+        ands = F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(v)))
+        return F.aggregate(ands, F.lit(0).cast("bigint"), lambda s, v: s + v)
 
-    sums = F.aggregate(F.array_intersect(F.map_keys("c1"), F.map_keys("c2")), start, step)
-    return rows.withColumn("s", sums).select("snp1", "snp2", "chrom", "distance", "s.*")
+    x1, x2, y1, y2 = common("a_p1", "b_c"), common("a_p2", "b_c"), common("a_c", "b_p1"), common("a_c", "b_p2")
+    xy = common("a_p1", "b_p1") + 2 * (common("a_p1", "b_p2") + common("a_p2", "b_p1")) + 4 * common("a_p2", "b_p2")
+    out = rows.select("snp1", "snp2", "chrom", "distance", common("a_c", "b_c").alias("n"), x1.alias("x1"), x2.alias("x2"), y1.alias("y1"), y2.alias("y2"), xy.alias("xy"))
+    first = lambda c: F.col(f"{c}1") + 2 * F.col(f"{c}2")
+    second = lambda c: F.col(f"{c}1") + 4 * F.col(f"{c}2")
+    sums = [first("x").alias("x"), first("y").alias("y"), second("x").alias("xx"), second("y").alias("yy"), F.col("xy")]
+    return out.where("n > 0").select("snp1", "snp2", "chrom", "distance", "n", *sums)
 
 
 def r_squared(tables: DataFrame) -> DataFrame:
@@ -55,3 +79,24 @@ def decay(tables: DataFrame, weights: DataFrame, bin_size: int) -> DataFrame:
     rows = rows.withColumns({"ld": (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1), "w": F.col("w1") * F.col("w2"), "bin": F.floor(F.col("distance") / bin_size)})
     sums = rows.groupBy("bin").agg(F.count("*").alias("pairs"), F.sum(F.col("ld") * F.col("w")).alias("lw"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("ld") * F.col("ld")).alias("ll"))
     return sums.select("bin", "pairs", F.try_divide("lw", "ww").alias("regression"), F.try_divide(F.col("lw"), F.sqrt(F.col("ww") * F.col("ll"))).alias("correlation"))
+
+
+def chi_square(tables: DataFrame) -> DataFrame:
+    """Pairs with ``chi2``, n times the squared correlation; null where a marker does not vary."""
+    cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
+    var = (F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y"))
+    return tables.withColumn("chi2", F.when(var > 0, F.col("n") * cov * cov / var))
+
+
+def decay_without_each(tables: DataFrame, weights: DataFrame, bin_size: int) -> DataFrame:
+    """chrom, bin, pairs, regression: the decay table with each chromosome left out, by subtraction from the whole
+    sums; what a jackknife of the date over chromosomes fits."""
+    w = weights.select("snp", "weight")
+    rows = tables.where("n >= 4").join(w.select(F.col("snp").alias("snp1"), F.col("weight").alias("w1")), "snp1").join(w.select(F.col("snp").alias("snp2"), F.col("weight").alias("w2")), "snp2")
+    rows = rows.withColumns({"ld": (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1), "w": F.col("w1") * F.col("w2"), "bin": F.floor(F.col("distance") / bin_size)})
+    own = rows.groupBy("bin", "chrom").agg(F.count("*").alias("k"), F.sum(F.col("ld") * F.col("w")).alias("lw"), F.sum(F.col("w") * F.col("w")).alias("ww"))
+    # The sums are a row for each bin and chromosome.
+    whole = own.groupBy("bin").agg(*[F.sum(c).alias(f"all_{c}") for c in ("k", "lw", "ww")])
+    grid = whole.join(F.broadcast(own.select("chrom").distinct()), F.lit(True)).join(own, ["bin", "chrom"], "left")
+    less = lambda c: F.col(f"all_{c}") - F.coalesce(c, F.lit(0))
+    return grid.select("chrom", "bin", less("k").alias("pairs"), F.try_divide(less("lw"), less("ww")).alias("regression")).where("pairs > 0")

@@ -14,10 +14,11 @@ def flipped(code: Column, g: Column) -> Column:
     return F.when(code == 2, 2 - g).otherwise(g)
 
 
-def merge(g1: DataFrame, m1: DataFrame, g2: DataFrame, m2: DataFrame, allow_dups: bool = False, strand_check: bool = True, check_positions: bool = False) -> DataFrame:
+def merge(g1: DataFrame, m1: DataFrame, g2: DataFrame, m2: DataFrame, allow_dups: bool = False, strand_check: bool = True, check_positions: bool = True) -> DataFrame:
     """Calls of both datasets at the markers they share with matching alleles; the second's are flipped
     where its alleles are swapped. A sample in both is refused, or with ``allow_dups`` only fills the
-    calls that the first lacks. Positions that differ are refused when they are checked."""
+    calls that the first lacks. Positions of shared markers that differ are refused, unless ``check_positions`` is
+    false."""
     both = m1.alias("a").join(m2.alias("b"), "snp").select("snp", *[F.col(f"{s}.{c}").alias(f"{c}{n}") for s, n in (("a", 1), ("b", 2)) for c in ("ref", "alt", "chrom", "physpos")])
     if check_positions and not both.where("chrom1 <> chrom2 or physpos1 <> physpos2").isEmpty():
         raise ValueError("chromosomes or positions of shared markers differ")
@@ -56,3 +57,13 @@ def remapped(genotype: DataFrame, marker: DataFrame, target: DataFrame) -> DataF
     code = match_code(F.col("t.ref"), F.col("t.alt"), F.col("m.ref"), F.col("m.alt"), False)
     codes = t.join(m, "snp").select("snp", code.alias("code")).where("code > 0")
     return genotype.join(codes, "snp").select("snp", "sample", flipped(F.col("code"), F.col("g")).alias("g"))
+
+
+def remap_samples(genotype: DataFrame, names: DataFrame, check: bool = True) -> DataFrame:
+    """Calls under new sample names: ``names`` has a row (sample, new) for each new sample, an old one may stand
+    several times. With ``check`` every old sample must be named and every name must have calls."""
+    if check:
+        old, listed = genotype.select("sample").distinct(), names.select("sample").distinct()
+        if not (old.join(listed, "sample", "left_anti").isEmpty() and listed.join(old, "sample", "left_anti").isEmpty()):
+            raise ValueError("the samples and the list of names differ")
+    return genotype.join(names.select("sample", "new"), "sample").select("snp", F.col("new").alias("sample"), "g")

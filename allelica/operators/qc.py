@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from math import comb
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelica.operators.counts import allele_counts
@@ -40,19 +40,55 @@ def treemix_table(genotype: DataFrame, sample: DataFrame) -> DataFrame:
     return counts.join(whole, "snp", "left_semi").select("snp", "pop", F.col("n1").alias("ref"), F.col("n0").alias("other"))
 
 
-def duplicate_samples(genotype: DataFrame, keys: int = 15, per_key: int = 3, shared: int = 200, agree: float = 0.9) -> DataFrame:
-    """a, b, shared, same: pairs of samples that agree at ``agree`` of at least ``shared`` common markers.
+def similar_samples(genotype: DataFrame, shared: int = 200, agree: float = 0.9, tile: int = 512, chunk: int = 16_384) -> DataFrame:
+    """a, b, shared, same: all pairs of samples that agree at ``agree`` of at least ``shared`` common markers.
 
-    Candidates share their calls at some group of ``per_key`` of the ``keys`` most heterozygous markers
-    (a blocking key); only candidates are compared over all markers.
+    Samples are dealt to tiles and markers to chunks by hash. A task holds the calls of two tiles in one chunk,
+    at most about 2 ``tile`` times ``chunk`` bytes, and counts all its pairs by matrix products; counts of the
+    chunks are added up. Every pair is compared, so missing calls lose none.
+    """
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    sizes = genotype.agg(F.approx_count_distinct("sample").alias("s"), F.approx_count_distinct("snp").alias("m")).first()
+    tiles, chunks = max(1, -(-2 * sizes.s // tile)), max(1, -(-2 * sizes.m // chunk))
+    rows = genotype.select("snp", "sample", F.col("g").cast("tinyint").alias("g"), spread("sample", tiles).alias("t"), spread("snp", chunks).alias("chunk"))
+    other = F.sequence(F.lit(0), F.lit(tiles - 1))
+    # Each tile meets every other once: the pair is named by the lesser tile first.
+    rows = rows.select("*", F.explode(other).alias("o")).select("snp", "sample", "g", "t", "chunk", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, s = np.unique(pdf["sample"].to_numpy(), return_inverse=True)
+        markers, m = np.unique(pdf["snp"].to_numpy(), return_inverse=True)
+        first = np.zeros(len(names), dtype=bool)
+        first[s[(pdf["t"] == pdf["t1"]).to_numpy()]] = True
+        both = bool((pdf["t1"] == pdf["t2"]).iloc[0])
+        g, held, same = pdf["g"].to_numpy(), 0, 0
+        for k in (0, 1, 2):
+            plane = np.zeros((len(names), len(markers)), dtype=np.float32)
+            plane[s[g == k], m[g == k]] = 1
+            held = held + plane
+            same = same + plane @ plane.T
+        i, j = np.nonzero(np.triu(np.ones((len(names),) * 2, dtype=bool), 1) & (both | (first[:, None] != first[None, :])))
+        out = pd.DataFrame({"a": names[i], "b": names[j], "shared": (held @ held.T)[i, j].astype(np.int64), "same": same[i, j].astype(np.int64)})
+        return out[out["shared"] > 0]
+
+    kind = dict(genotype.dtypes)["sample"]
+    found = rows.groupBy("chunk", "t1", "t2").applyInPandas(count, f"a {kind}, b {kind}, shared bigint, same bigint")
+    found = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("same").alias("same"))
+    return found.where((F.col("shared") >= shared) & (F.col("same") >= agree * F.col("shared")))
+
+
+def duplicate_samples(genotype: DataFrame, keys: int = 15, probes: int = 20, shared: int = 200, agree: float = 0.9) -> DataFrame:
+    """a, b, shared, same as ``similar_samples``, but only of pairs that have equal calls at all ``keys`` markers of
+    a probe: a fast path for true duplicates among well-called samples, not a search for all similar pairs.
+
+    The probes are the ``keys`` most heterozygous markers, the next ``keys`` and so on. Only candidates are
+    compared over all markers.
     """
     hets = genotype.groupBy("snp").agg(F.sum((F.col("g") == 1).cast("bigint")).alias("h"), F.count("*").alias("n"))
-    top = hets.orderBy(F.col("h").desc(), F.col("n").desc(), "snp").limit(keys).select("snp")
-    from pyspark.sql import Window
-
-    ranked = top.withColumn("part", F.floor((F.row_number().over(Window.orderBy("snp")) - 1) / per_key))
+    top = hets.orderBy(F.col("h").desc(), F.col("n").desc(), "snp").limit(keys * probes)
+    ranked = top.select("snp", F.floor((F.row_number().over(Window.orderBy(F.col("h").desc(), F.col("n").desc(), "snp")) - 1) / keys).alias("part"))
     code = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("snp", "g"))), lambda x: F.concat_ws(":", x["snp"].cast("string"), x["g"].cast("string"))))
-    keyed = genotype.join(F.broadcast(ranked), "snp").groupBy("sample", "part").agg(code.alias("code"), F.count("*").alias("k")).where(F.col("k") == per_key)
+    keyed = genotype.join(F.broadcast(ranked), "snp").groupBy("sample", "part").agg(code.alias("code"), F.count("*").alias("k")).where(F.col("k") == keys)
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, ["part", "code"]).where("a.sample < b.sample").select(F.col("a.sample").alias("a"), F.col("b.sample").alias("b")).distinct()
     return compare_samples(genotype, pairs).where((F.col("shared") >= shared) & (F.col("same") >= agree * F.col("shared")))
@@ -90,14 +126,15 @@ def choose(n: Column, k: int) -> Column:
     return out
 
 
-def joint_spectrum(counts: DataFrame, sizes: dict) -> DataFrame:
+def joint_spectrum(counts: DataFrame, sizes: dict, by: list[str] | None = None) -> DataFrame:
     """One column per population with its number of reference alleles, and ``expected`` markers.
 
     Every population is sampled down to its size without replacement; a marker spreads over all
-    configurations by their hypergeometric chances. Markers with fewer alleles than a size are dropped.
+    configurations by their hypergeometric chances. Markers with fewer alleles than a size are dropped. ``by``
+    are further columns of the counts to sum by.
     """
     pops = list(sizes)
-    wide = counts.groupBy("snp").agg(*[F.max(F.when(F.col("pop") == p, F.col(c))).cast("double").alias(f"{c}_{k}") for k, p in enumerate(pops) for c in ("n0", "n1")])
+    wide = counts.groupBy("snp", *(by or [])).agg(*[F.max(F.when(F.col("pop") == p, F.col(c))).cast("double").alias(f"{c}_{k}") for k, p in enumerate(pops) for c in ("n0", "n1")])
     for k, p in enumerate(pops):
         wide = wide.where(F.col(f"n0_{k}") + F.col(f"n1_{k}") >= sizes[p])
     for k, p in enumerate(pops):
@@ -107,15 +144,83 @@ def joint_spectrum(counts: DataFrame, sizes: dict) -> DataFrame:
     weight = F.lit(1.0)
     for k in range(len(pops)):
         weight = weight * F.col(f"x{k}.w")
-    return wide.groupBy(*[F.col(f"x{k}.i").alias(f"k{k}") for k in range(len(pops))]).agg(F.sum(weight).alias("expected"))
-
-
-def configurations(sizes: dict) -> int:
-    out = 1
-    for s in sizes.values():
-        out *= s + 1
-    return out
-
-
-def hypergeometric(n1: int, n0: int, k: int, size: int) -> float:
-    return comb(n1, k) * comb(n0, size - k) / comb(n0 + n1, size)
+    return wide.groupBy(*[F.col(f"x{k}.i").alias(f"k{k}") for k in range(len(pops))], *(by or [])).agg(F.sum(weight).alias("expected"))
+
+
+def spectrum_blocks(counts: DataFrame, sizes: dict, blocks: DataFrame) -> DataFrame:
+    """k0, k1, ..., block, top, bot, n: the joint spectrum's expected markers by configuration and block, with all
+    the block's markers as bot, for a jackknife of each configuration's share."""
+    marked = counts.join(blocks.select("snp", "block"), "snp")
+    own = [F.col(f"k{k}") for k in range(len(sizes))]
+    parts = joint_spectrum(marked, sizes, ["block"]).withColumnRenamed("expected", "top")
+    whole = parts.groupBy("block").agg(F.sum("top").alias("bot"))
+    grid = parts.select(*own).distinct().join(F.broadcast(whole), F.lit(True))
+    out = grid.join(parts, [*[f"k{k}" for k in range(len(sizes))], "block"], "left")
+    return out.select(*own, "block", F.coalesce("top", F.lit(0.0)).alias("top"), "bot", F.col("bot").alias("n"))
+
+
+def duplicate_ids(marker: DataFrame, name: Column) -> DataFrame:
+    """name, copies of the marker names that stand more than once."""
+    return marker.groupBy(name.alias("name")).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def duplicate_positions(marker: DataFrame) -> DataFrame:
+    """before, snp, chrom, physpos of neighbouring markers at one position, in the order of position and snp."""
+    along = Window.partitionBy("chrom").orderBy("physpos", "snp")
+    rows = marker.select(F.lag("snp").over(along).alias("before"), "snp", "chrom", "physpos", F.lag("physpos").over(along).alias("last"))
+    return rows.where("last = physpos").drop("last")
+
+
+def missing_populations(genotype: DataFrame, sample: DataFrame, marker: DataFrame) -> DataFrame:
+    """snp, pops (with data), missing_pops of every marker."""
+    n = sample.select("pop").distinct().count()
+    rows = genotype.join(sample.select("sample", "pop"), "sample").groupBy("snp").agg(F.count_distinct("pop").alias("pops"))
+    out = marker.select("snp").join(rows, "snp", "left").select("snp", F.coalesce("pops", F.lit(0)).alias("pops"))
+    return out.withColumn("missing_pops", F.lit(n).cast("bigint") - F.col("pops"))
+
+
+def fingerprints(genotype: DataFrame) -> DataFrame:
+    """sample, calls, print: a sum over the calls of numbers made of marker and call, so equal samples have equal
+    prints in any order and any partitioning. Marker ids are whole numbers."""
+    number = (F.col("snp") * 2_654_435_761 + (F.col("g") + 1) * 40_503 * (F.col("snp") % 65_521 + 1)) % 4_294_967_291
+    return genotype.groupBy("sample").agg(F.count("*").alias("calls"), F.sum(number).alias("print"))
+
+
+def trend_test(genotype: DataFrame, sample: DataFrame, marker: DataFrame, x: int = 23) -> DataFrame:
+    """snp, n, chi2: n times the squared correlation of calls and case status (column ``affected``, 0 or 1). Calls
+    of males (sex M) on chromosome ``x`` count half. 0 where an allele or a status is absent or nothing varies."""
+    rows = genotype.join(sample.select("sample", "sex", F.col("affected").cast("double").alias("y")), "sample").join(marker.select("snp", "chrom"), "snp")
+    rows = rows.withColumn("x", F.when((F.col("sex") == "M") & (F.col("chrom") == x), F.floor(F.col("g") / 2)).otherwise(F.col("g")).cast("double"))
+    s = rows.groupBy("snp").agg(
+        F.count("*").alias("n"), F.sum("g").alias("ref"), *[F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "yy", "xy")],
+        F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+    )
+    n = F.col("n")
+    cov, vx, vy = (n * F.col(f"{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") for a, b in ("xy", "xx", "yy"))
+    seen = (F.col("ref") > 0) & (F.col("ref") < 2 * n) & (F.col("sy") > 0) & (F.col("sy") < n) & (vx * vy > 0)
+    return s.select("snp", "n", F.when(seen, n * cov * cov / (vx * vy)).otherwise(0.0).alias("chi2"))
+
+
+def sex_difference(genotype: DataFrame, sample: DataFrame, marker: DataFrame, x: int = 23) -> DataFrame:
+    """snp, z: contingency score of alleles by sex, positive where females have the reference allele more often.
+    Males' calls on chromosome ``x`` count half."""
+    rows = genotype.join(sample.select("sample", (F.col("sex") == "M").alias("male")), "sample").join(marker.select("snp", "chrom"), "snp")
+    share = F.when(F.col("male") & (F.col("chrom") == x), 0.5).otherwise(1.0)
+    cell = lambda male, alleles: F.sum(F.when(F.col("male") == male, share * alleles).otherwise(0.0)) + 1e-8
+    c = rows.groupBy("snp").agg(*[cell(m, a).alias(f"{n}{k}") for n, m in (("m", True), ("f", False)) for k, a in ((0, 2 - F.col("g")), (1, F.col("g")))])
+    total = F.col("m0") + F.col("m1") + F.col("f0") + F.col("f1")
+    chi, first = F.lit(0.0), None
+    for s in "mf":
+        for k in (0, 1):
+            want = (F.col(f"{s}0") + F.col(f"{s}1")) * (F.col(f"m{k}") + F.col(f"f{k}")) / total
+            first = F.col("m0") - want if first is None else first
+            chi = chi + (F.col(f"{s}{k}") - want) * (F.col(f"{s}{k}") - want) / want
+    return c.select("snp", (F.sqrt(chi + 1e-12) * F.when(first < 0, -1).otherwise(1)).alias("z"))
+
+
+def difference(estimates: DataFrame, first: int, second: int) -> DataFrame:
+    """diff, se, chi2 of two independent estimates (qid, est, se)."""
+    one, two = (estimates.where(F.col("qid") == k).select(F.col("est").alias(f"e{k}"), F.col("se").alias(f"s{k}")) for k in (first, second))
+    d, v = F.col(f"e{first}") - F.col(f"e{second}"), F.col(f"s{first}") * F.col(f"s{first}") + F.col(f"s{second}") * F.col(f"s{second}")
+    # Two single rows.
+    return one.join(F.broadcast(two), F.lit(True)).select(d.alias("diff"), F.sqrt(v).alias("se"), (d * d / v).alias("chi2"))

@@ -69,3 +69,30 @@ def to_haploid(genotype: DataFrame, seed: int = 0) -> DataFrame:
     first = F.when(F.col("g") == 1, (coin(seed) < 0.5).cast("bigint")).otherwise(F.col("g") / 2).cast("bigint")
     sides = F.array(F.struct(F.lit(":A").alias("s"), (first * 2).alias("g")), F.struct(F.lit(":B").alias("s"), ((F.col("g") - first) * 2).alias("g")))
     return genotype.withColumn("x", F.explode(sides)).select("snp", F.concat(F.col("sample").cast("string"), F.col("x.s")).alias("sample"), F.col("x.g").alias("g"))
+
+
+def strand_flip(marker: DataFrame, listed: DataFrame) -> DataFrame:
+    """Markers with the alleles of listed ones complemented; calls stay."""
+    other = lambda c: F.when(F.col("turn"), F.translate(c, "ACGT", "TGCA")).otherwise(F.col(c)).alias(c)
+    rows = marker.join(listed.select("snp").distinct().withColumn("turn", F.lit(True)), "snp", "left").withColumn("turn", F.coalesce("turn", F.lit(False)))
+    return rows.select(*[other(c) if c in ("ref", "alt") else F.col(c) for c in marker.columns])
+
+
+def apart(marker: DataFrame, least: float = 1e-8, step: float = 1e-9) -> DataFrame:
+    """Markers of a chromosome whose genpos (Morgans) do not differ by ``least`` get positions ``step`` apart, in
+    the order of physpos and snp."""
+    along = Window.partitionBy("chrom").orderBy("genpos", "physpos", "snp")
+    new = F.coalesce(F.col("genpos") - F.lag("genpos").over(along) >= least, F.lit(True)).cast("bigint")
+    rows = marker.withColumn("_new", new).withColumn("_run", F.sum("_new").over(along))
+    run = Window.partitionBy("chrom", "_run").orderBy("genpos", "physpos", "snp")
+    fixed = F.first("genpos").over(run) + step * (F.row_number().over(run) - 1)
+    return rows.withColumn("genpos", fixed).select(*marker.columns)
+
+
+def without_distances(marker: DataFrame) -> DataFrame:
+    return marker.withColumn("genpos", F.lit(0).cast(marker.schema["genpos"].dataType))
+
+
+def wipe_chromosome(genotype: DataFrame, marker: DataFrame, chrom: int) -> DataFrame:
+    """The calls without those of a chromosome."""
+    return genotype.join(marker.where(F.col("chrom") == chrom).select("snp"), "snp", "left_anti")

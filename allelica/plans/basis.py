@@ -95,3 +95,11 @@ def fit(markers: DataFrame, pops: Sequence[str]) -> Basis:
     weights = n.mean(axis=1)
     mean, cov = vector((solve @ (without / np.sqrt(scaled)).T).T, solve @ (full / np.sqrt(scaled)), weights)
     return Basis(list(pops), mean, cov, len(n), effective_blocks(weights))
+
+
+def joint_test(f: np.ndarray, cov: np.ndarray) -> tuple[float, int]:
+    """T squared that all the statistics are 0, and its degrees of freedom: the rank of their covariance."""
+    values, vectors = np.linalg.eigh(cov)
+    keep = values > 1e-10 * max(values.max(), 0)
+    turned = vectors[:, keep].T @ f
+    return float((turned * turned / values[keep]).sum()), int(keep.sum())

@@ -139,3 +139,39 @@ def exponential_fit(d: np.ndarray, y: np.ndarray, constant: bool = True, rounds:
         if abs(scale * step[-1]) < 1e-12 * abs(m):
             break
     return c, a, float(m)
+
+
+def mixture(block_sums: DataFrame, sources: int) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, errors) that sum to 1 and lie along M^-1 1, M the symmetric matrix of f(target, b; target, c)
+    whose upper triangle, row by row, are the statistics; errors by jackknife over blocks."""
+    pdf = block_sums.toPandas()
+    k = sources * (sources + 1) // 2
+    grid = lambda c: pdf.pivot_table(index="block", columns="qid", values=c, fill_value=0.0).reindex(columns=range(k), fill_value=0.0).to_numpy(dtype=float)
+    top, n = grid("top"), grid("n")
+    upper = np.triu_indices(sources)
+
+    def solve(sums: np.ndarray) -> np.ndarray:
+        m = np.zeros((sources, sources))
+        m[upper] = sums
+        w = np.linalg.solve(m + np.triu(m, 1).T, np.ones(sources))
+        return w / w.sum()
+
+    full = solve(top.sum(axis=0) / n.sum(axis=0))
+    without = np.array([solve((top.sum(axis=0) - t) / (n.sum(axis=0) - w)) for t, w in zip(top, n, strict=True)])
+    mean, cov = vector(without, full, n[:, 0])
+    return mean, np.sqrt(np.diag(cov))
+
+
+def dates(whole, own, sizes, width: float) -> tuple[list[tuple[int | None, float]], float]:
+    """Decay rates per Morgan of the whole table (bin, regression) and of those without each chromosome (chrom, bin,
+    regression), and the jackknife error with the chromosomes' markers as weights."""
+
+    def rate(table) -> float:
+        t = table.dropna(subset=["regression"]).sort_values("bin")
+        return exponential_fit((t["bin"].to_numpy(float) + 0.5) * width, t["regression"].to_numpy(float))[2]
+
+    full, chroms = rate(whole), sorted(own["chrom"].unique())
+    less = np.array([rate(own[own["chrom"] == c]) for c in chroms])
+    _, cov = vector(less[:, None], np.array([full]), np.array([sizes[c] for c in chroms], dtype=float))
+    rows = [(None, float(full)), *[(int(c), float(v)) for c, v in zip(chroms, less, strict=True)]]
+    return rows, float(np.sqrt(cov[0, 0]))

@@ -6,9 +6,10 @@ ADAPTER = """
 WITH RECURSIVE genotype AS (
   SELECT l_partkey AS snp, l_suppkey AS sample, MIN(CAST(l_quantity AS BIGINT) % 3) AS g FROM lineitem GROUP BY 1, 2),
 genotype2 AS (
-  SELECT l_partkey AS snp, l_suppkey AS sample, MAX(l_orderkey % 3) AS g FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1, 2),
+  SELECT l_partkey + 50 AS snp, l_suppkey + 3 AS sample, MAX(l_orderkey % 3) AS g FROM lineitem GROUP BY 1, 2),
 sample AS (
-  SELECT s_suppkey AS sample, CAST(n_regionkey AS BIGINT) AS pop FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  SELECT s_suppkey AS sample, CAST(n_regionkey AS BIGINT) AS pop, CASE WHEN s_suppkey % 2 = 1 THEN 'M' ELSE 'F' END AS sex,
+    CAST(s_nationkey % 2 AS BIGINT) AS affected FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 marker AS (
   SELECT p_partkey AS snp, 1 + CAST(FLOOR(p_partkey * 22 / CAST((SELECT COUNT(*) FROM part) AS DOUBLE)) AS BIGINT) AS chrom,
     p_partkey * 200000 + ((p_partkey * 7919) % 10000) * 10 AS physpos,

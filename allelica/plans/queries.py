@@ -21,9 +21,13 @@ POPS = [0, 1, 2, 3, 4]
 BAND = 1_000_000
 
 
-def query(sql: str):
+def query(sql: str | None):
+    """Registers a query under its name; ``sql`` is its DuckDB text, or None where SQL does not express it."""
+
     def add(f: Query) -> Query:
-        FOUND[f.__name__], SQL[f.__name__] = f, sql
+        FOUND[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return add
@@ -303,9 +307,9 @@ def multimerge_first(spark, sf_dir):
     return merges.multi_merge([adapter.second(spark, sf_dir), adapter.load(spark, sf_dir).genotype])
 
 
-@query(o.ADAPTER + ", one AS (SELECT * FROM genotype WHERE snp % 2 = 0), u AS (SELECT * FROM one UNION ALL SELECT * FROM genotype2 WHERE snp NOT IN (SELECT snp FROM one)) SELECT snp, sample, g FROM u WHERE sample IN (SELECT sample FROM one) AND sample IN (SELECT sample FROM genotype2)")
+@query(o.ADAPTER + ", u AS (SELECT * FROM genotype UNION ALL SELECT * FROM genotype2 WHERE snp NOT IN (SELECT snp FROM genotype)) SELECT snp, sample, g FROM u WHERE sample IN (SELECT sample FROM genotype) AND sample IN (SELECT sample FROM genotype2)")
 def snp_union(spark, sf_dir):
-    return merges.marker_union(adapter.load(spark, sf_dir).genotype.where("snp % 2 = 0"), adapter.second(spark, sf_dir))
+    return merges.marker_union(adapter.load(spark, sf_dir).genotype, adapter.second(spark, sf_dir))
 
 
 @query(o.ADAPTER + ", o AS (SELECT snp, g AS own FROM genotype WHERE sample = 7 AND g <> 1) SELECT snp, sample, CASE WHEN own = 0 THEN 2 - g ELSE g END AS g FROM genotype JOIN o USING (snp)")
@@ -325,7 +329,7 @@ _R2 = "CASE WHEN (n * xx - x * x) * (n * yy - y * y) > 0 THEN ROUND(POW(n * xy -
 @query(o.ADAPTER + o.pairs(BAND) + f"SELECT snp1, snp2, distance, n, {_R2} AS r2 FROM tables")
 def ld_pairs_band(spark, sf_dir):
     d = adapter.load(spark, sf_dir)
-    tables = linkage.pair_tables(d.genotype, linkage.marker_pairs(d.marker, BAND)).where("n > 0")
+    tables = linkage.pair_tables(d.genotype, linkage.marker_pairs(d.marker, BAND))
     return rounded(linkage.r_squared(tables).select("snp1", "snp2", "distance", "n", "r2"), "r2")
 
 
@@ -341,13 +345,10 @@ def ld_bin_decay(spark, sf_dir):
     return rounded(linkage.decay(tables, weights, 100_000), "regression", "correlation")
 
 
-@query(o.ADAPTER + """, top AS (SELECT snp, ROW_NUMBER() OVER (ORDER BY snp) - 1 AS k FROM (SELECT snp FROM genotype GROUP BY 1 ORDER BY COUNT(*) FILTER (g = 1) DESC, COUNT(*) DESC, snp LIMIT 15)),
-keyed AS (SELECT sample, k // 3 AS part, STRING_AGG(snp || ':' || g, ',' ORDER BY snp) AS code FROM genotype JOIN top USING (snp) GROUP BY 1, 2 HAVING COUNT(*) = 3),
-cand AS (SELECT DISTINCT a.sample AS a, b.sample AS b FROM keyed a JOIN keyed b ON a.part = b.part AND a.code = b.code AND a.sample < b.sample)
-SELECT a, b, COUNT(*) AS shared, COUNT(*) FILTER (x.g = y.g) AS same FROM cand JOIN genotype x ON x.sample = a JOIN genotype y ON y.sample = b AND y.snp = x.snp GROUP BY 1, 2
-HAVING COUNT(*) >= 20 AND COUNT(*) FILTER (x.g = y.g) >= 0.3 * COUNT(*)""")
+@query(o.ADAPTER + """SELECT x.sample AS a, y.sample AS b, COUNT(*) AS shared, COUNT(*) FILTER (x.g = y.g) AS same FROM genotype x JOIN genotype y ON x.snp = y.snp AND x.sample < y.sample
+  GROUP BY 1, 2 HAVING COUNT(*) >= 20 AND COUNT(*) FILTER (x.g = y.g) >= 0.3 * COUNT(*)""")
 def dup_samples(spark, sf_dir):
-    return qc.duplicate_samples(adapter.load(spark, sf_dir).genotype, shared=20, agree=0.3)
+    return qc.similar_samples(adapter.load(spark, sf_dir).genotype, shared=20, agree=0.3)
 
 
 @query(o.ADAPTER + """, cc AS (SELECT sample, chrom, COUNT(*) AS present FROM genotype JOIN marker USING (snp) GROUP BY 1, 2), tt AS (SELECT sample, SUM(present) AS calls FROM cc GROUP BY 1),
@@ -389,10 +390,13 @@ def decimate(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from allelica.plans import models, reports  # noqa: F401  they register their queries
+
     return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 

@@ -1,6 +1,6 @@
 """Genotype relations over the star-schema test tables, so that every query runs on them.
 
-genotype(snp, sample, g) has a row per call (a missing call has no row), sample(sample, pop), and
+genotype(snp, sample, g) has a row per call (a missing call has no row), sample(sample, pop, sex, affected), and
 marker(snp, chrom, physpos, genpos) with genpos in 1e-7 Morgan.
 """
 
@@ -26,7 +26,7 @@ def load(spark: SparkSession, sf_dir: str) -> Dataset:
     )
     genotype = calls.groupBy("snp", "sample").agg(F.min("g").alias("g"))
     nation = read("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").cast("bigint").alias("pop"))
-    sample = read("supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").alias("sample"), "pop", "s_nationkey")
+    sample = read("supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").alias("sample"), "pop", "s_nationkey", F.when(F.col("s_suppkey") % 2 == 1, "M").otherwise("F").alias("sex"), (F.col("s_nationkey") % 2).cast("bigint").alias("affected"))
     part = read("part")
     n = part.count()
     key = F.col("p_partkey")
@@ -39,8 +39,7 @@ def load(spark: SparkSession, sf_dir: str) -> Dataset:
 
 
 def second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Another genotype relation with overlapping markers and samples, for merges: calls from the tail lines."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber >= 3")
-    return rows.groupBy(F.col("l_partkey").alias("snp"), F.col("l_suppkey").alias("sample")).agg(
-        F.max(F.col("l_orderkey") % 3).alias("g")
-    )
+    """Another genotype relation for merges, from all lines: other calls, and ids shifted so that each dataset has
+    markers and samples that the other lacks."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.groupBy((F.col("l_partkey") + 50).alias("snp"), (F.col("l_suppkey") + 3).alias("sample")).agg(F.max(F.col("l_orderkey") % 3).alias("g"))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from allelica.functions.alleles import chromosome, id_hash
+from allelica.functions.alleles import chromosome, ordered_hash
 
 # Genotype codes of the two-bit formats. PLINK's code to reference counts; -1 is missing.
 BED_COUNTS = (2, -1, 1, 0)
@@ -20,17 +20,19 @@ PACKED_LEAST = 48  # bytes of a packed row at least, and of the transposed heade
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """ord (0 on), fields of the lines that are not empty or comments.
+    """ord (0 on), fields and line of the lines that are not empty or comments; several files count on in the order
+    of their names.
 
-    The reader is told to keep a file whole, so that line numbers follow the file.
+    The reader splits files as usual. A line's number is its place in its split, and the lines of the splits
+    before it; these are a row for each split.
     """
-    rows = spark.read.option("wholetext", "true").text(path)
-    rows = rows.select(F.posexplode(F.split(F.rtrim(F.col("value")), "\r?\n")).alias("at", "line"))
-    rows = rows.where((F.trim("line") != "") & ~F.trim("line").startswith("#"))
-    fields = F.split(F.trim("line"), r"\s+")
-    from pyspark.sql import Window
-
-    return rows.select((F.row_number().over(Window.orderBy("at")) - 1).cast("bigint").alias("ord"), fields.alias("f"), "line")
+    rows = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = rows.where((F.trim("line") != "") & ~F.trim("line").startswith("#")).withColumn("id", F.monotonically_increasing_id())
+    splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = rows.join(splits, ["file", "start"])
+    return numbered.select((F.col("id") + F.col("shift")).cast("bigint").alias("ord"), F.split(F.trim("line"), r"\s+").alias("f"), "line")
 
 
 def normalised_positions(marker: DataFrame) -> DataFrame:
@@ -125,8 +127,8 @@ def pack(codes: np.ndarray, least: int = 0, low_first: bool = False) -> bytes:
     return raw.ljust(least, b"\0")
 
 
-def _cells(spark: SparkSession, path: str, header: int, row: int, n: int, kind: str) -> DataFrame:
-    """m, s, g of the rows of a packed file. The file is cut into rows by Spark and only then unpacked."""
+def _unpacked(rows: DataFrame, n: int, kind: str) -> DataFrame:
+    """m, s, g of packed rows (k, raw)."""
 
     def run(frames):
         for pdf in frames:
@@ -139,33 +141,49 @@ def _cells(spark: SparkSession, path: str, header: int, row: int, n: int, kind:
                 out.append(pd.DataFrame(places | {"g": g[at].astype(np.int32)}))
             yield pd.concat(out) if out else pd.DataFrame({"m": [], "s": [], "g": []})
 
+    return rows.mapInPandas(run, "m bigint, s bigint, g int")
+
+
+def _records(spark: SparkSession, path: str, row: int) -> DataFrame:
+    """k, raw of a file of rows of one length: Spark splits it at row bounds, so its size has no limit. The first
+    row, the header, is number -1."""
+    raw = spark.sparkContext.binaryRecords(path, row).zipWithIndex().map(lambda x: (x[1] - 1, bytearray(x[0])))
+    return spark.createDataFrame(raw, "k bigint, raw binary").where("k >= 0")
+
+
+def _cut(spark: SparkSession, path: str, header: int, row: int) -> DataFrame:
+    """k, raw of a file whose header is not of the rows' length. Such a file is one value, up to 2 GB: larger
+    datasets come as a file for each chromosome or group of samples."""
     content = spark.read.format("binaryFile").load(path).select("content")
     count = F.floor((F.length("content") - header) / row)
-    rows = content.select("content", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
-    rows = rows.select(F.col("k").cast("bigint").alias("k"), F.substring("content", (F.col("k") * row + header + 1).cast("int"), F.lit(row)).alias("raw"))
-    return rows.mapInPandas(run, "m bigint, s bigint, g int")
+    rows = content.select("content", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("k"))
+    return rows.select("k", F.substring("content", (F.col("k") * row + header + 1).cast("int"), F.lit(row)).alias("raw"))
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of a packed file; only its first split is opened."""
+    return bytes(spark.sparkContext.binaryRecords(path, PACKED_LEAST).first())
 
 
 def read_packed(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame, check: bool = True) -> DataFrame:
     """A packed GENO or transposed TGENO file, by its header; with ``check`` the header's counts and id hashes
     must be those of the marker and sample tables."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PACKED_LEAST).alias("h")).first().h
+    head = _head(spark, path)
     kind, n_ind, n_snp, ind_hash, snp_hash = bytes(head).split(b"\0")[0].decode().split()[:5]
     n_ind, n_snp = int(n_ind), int(n_snp)
     if check:
-        ids = lambda t, c: [r[0] for r in t.orderBy("ord").select(c).collect()]
-        inds, snps = ids(sample, "sample"), ids(marker, "snp")
-        if (len(inds), len(snps), id_hash(inds), id_hash(snps)) != (n_ind, n_snp, ind_hash, snp_hash):
+        found = [(t.count(), ordered_hash(t, c, "ord").first()["hash"]) for t, c in ((sample, "sample"), (marker, "snp"))]
+        if found != [(n_ind, ind_hash), (n_snp, snp_hash)]:
             raise ValueError("the header does not fit the marker and sample tables")
     if kind == "GENO":
         row = max(PACKED_LEAST, -(-n_ind // 4))
-        return _named(_cells(spark, path, row, row, n_ind, "geno"), marker, sample)
-    return _named(_cells(spark, path, PACKED_LEAST, max(PACKED_LEAST, -(-n_snp // 4)), n_snp, "tgeno"), marker, sample)
+        return _named(_unpacked(_records(spark, path, row), n_ind, "geno"), marker, sample)
+    return _named(_unpacked(_cut(spark, path, PACKED_LEAST, max(PACKED_LEAST, -(-n_snp // 4))), n_snp, "tgeno"), marker, sample)
 
 
 def read_bed(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame) -> DataFrame:
     n = sample.count()
-    return _named(_cells(spark, path, 3, -(-n // 4), n, "bed"), marker, sample)
+    return _named(_unpacked(_cut(spark, path, 3, -(-n // 4)), n, "bed"), marker, sample)
 
 
 def wide_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
@@ -209,8 +227,132 @@ def packed_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame, kind:
 
 
 def packed_header(kind: str, marker: DataFrame, sample: DataFrame) -> bytes:
-    snps = [r[0] for r in marker.orderBy("ord").select(F.col("snp").cast("string")).collect()]
-    inds = [r[0] for r in sample.orderBy("ord").select(F.col("sample").cast("string")).collect()]
-    text = f"{kind} {len(inds):7d} {len(snps):7d} {id_hash(inds)} {id_hash(snps)}".encode()
-    row = max(PACKED_LEAST, -(-len(inds) // 4)) if kind == "GENO" else PACKED_LEAST
+    inds, snps = ((t.count(), ordered_hash(t, c, "ord").first()["hash"]) for t, c in ((sample, "sample"), (marker, "snp")))
+    text = f"{kind} {inds[0]:7d} {snps[0]:7d} {inds[1]} {snps[1]}".encode()
+    row = max(PACKED_LEAST, -(-inds[0] // 4)) if kind == "GENO" else PACKED_LEAST
     return text.ljust(row, b"\0")
+
+
+def transposed_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
+    """ord, raw: the rows of a TGENO file in sample order."""
+    turned = genotype.select(F.col("sample").alias("snp"), F.col("snp").alias("sample"), "g")
+    names = lambda t, old, new: t.select(F.col(old).alias(new), "ord")
+    return packed_rows(turned, names(sample, "sample", "snp"), names(marker, "snp", "sample"))
+
+
+def ped_lines(genotype: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
+    """A line per sample: family, id, two zeros, sex, phenotype or label, and two alleles a marker; 0 is missing."""
+    own = marker.select(F.col("snp").alias("sample"), "ord", "ref", "alt")
+    turned = genotype.select(F.col("sample").alias("snp"), F.col("snp").alias("sample"), "g")
+    wide = wide_rows(turned, sample.select(F.col("sample").alias("snp"), "ord"), own.select("sample", "ord"))
+    # A row per marker, in the order of the wide rows' places; one value, as in the file's every line.
+    letters = own.agg(F.array_sort(F.collect_list(F.struct("ord", "ref", "alt"))).alias("letters"))
+    pair = lambda g, x: F.when(g == 2, F.concat_ws(" ", x["ref"], x["ref"])).when(g == 1, F.concat_ws(" ", x["ref"], x["alt"])).when(g == 0, F.concat_ws(" ", x["alt"], x["alt"])).otherwise("0 0")
+    rows = wide.join(F.broadcast(letters), F.lit(True)).join(sample.select(F.col("sample").alias("snp"), "sex", "pop"), "snp")
+    calls = F.array_join(F.zip_with("codes", "letters", pair), " ")
+    name = F.split(F.col("snp").cast("string"), ":")
+    family = F.when(F.size(name) > 1, name[0]).otherwise(F.col("snp").cast("string"))
+    sex = F.when(F.col("sex") == "M", "1").when(F.col("sex") == "F", "2").otherwise("0")
+    label = F.when(F.col("pop") == "Control", "1").when(F.col("pop") == "Case", "2").otherwise(F.col("pop").cast("string"))
+    return rows.orderBy("ord").select(F.concat_ws(" ", family, F.element_at(name, -1), F.lit("0"), F.lit("0"), sex, label, calls).alias("value"))
+
+
+def write_ped(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path: str) -> None:
+    """A folder of text parts whose order is the samples'."""
+    ped_lines(genotype, marker, sample).write.text(path)
+
+
+def snp_lines(marker: DataFrame) -> DataFrame:
+    """Lines of a .snp file in file order."""
+    return marker.orderBy("ord").select(F.concat_ws("\t", F.col("snp").cast("string"), F.col("chrom").cast("string"), F.format_string("%.6f", F.col("genpos").cast("double")), F.col("physpos").cast("string"), "ref", "alt").alias("value"))
+
+
+def ind_lines(sample: DataFrame) -> DataFrame:
+    return sample.orderBy("ord").select(F.concat_ws("\t", F.col("sample").cast("string"), "sex", F.col("pop").cast("string")).alias("value"))
+
+
+def read_genotype_list(parts: list[DataFrame]) -> DataFrame:
+    """Calls of several genotype files over one marker set: each has samples of its own."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def read_probabilities(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame) -> DataFrame:
+    """snp, sample, p: the probabilities of 0, 1 and 2 reference alleles. A cell is two 16-bit numbers, the first
+    and the last of them times 65535, cells of a marker in sample order; both at 65535 is missing."""
+    n = sample.count()
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for k, raw in zip(pdf["k"], pdf["raw"], strict=True):
+                x = np.frombuffer(raw, dtype="<u2").reshape(-1, 2)[:n] / 65535.0
+                at = np.flatnonzero(~((x[:, 0] == 1) & (x[:, 1] == 1)))
+                p = np.column_stack([x[at, 0], 1 - x[at, 0] - x[at, 1], x[at, 1]])
+                out.append(pd.DataFrame({"m": np.full(len(at), k), "s": at, "p": list(p)}))
+            yield pd.concat(out) if out else pd.DataFrame({"m": [], "s": [], "p": []})
+
+    raw = spark.sparkContext.binaryRecords(path, 4 * n).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
+    cells = spark.createDataFrame(raw, "k bigint, raw binary").mapInPandas(run, "m bigint, s bigint, p array<double>")
+    rows = cells.join(marker.select(F.col("ord").alias("m"), "snp"), "m").join(sample.select(F.col("ord").alias("s"), "sample"), "s")
+    return rows.select("snp", "sample", "p")
+
+
+def probability_rows(probabilities: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
+    """ord, raw: the rows of such a file in marker order."""
+    n = sample.count()
+
+    def run(frames):
+        for pdf in frames:
+            raws = []
+            for cells in pdf["cells"]:
+                x = np.full((n, 2), 65535, dtype="<u2")
+                for c in cells if cells is not None else ():
+                    p = np.asarray(c["p"]) / np.sum(c["p"])
+                    x[c["s"]] = np.rint(65535 * p[[0, 2]])
+                raws.append(x.tobytes())
+            yield pd.DataFrame({"ord": pdf["ord"], "raw": raws})
+
+    own = probabilities.join(sample.select("sample", F.col("ord").cast("int").alias("s")), "sample").groupBy("snp").agg(F.collect_list(F.struct("s", "p")).alias("cells"))
+    return marker.select("snp", "ord").join(own, "snp", "left").select("ord", "cells").mapInPandas(run, "ord bigint, raw binary").orderBy("ord")
+
+
+def read_values(spark: SparkSession, path: str) -> DataFrame:
+    """snp, value of a file of marker weights or values; markers that are not in it are dropped by the join."""
+    f = F.col("f")
+    return _lines(spark, path).select(f[0].alias("snp"), f[1].cast("double").alias("value"))
+
+
+def value_lines(values: DataFrame) -> DataFrame:
+    return values.orderBy("snp").select(F.concat_ws(" ", F.col("snp").cast("string"), F.format_string("%.6f", "value")).alias("value"))
+
+
+def read_list(spark: SparkSession, path: str, typed: bool = False) -> list:
+    """The first words of a population list, or with ``typed`` its (word, number) pairs; a repeat is refused."""
+    rows = [r.f for r in _lines(spark, path).orderBy("ord").collect()]
+    if typed and any(len(r) < 2 for r in rows):
+        raise ValueError("a typed list needs two columns")
+    names = [r[0] for r in rows]
+    if len(set(names)) < len(names):
+        raise ValueError("a population is listed twice")
+    return [(r[0], int(r[1])) for r in rows] if typed else names
+
+
+def phylip_lines(matrix: DataFrame, pops: list, value: str = "fst") -> DataFrame:
+    """A PHYLIP distance matrix from rows (a, b, value): the number of populations, then a line for each."""
+    both = matrix.select("a", "b", value).unionByName(matrix.select(F.col("b").alias("a"), F.col("a").alias("b"), value))
+    own = both.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", value))).alias("m"))
+    place = F.array_position(F.array(*map(F.lit, pops)), F.col("a")).cast("int")
+    cells = [F.format_string("%.6f", F.coalesce(F.try_element_at("m", F.lit(p)), F.lit(0.0))) for p in pops]
+    lines = own.select(place.alias("k"), F.concat_ws(" ", F.rpad(F.col("a").cast("string"), 10, " "), *cells).alias("value"))
+    head = matrix.sparkSession.createDataFrame([(0, str(len(pops)))], "k int, value string")
+    return head.unionByName(lines).orderBy("k").select("value")
+
+
+def result_lines(results: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    """``result:`` lines of some columns, numbers with fixed digits."""
+    kinds = dict(results.dtypes)
+    shown = [F.format_string(f"%.{digits}f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in columns]
+    return results.select(F.concat_ws(" ", F.lit("result:"), *shown).alias("value"))

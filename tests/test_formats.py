@@ -3,7 +3,7 @@
 import pytest
 
 from allelica.functions.alleles import id_hash
-from allelica.sources import formats
+from allelica.sources import formats, parameters
 from allelica.streaming import blocks
 
 SNP = "rs1 1 0.01 1000 A C\nrs2 1 0.02 2000 G T\n# note\nrs3 X 0.5 3000 C A\n"
@@ -46,6 +46,77 @@ def test_packed_and_bed(spark, files):
     assert rows(formats.read_bed(spark, str(path / "p.bed"), m, s)) == WANT
 
 
+def test_lines_are_numbered_over_parts_and_splits(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.geno").write_text("".join(f"{(k * 400 + i) % 3}2\n" + ("# note\n" if i % 50 == 0 else "") for i in range(400)))
+    m = spark.createDataFrame([(f"rs{k}", k) for k in range(1200)], "snp string, ord bigint")
+    s = spark.createDataFrame([("a", 0), ("b", 1)], "sample string, ord bigint")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = rows(formats.read_eigenstrat(spark, str(tmp_path), m, s))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(f"rs{k}", n): g for k in range(1200) for n, g in (("a", k % 3), ("b", 2))}
+
+
+def test_transposed_round_trip(spark, files):
+    path, m, s = files
+    g = formats.read_eigenstrat(spark, str(path / "x.geno"), m, s)
+    raw = [bytes(r.raw) for r in formats.transposed_rows(g, m, s).collect()]
+    head = formats.packed_header("TGENO", m, s)
+    assert len(head) == 48 and [len(r) for r in raw] == [48] * 5
+    (path / "t.geno").write_bytes(head + b"".join(raw))
+    assert rows(formats.read_packed(spark, str(path / "t.geno"), m, s)) == WANT
+
+
+def test_ped_round_trip(spark, files):
+    path, m, s = files
+    g = formats.read_eigenstrat(spark, str(path / "x.geno"), m, s)
+    lines = [r.value for r in formats.ped_lines(g, m, s).collect()]
+    assert lines[0] == "a a 0 0 1 P1 C C G G A A" and lines[4] == "e e 0 0 2 Ignore 0 0 0 0 0 0"
+    formats.write_ped(g, m, s, str(path / "out.ped"))
+    assert rows(formats.read_ped(spark, str(path / "out.ped"), m, family_names=False)) == WANT
+    assert [r.value.split("\t")[0] for r in formats.snp_lines(m).collect()] == ["rs1", "rs2", "rs3"]
+    assert [r.value for r in formats.ind_lines(s).collect()][0] == "a\tM\tP1"
+
+
+def test_probabilities(spark, files):
+    path, m, s = files
+    p = spark.createDataFrame([("rs1", "a", [0.25, 0.5, 0.25]), ("rs2", "d", [0.0, 0.0, 1.0])], "snp string, sample string, p array<double>")
+    raw = [bytes(r.raw) for r in formats.probability_rows(p, m, s).collect()]
+    assert [len(r) for r in raw] == [20, 20, 20]
+    (path / "x.prob").write_bytes(b"".join(raw))
+    got = {(r.snp, r.sample): r.p for r in formats.read_probabilities(spark, str(path / "x.prob"), m, s).collect()}
+    assert got.keys() == {("rs1", "a"), ("rs2", "d")} and got["rs1", "a"] == pytest.approx([0.25, 0.5, 0.25], abs=1e-4)
+
+
+def test_small_files(spark, tmp_path):
+    (tmp_path / "w").write_text("rs1 0.5\nrs2 2\n")
+    values = formats.read_values(spark, str(tmp_path / "w"))
+    assert [r.value for r in formats.value_lines(values).collect()] == ["rs1 0.500000", "rs2 2.000000"]
+    (tmp_path / "pops").write_text("B 2 x\nA 1\n# C\n")
+    assert formats.read_list(spark, str(tmp_path / "pops")) == ["B", "A"] and formats.read_list(spark, str(tmp_path / "pops"), typed=True) == [("B", 2), ("A", 1)]
+    (tmp_path / "twice").write_text("A\nA\n")
+    with pytest.raises(ValueError):
+        formats.read_list(spark, str(tmp_path / "twice"))
+    matrix = spark.createDataFrame([("A", "B", 0.5)], "a string, b string, fst double")
+    assert [r.value.split() for r in formats.phylip_lines(matrix, ["A", "B"]).collect()] == [["2"], ["A", "0.000000", "0.500000"], ["B", "0.500000", "0.000000"]]
+    assert formats.result_lines(matrix, ["a", "b", "fst"], 3).first().value == "result: A B 0.500"
+
+
+def test_parameters():
+    files = {"more": "snpname: DIR/x.snp\n"}
+    got = parameters.parse("DIR: /data # where\n# note\ngenotypename:\tDIR/x.geno\n+++ more\ninbreed: YES\nblgsize: 0.05\n", files.get)
+    assert got["genotypename"] == "/data/x.geno" and got["snpname"] == "/data/x.snp"
+    assert parameters.flag(got, "inbreed") and not parameters.flag(got, "other") and parameters.number(got, "blgsize", 1) == 0.05
+    for bad in ("a: 1\na: 2", "a 1", "+++ more"):
+        with pytest.raises(ValueError):
+            parameters.parse(bad)
+    with pytest.raises(ValueError):
+        parameters.parse("+++ x", lambda _: "+++ x")
+
+
 def test_ped(spark, files):
     path, m, _ = files
     (path / "x.ped").write_text("f a 0 0 1 1 C C G G A A\nf b 0 0 2 2 A C 0 0 C C\n")
