@@ -48,9 +48,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/allelica-{uuid.uuid4().hex}"
 
 
+#: Scratch tables made so far by ``written``, oldest first.
+MADE: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove scratch tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read again: lineage ends here."""
     path = scratch_dir(df.sparkSession)
+    MADE.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,8 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from allelica.llm import decontaminate, quality_rules, shard_table, source_mix
 from tests.conftest import SF
@@ -19,7 +21,7 @@ def test_pipeline(spark):
     first = set(classes(prints).values())
     dirty = {r.doc_id for r in decontaminate.report(quality_rules.clean(docs), spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
     left = sorted(first - dirty)
-    passes = {r.doc_id: r.passes for r in source_mix.mix(quality_rules.clean(docs).where(docs.doc_id.isin(left))).collect()}
+    passes = {r.doc_id: r.passes for r in source_mix.mix(quality_rules.clean(docs).where(F.col("doc_id").isin(left))).collect()}
     want = Counter({k: n for k, n in passes.items() if n})
     table = shard_table.fill_table([f"shard-{i:05d}" for i in range(64)], 65_537)
     got = corpus_pipeline.run(spark, SF).collect()
