@@ -6,12 +6,34 @@ documents. Between stages the rows are written as Parquet and read again.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from allelica.llm import decontaminate, quality_rules, shard_table, simhash_dedup, source_mix
-from allelica.llm.common import scratch_dir, table, written
+from allelica.llm.common import MADE, discard, scratch_dir, table, written
+
+_EARLIER: list[str] = []
+
+
+def tidy(stage):
+    """A stage's scratch tables go when a later stage begins, whose documents have been written by then; those
+    that its documents still read stay."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if old := [p for p in _EARLIER if p in MADE]:
+            read = docs.inputFiles()
+            discard(spark, [p for p in old if not any(p.rsplit("/", 1)[-1] in f for f in read)])
+        before = set(MADE)
+        out = stage(spark, docs, sf_dir)
+        _EARLIER[:] = [p for p in MADE if p in _EARLIER or p not in before]
+        return out
+
+    return run_stage
 
 
+@tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and keep most of their words; lines above the limits are cut.
 
@@ -21,6 +43,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs)
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked fingerprints, the one with the least id and the first of several with it.
 
@@ -30,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.keep_one(docs)
 
 
+@tidy
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item.
 
@@ -39,6 +63,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
+@tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: not at all, once or twice.
 
@@ -48,6 +73,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mix.repeat(docs)
 
 
+@tidy
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents written to a folder for each shard and read back from there, with slot and shard.
 
