@@ -47,7 +47,7 @@ def read(spark, path: str) -> dict[str, str]:
 
 
 def _text(spark, path: str) -> str:
-    return spark.read.option("wholetext", "true").text(path).first().value
+    return spark.read.text(path, wholetext=True).first().value
 
 
 def number(parameters: dict[str, str], name: str, default: float) -> float:
