@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from allelica.llm import decontaminate, quality_rules, shard_table, simhash_dedup, source_mix
-from allelica.llm.common import MADE, discard, scratch_dir, table, written
+from allelica.llm.common import MADE, discard, table, written
 
 _EARLIER: list[str] = []
 
@@ -75,14 +75,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @tidy
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents written to a folder for each shard and read back from there, with slot and shard.
+    """The documents with their slot and shard, the column that a writer partitions by.
 
     Rows with null ids share a shard, repeated ids go together, an empty table gives an empty result, and columns
     named slot or shard are replaced.
     """
-    placed, path = shard_table.place(docs), scratch_dir(spark)
-    shard_table.write_shards(placed, path)
-    return spark.read.schema(placed.schema).parquet(path).select(*[f"`{c}`" for c in placed.columns])
+    return shard_table.place(docs)
 
 
 STAGES = [
