@@ -120,12 +120,12 @@ def trend_test(spark, sf_dir):
 
 @query(o.ADAPTER + f""", t AS (SELECT snp, sex = 'M' AS male, CASE WHEN sex = 'M' AND chrom = {X} THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w, g FROM genotype JOIN sample USING (sample) JOIN marker USING (snp)),
 c AS (SELECT snp, SUM(CASE WHEN male THEN w * (2 - g) ELSE 0 END) + 1e-8 AS a, SUM(CASE WHEN male THEN w * g ELSE 0 END) + 1e-8 AS b, SUM(CASE WHEN male THEN 0 ELSE w * (2 - g) END) + 1e-8 AS c, SUM(CASE WHEN male THEN 0 ELSE w * g END) + 1e-8 AS d FROM t GROUP BY 1)
-SELECT snp, ROUND(CASE WHEN a * d - b * c < 0 THEN -1 ELSE 1 END * SQRT(POW(a * d - b * c, 2) * (a + b + c + d) / ((a + b) * (c + d) * (a + c) * (b + d)) + 1e-12), 3) AS z FROM c WHERE a + c > 1e-3 AND b + d > 1e-3 AND a + b > 1e-3 AND c + d > 1e-3""")
+SELECT snp, ROUND(CASE WHEN a * d - b * c < 0 THEN -1 ELSE 1 END * SQRT(POW(a * d - b * c, 2) * (a + b + c + d) / ((a + b) * (c + d) * (a + c) * (b + d)) + 1e-12), 3) + 0.0 AS z FROM c WHERE a + c > 1e-3 AND b + d > 1e-3 AND a + b > 1e-3 AND c + d > 1e-3""")
 def sex_difference(spark, sf_dir):
     d = adapter.load(spark, sf_dir)
     both = d.genotype.join(d.sample, "sample").join(d.marker, "snp").groupBy("snp").agg(F.count_distinct("sex").alias("k"), F.sum("g").alias("ref"), F.sum(2 - F.col("g")).alias("other"))
     seen = both.where("k = 2 and ref > 0 and other > 0").select("snp")
-    return qc.sex_difference(d.genotype, d.sample, d.marker, X).join(seen, "snp", "left_semi").withColumn("z", F.round("z", 3))
+    return qc.sex_difference(d.genotype, d.sample, d.marker, X).join(seen, "snp", "left_semi").withColumn("z", F.round("z", 3) + 0.0)
 
 
 @query(o.ADAPTER + o.pairs(BAND) + "SELECT snp1, snp2, n, CASE WHEN (n * xx - x * x) * (n * yy - y * y) > 0 THEN ROUND(n * POW(n * xy - x * y, 2) / CAST((n * xx - x * x) * (n * yy - y * y) AS DOUBLE), 5) END AS chi2 FROM tables")
