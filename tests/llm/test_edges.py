@@ -58,3 +58,19 @@ def test_pages(spark):
     got = {(r.page_id, r.text) for r in html_extract.extract(df).collect()}
     assert (1, "T\nHi, there.") in got and (None, "") in got and (3, "deep") in got
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_pages_with_other_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>Hi, there.</p>", "old", 3), (1, "u", "<p>Hi, there.</p>", "old", 3)], "page_id bigint, url string, html string, text string, n_chars int")
+    got = html_extract.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and [(r.text, r.n_chars) for r in got.collect()] == [("Hi, there.", 10)] * 2
+
+
+def test_nothing_to_find_or_to_learn_from(spark, docs, empty, tmp_path):
+    none = items(spark).limit(0)
+    assert all(not r.contaminated and r.longest == 0 and r.longest_item is None for r in decontaminate.report(docs, none).collect())
+    assert decontaminate.remove(docs, none).count() == len(DOCS)
+    got = perplexity_filter.classify(docs, labels(spark).limit(0)).toPandas()
+    assert (got.kept == (got.n_words > 0)).all()
+    shard_table.write_shards(shard_table.place(empty), str(tmp_path / "none"))
+    assert spark.read.schema(shard_table.place(empty).schema).parquet(str(tmp_path / "none")).count() == 0
