@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from allelica.llm import (
+    collocations,
     decontaminate,
+    hard_negatives,
     html_extract,
     license_scan,
     mixing_lm,
     perplexity_filter,
     quality_rules,
+    rank_bpe,
     shard_table,
     simhash_dedup,
     source_mix,
@@ -59,10 +64,27 @@ def op10_shard_table(spark, sf_dir):
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_rank_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return rank_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries():
     found = (
         op1_quality_rules, op2_simhash_dedup, op3_license_scan, op4_source_mix, op5_decontaminate, op6_perplexity_filter,
         op7_html_extract, op8_mixing_lm, op9_token_codec, op10_shard_table,
+        op11_hard_negatives, op12_collocations, op13_rank_bpe,
     )
     return {f.__name__: f for f in found}
 
@@ -136,7 +158,38 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid) LEFT JOIN top USING (ri
 """
 
 
+OP11 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, ROW_NUMBER() OVER () AS row,
+  list_transform(embedding, lambda x: CAST(FLOOR(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same,
+  CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.row <> b.row),
+p AS (SELECT * FROM s WHERE same QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.row, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  ROW_NUMBER() OVER (PARTITION BY p.anchor, p.row ORDER BY s.score DESC, s.vec_id, s.row) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+OP12 = r"""
+WITH d AS (SELECT COALESCE(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL),
+pc AS (SELECT lang, UNNEST(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pc),
+g AS (SELECT lang, k AS size, array_to_string(ws[i:i+k-1], ' ') AS phrase FROM w, UNNEST(range(1, 6)) AS u(k), UNNEST(range(1, len(ws) - k + 2)) AS v(i)),
+f AS (SELECT lang, size, phrase, COUNT(*) AS a FROM g GROUP BY ALL HAVING COUNT(*) >= 100),
+n AS (SELECT lang, SUM(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+c AS (SELECT f.*, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+cut AS (SELECT c.lang, c.phrase, c.size, c.a, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k+1:], ' ') AS p2 FROM c, UNNEST(range(1, c.size)) AS u(k)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r, n.n, (1000::HUGEINT * cut.a * n.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = p1 JOIN f y ON y.lang = cut.lang AND y.phrase = p2 JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND c.phrase <> b.phrase))
+SELECT lang, ROW_NUMBER() OVER w AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY ROW_NUMBER() OVER w <= 2000
+"""
+
+
 def oracle_sql():
     """The other operators rest on fingerprints, components, automata, models or file formats; they are tested
     against brute force, exact round trips or held-out text in tests/llm."""
-    return {"op1_quality_rules": OP1, "op4_source_mix": OP4, "op5_decontaminate": OP5}
+    return {"op1_quality_rules": OP1, "op4_source_mix": OP4, "op5_decontaminate": OP5, "op11_hard_negatives": OP11, "op12_collocations": OP12}
