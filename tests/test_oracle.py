@@ -1,6 +1,7 @@
 """Every query with an oracle gives DuckDB's rows."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -27,5 +28,5 @@ def test_same_rows(spark, duck, name):
 
 def rows(df):
     """Rows as text, numbers as doubles and every kind of missing value as None, in order."""
-    plain = lambda x: None if x is None or x != x else float(x) if isinstance(x, (bool, int, float)) or hasattr(x, "dtype") else x
+    plain = lambda x: None if x is None or pd.isna(x) else float(x) if isinstance(x, (bool, int, float)) or hasattr(x, "dtype") else x
     return sorted(repr([plain(x) for x in r]) for r in df.astype(object).itertuples(index=False))
