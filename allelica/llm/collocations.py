@@ -133,27 +133,31 @@ def distinct(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """pivot, left, ids, n: the ids of each fragment as little-endian 32-bit integers without its gaps."""
+    """pivot, ids of each fragment: 32-bit integers, first eight times its number plus the words left of the pivot,
+    then the words without the gaps."""
     side = LONGEST - 1
-    held = rows >= 0
+    held = np.concatenate([np.ones((len(rows), 1), dtype=bool), rows >= 0], axis=1)
+    head = n * 8 + held[:, 1 : side + 1].sum(axis=1)
     ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32) * 4
-    data = np.ascontiguousarray(rows[held].astype("<i4"))
+    data = np.ascontiguousarray(np.concatenate([head[:, None], rows], axis=1)[held].astype("<i4"))
     ids = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, side]), pa.array(held[:, :side].sum(axis=1).astype(np.int8)), ids, pa.array(n)], ["pivot", "left", "ids", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, side]), ids], ["pivot", "ids"])
 
 
-def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The rows and numbers that ``packed`` had."""
     side = LONGEST - 1
-    ids, left = b.column("ids"), b.column("left").to_numpy().astype(np.int64)
-    ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
-    sizes = np.diff(ends) // 4
+    ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4
+    data = np.frombuffer(ids.buffers()[2], dtype="<i4", count=int(ends[-1] - ends[0]), offset=4 * int(ends[0]))
+    first = ends[:-1] - ends[0]
+    n, left, sizes = data[first] >> 3, data[first] & 7, np.diff(ends) - 1
     out = np.full((len(ids), 2 * side + 1), -1, dtype=np.int32)
     at = np.arange(2 * side + 1)
     start = (side - left)[:, None]
-    data = np.frombuffer(ids.buffers()[2], dtype="<i4", count=int(ends[-1] - ends[0]) // 4, offset=int(ends[0]))
-    out[(at >= start) & (at < start + sizes[:, None])] = data
-    return out, b.column("n").to_numpy()
+    words = np.ones(len(data), dtype=bool)
+    words[first] = False
+    out[(at >= start) & (at < start + sizes[:, None])] = data[words]
+    return out, n.astype(np.int64)
 
 
 def phrases(rows: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,7 +177,7 @@ def phrases(rows: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def fragment_rows(parts: DataFrame, words: DataFrame, head: int = HEAD) -> DataFrame:
-    """pivot, left, ids, n of all the texts' fragments, equal ones of a chunk as one row."""
+    """pivot, ids of all the texts' fragments, as ``packed``; equal ones of a chunk are one row."""
     spark = parts.sparkSession
     short = words.where(F.octet_length("word") <= HEAD_BYTES)
     rows = short.orderBy(F.desc("f"), "id").limit(head).select("lang", "word", "id").toArrow()
@@ -181,7 +185,7 @@ def fragment_rows(parts: DataFrame, words: DataFrame, head: int = HEAD) -> DataF
     for lang, word, number in zip(rows["lang"].to_pylist(), rows["word"].to_pylist(), rows["id"].to_pylist(), strict=True):
         table[lang][word] = number
     sent = spark.sparkContext.broadcast(dict(table))
-    schema = "pivot int, left tinyint, ids binary, n bigint"
+    schema = "pivot int, ids binary"
 
     if words.count() == rows.num_rows:
 
@@ -232,9 +236,10 @@ def fragment_rows(parts: DataFrame, words: DataFrame, head: int = HEAD) -> DataF
 
 def mined(rows: DataFrame, salts: DataFrame, least: int, group: int = GROUP) -> DataFrame:
     """phrase (ids), a: phrases with their numbers, of which none that has ``least`` is missing."""
-    hash_ = F.pmod(F.xxhash64("ids"), F.coalesce("salts", F.lit(1)))
-    dealt = rows.join(F.broadcast(salts), "pivot", "left").withColumn("salt", F.when(F.col("salts").isNull(), -1).otherwise(hash_).cast("int")).drop("salts")
-    dealt = dealt.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt")
+    # A key is pivot and salt; those of salted words are odd.
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(1 + 2 * F.pmod(F.xxhash64("ids"), F.col("salts")))
+    key = F.col("pivot").cast("bigint") * F.lit(1 << 22) + salt
+    dealt = rows.join(F.broadcast(salts), "pivot", "left").select(key.alias("key"), "ids").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -270,10 +275,9 @@ def mined(rows: DataFrame, salts: DataFrame, least: int, group: int = GROUP) ->
             held = len(key) - stop
 
         for b in batches:
-            pivot, salt = b.column("pivot").to_numpy().astype(np.int64), b.column("salt").to_numpy().astype(np.int64)
-            key = (pivot << 22) | ((salt + 1) << 1) | (salt >= 0)
+            key = b.column("key").to_numpy()
             if len(key):
-                parts.append((key, *unpacked(b)))
+                parts.append((key, *unpacked(b.column("ids"))))
                 held += len(key)
                 if held >= group:
                     yield from flush("groups")
