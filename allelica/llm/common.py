@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +52,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/allelica-{uuid.uuid4().hex}"
 
 
-#: Scratch tables made so far by ``written``, oldest first.
-MADE: list[str] = []
+#: Lists of the scratch tables that the surrounding ``scratch`` blocks have written, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of the scratch tables that are written inside, for ``discard`` when nothing reads them any more."""
+    own: list[str] = []
+    mark = _OPEN.set((*_OPEN.get(), own))
+    try:
+        yield own
+    finally:
+        _OPEN.reset(mark)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are written inside go at the end, but for those written with ``keep``."""
+    with scratch() as own:
+        try:
+            yield
+        finally:
+            discard(spark, own)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -57,14 +82,18 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in MADE:
-            MADE.remove(path)
 
 
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def noted(path: str, keep: bool = False) -> str:
+    """``path``, told to the surrounding ``scratch`` block; with ``keep`` to the one around that."""
+    if owners := _OPEN.get()[: -1 if keep else None]:
+        owners[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, compression: str = "snappy", keep: bool = False) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read again: lineage ends here."""
-    path = scratch_dir(df.sparkSession)
-    MADE.append(path)
+    path = noted(scratch_dir(df.sparkSession), keep)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -73,8 +102,28 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
 ROW = "_row_key"
 
 
+def read_plainly(df: DataFrame) -> bool:
+    """Whether the rows are those of Parquet files, at most filtered and projected, so that file and place name them."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") and "_metadata" not in df.columns and _has_places(df)
+
+
+def _has_places(df: DataFrame) -> bool:
+    try:
+        return df.select("_metadata.file_path", "_metadata.row_index").columns == ["file_path", "row_index"]
+    except AnalysisException:
+        return False  # files of another format
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own in ``ROW``, written so that the key stays the same."""
+    """The rows with a key of their own in ``ROW``, which stays the same however often they are read.
+
+    Rows of Parquet files are named by file and place and read from there; others are written with a number.
+    """
+    if read_plainly(docs):
+        return docs.withColumn(ROW, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 

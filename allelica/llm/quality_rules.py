@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelica.llm.common import ROW, SPACE, keyed, own_names, words_of, written
+from allelica.llm.common import ROW, SPACE, keyed, own_names, passing, words_of, written
 
 WINDOW = 8
 HOST_DOCS, ALL_DOCS, MIN_TEXTS, MAX_LOST = 10, 20, 5, 0.5
@@ -150,12 +150,14 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     alike, an empty table stays empty, and further columns are passed on.
     """
     rows = keyed(docs)
-    # Written first: a filter pushed below the array steps would repeat their expressions many times over.
-    found = written(measured(rows, ROW))
-    lines = line_verdicts(found, ROW, **limits).select(ROW, "removed", "depleted")
-    verdict = found.select(ROW, "base_failed").join(lines, ROW, "left").where(~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)))
+    with passing(docs.sparkSession):
+        # Written first: a filter pushed below the array steps would repeat their expressions many times over.
+        found = written(measured(rows, ROW))
+        lines = line_verdicts(found, ROW, **limits).select(ROW, "removed", "depleted")
+        verdict = found.select(ROW, "base_failed").join(lines, ROW, "left").where(~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)))
+        verdict = written(verdict.select(ROW, "removed"), keep=True)
     # The same plan at every size: the verdicts grow with the documents, so neither side is broadcast.
-    d, v = rows.hint("merge").alias("d"), written(verdict.select(ROW, "removed")).alias("v")
+    d, v = rows.hint("merge").alias("d"), verdict.alias("v")
     rows = d.join(v, F.col(f"d.{ROW}") == F.col(f"v.{ROW}"))
     left = F.array_join(
         F.filter(F.split("d.text", "\n"), lambda x: ~F.array_contains("v.removed", F.xxhash64(normalised(x)))), "\n"

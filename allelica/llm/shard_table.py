@@ -78,9 +78,18 @@ def place(docs: DataFrame, key: str = "doc_id", n_shards: int = N_SHARDS, size:
     return rows.select(*kept, F.col(slot).alias("slot"), F.col(shard).alias("shard"))
 
 
-def write_shards(placed: DataFrame, path: str, n_shards: int = N_SHARDS, splits: int = 8) -> None:
-    """One folder per shard that has rows, none for an empty table. Each shard is dealt to ``splits`` writers by
-    the hash of its rows' keys and places, so no task holds a whole shard; nulls, repeated rows and further
-    columns are written as they are."""
+#: Rows of a file of a shard, about, and bytes of a writer's row group.
+FILE_ROWS, GROUP_BYTES = 200_000, 16 << 20
+
+
+def write_shards(placed: DataFrame, path: str, n_shards: int = N_SHARDS, file_rows: int = FILE_ROWS) -> None:
+    """One folder per shard that has rows, none for an empty table, in files of about ``file_rows`` rows.
+
+    Each shard is dealt to as many writers as its share of the rows asks for by the hash of its rows' keys and places,
+    so no task holds a whole shard of a large table; a task sorts its rows by shard and has one file open at a time.
+    Nulls, repeated rows and further columns are written as they are.
+    """
+    splits = max(1, -(-placed.count() // (n_shards * file_rows)))
     cells = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in placed.columns if c != "shard"]), F.lit(splits))
-    placed.repartition(n_shards * splits, "shard", cells).write.partitionBy("shard").parquet(path)
+    dealt = placed.repartition(n_shards * splits, "shard", cells)
+    dealt.write.option("parquet.block.size", GROUP_BYTES).partitionBy("shard").parquet(path)

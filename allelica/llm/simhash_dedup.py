@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelica.llm.common import ROW, keyed, lower_words, own_names, written
+from allelica.llm.common import ROW, keyed, lower_words, own_names, passing, written
 from allelica.llm.components import components
 
 SEED, SHINGLE, SEGMENTS, BITS = 42, 3, 16, 2
@@ -138,8 +138,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     one component, an empty table stays empty, and further columns are passed on.
     """
     rows = keyed(docs)
-    prints = written(fingerprints(rows, ("doc_id", ROW)))
-    _, least = _leasts(prints, F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", ROW))
-    firsts = written(least.select(F.col(f"least.{ROW}").alias(ROW)))
+    with passing(docs.sparkSession):
+        prints = written(fingerprints(rows, ("doc_id", ROW)))
+        _, least = _leasts(prints, F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", ROW))
+        firsts = written(least.select(F.col(f"least.{ROW}").alias(ROW)), keep=True)
     # The same plan at every size: the rows kept grow with the documents, so neither side is broadcast.
     return rows.hint("merge").join(firsts, ROW, "left_semi").drop(ROW)

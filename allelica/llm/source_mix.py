@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelica.llm.common import ROW, keyed, own_names, words_of, written
+from allelica.llm.common import ROW, discard, keyed, own_names, scratch, words_of, written
 
 WEIGHTS = (5, 2, 1)
 LEVELS = 6
@@ -152,7 +152,10 @@ def repeat(docs: DataFrame, **parameters) -> DataFrame:
     are passed on.
     """
     rows = keyed(docs)
-    p = cut_table(written(sizes(rows, F.col(ROW))), **parameters).alias("p")
+    with scratch() as passed:
+        sized = written(sizes(rows, F.col(ROW)))
+    p = cut_table(sized, **parameters).alias("p")
+    discard(docs.sparkSession, passed)  # the table of cuts is a row for each source and reads no document
     d = rows.withColumn(DIGITS, digits_of(F.col("doc_id"), F.col("text"), F.col(ROW))).alias("d")
     n = passes(F.col(f"d.{DIGITS}"), F.col("p.whole"), F.col("p.cut"), F.col("p.most"))
     rows = d.join(p, _same(F.col("d.source"), F.col("p.source"))).where(n > 0)
