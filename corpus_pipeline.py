@@ -1,39 +1,19 @@
 """The corpus pipeline: each stage applies one operator to all that the stage before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. Between stages the rows are written as Parquet and read again.
+documents. Between stages the rows are written as Parquet and read again. A stage removes the scratch tables that its
+result does not read; those that it does read stay until ``run`` has written the result, or, where a stage is called
+by itself, for as long as the shared folder.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from allelica.llm import decontaminate, quality_rules, shard_table, simhash_dedup, source_mix
-from allelica.llm.common import MADE, discard, table, written
-
-_EARLIER: list[str] = []
-
-
-def tidy(stage):
-    """A stage's scratch tables go when a later stage begins, whose documents have been written by then; those
-    that its documents still read stay."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if old := [p for p in _EARLIER if p in MADE]:
-            read = docs.inputFiles()
-            discard(spark, [p for p in old if not any(p.rsplit("/", 1)[-1] in f for f in read)])
-        before = set(MADE)
-        out = stage(spark, docs, sf_dir)
-        _EARLIER[:] = [p for p in MADE if p in _EARLIER or p not in before]
-        return out
-
-    return run_stage
+from allelica.llm.common import discard, noted, scratch, scratch_dir, table, written
 
 
-@tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and keep most of their words; lines above the limits are cut.
 
@@ -43,7 +23,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs)
 
 
-@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked fingerprints, the one with the least id and the first of several with it.
 
@@ -53,7 +32,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.keep_one(docs)
 
 
-@tidy
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item.
 
@@ -63,7 +41,6 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
-@tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: not at all, once or twice.
 
@@ -73,14 +50,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mix.repeat(docs)
 
 
-@tidy
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their slot and shard, the column that a writer partitions by.
+    """The documents written to a folder for each shard, and read from there with slot and shard.
 
     Rows with null ids share a shard, repeated ids go together, an empty table gives an empty result, and columns
     named slot or shard are replaced.
     """
-    return shard_table.place(docs)
+    placed, path = shard_table.place(docs), noted(scratch_dir(spark))
+    shard_table.write_shards(placed, path)
+    return spark.read.schema(placed.schema).parquet(path).select(*[f"`{c}`" for c in placed.columns])
 
 
 STAGES = [
@@ -97,10 +75,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage leaves, and the documents that it read, go once its result is written."""
+    docs, read = table(spark, sf_dir, "documents"), []
     for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+        with scratch() as left:
+            out = stage(spark, docs, sf_dir)
+        if at == len(STAGES) - 1:
+            discard(spark, read)  # the shards are files of their own
+            for path in left:
+                noted(path)
+            return out
+        with scratch() as now:
+            docs = written(out)
+        discard(spark, left + read)
+        read = now
