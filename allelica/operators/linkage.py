@@ -1,10 +1,15 @@
-"""Linkage between nearby markers: a band self-join in genetic distance, pair tables and decay by bins."""
+"""Linkage between nearby markers: a band self-join in genetic distance, pair tables, haplotype EM and decay by bins."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from allelica.functions import two_locus
+from allelica.operators import tiles
+
 
 def marker_pairs(marker: DataFrame, most: int) -> DataFrame:
     """snp1, snp2, chrom, distance of markers on a chromosome with 0 < distance < ``most`` in genpos.
@@ -19,55 +24,27 @@ def marker_pairs(marker: DataFrame, most: int) -> DataFrame:
     return pairs.select("snp1", "snp2", "chrom", (F.col("g2") - F.col("g1")).alias("distance"))
 
 
-def planes(genotype: DataFrame) -> DataFrame:
-    """snp and three arrays of 64-bit words, a bit for each sample: ``c`` called, ``p1`` one reference allele,
-    ``p2`` two. A marker is three bits a sample, whatever the form of the ids.
-
-    Samples are numbered by id; the numbering is one row for each sample.
-    """
-    names = genotype.select("sample").distinct().withColumn("k", (F.row_number().over(Window.orderBy("sample")) - 1).cast("int"))
-    n = names.count()
-    rows = genotype.join(names, "sample").select("snp", F.shiftright("k", 6).alias("word"), "g", F.expr("shiftleft(1L, k & 63)").alias("bit"))
-    word = rows.groupBy("snp", "word").agg(
-        F.bit_or("bit").alias("c"), F.bit_or(F.when(F.col("g") == 1, F.col("bit")).otherwise(0)).alias("p1"),
-        F.bit_or(F.when(F.col("g") == 2, F.col("bit")).otherwise(0)).alias("p2"),
-    )
-    held = word.groupBy("snp").agg(F.array_sort(F.collect_list(F.struct("word", "c", "p1", "p2"))).alias("w"))
-    # Dense arrays: a word without calls is a zero, so a word's place is its number.
-    every = F.transform(F.sequence(F.lit(0), F.lit(max(0, (n - 1) // 64))), lambda k: F.get(F.filter("w", lambda x: x["word"] == k), 0))
-    zero = F.lit(0).cast("bigint")
-    dense = held.select("snp", every.alias("w"))
-    part = lambda c: F.transform("w", lambda x: F.coalesce(x[c], zero)).alias(c)
-    return dense.select("snp", part("c"), part("p1"), part("p2"))
-
+def pair_tables(genotype: DataFrame, marker: DataFrame, most: int) -> DataFrame:
+    """snp1, snp2, chrom, distance, n and the sums x, y, xx, yy, xy of the calls over common samples, of markers of a
+    chromosome with 0 < distance < ``most``; from the nine counts of packed tiles."""
+    return table_sums(tiles.pair_cells(genotype, marker, most))
 
-def pair_tables(genotype: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with n and the sums x, y, xx, yy, xy of the calls over common samples.
 
-    Calls are packed to bit planes once a marker; a pair's sums are bit counts of ANDs, word by word.
-    """
-    packed = planes(genotype)
-    one = packed.select(F.col("snp").alias("snp1"), *[F.col(c).alias(f"a_{c}") for c in ("c", "p1", "p2")])
-    two = packed.select(F.col("snp").alias("snp2"), *[F.col(c).alias(f"b_{c}") for c in ("c", "p1", "p2")])
-    rows = pairs.join(one, "snp1").join(two, "snp2")
+def table_sums(cells: DataFrame, name: str = "cells0") -> DataFrame:
+    """n, x, y, xx, yy, xy of the nine counts in ``name``."""
+    total = lambda weight: sum((weight(k // 3, k % 3) * F.col(name)[k] for k in range(9) if weight(k // 3, k % 3)), F.lit(0).cast("bigint"))
+    sums = {"n": lambda g, h: 1, "x": lambda g, h: g, "y": lambda g, h: h, "xx": lambda g, h: g * g, "yy": lambda g, h: h * h, "xy": lambda g, h: g * h}
+    return cells.select("snp1", "snp2", "chrom", "distance", *[total(w).alias(c) for c, w in sums.items()]).where("n > 0")
 
-    def common(x: str, y: str) -> Column:
-        """Samples with a bit in both planes."""
-        ands = F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(v)))
-        return F.aggregate(ands, F.lit(0).cast("bigint"), lambda s, v: s + v)
 
-    x1, x2, y1, y2 = common("a_p1", "b_c"), common("a_p2", "b_c"), common("a_c", "b_p1"), common("a_c", "b_p2")
-    xy = common("a_p1", "b_p1") + 2 * (common("a_p1", "b_p2") + common("a_p2", "b_p1")) + 4 * common("a_p2", "b_p2")
-    out = rows.select("snp1", "snp2", "chrom", "distance", common("a_c", "b_c").alias("n"), x1.alias("x1"), x2.alias("x2"), y1.alias("y1"), y2.alias("y2"), xy.alias("xy"))
-    first = lambda c: F.col(f"{c}1") + 2 * F.col(f"{c}2")
-    second = lambda c: F.col(f"{c}1") + 4 * F.col(f"{c}2")
-    sums = [first("x").alias("x"), first("y").alias("y"), second("x").alias("xx"), second("y").alias("yy"), F.col("xy")]
-    return out.where("n > 0").select("snp1", "snp2", "chrom", "distance", "n", *sums)
+def _moments() -> tuple[Column, ...]:
+    """n, covariance and variances' product times n squared, in doubles: the integers pass 64 bits with many samples."""
+    n, x, y, xx, yy, xy = (F.col(c).cast("double") for c in ("n", "x", "y", "xx", "yy", "xy"))
+    return n, n * xy - x * y, (n * xx - x * x) * (n * yy - y * y)
 
 
 def r_squared(tables: DataFrame) -> DataFrame:
-    cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
-    var = (F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y"))
+    _, cov, var = _moments()
     return tables.withColumn("r2", F.when(var > 0, cov * cov / var))
 
 
@@ -83,9 +60,8 @@ def decay(tables: DataFrame, weights: DataFrame, bin_size: int) -> DataFrame:
 
 def chi_square(tables: DataFrame) -> DataFrame:
     """Pairs with ``chi2``, n times the squared correlation; null where a marker does not vary."""
-    cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
-    var = (F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y"))
-    return tables.withColumn("chi2", F.when(var > 0, F.col("n") * cov * cov / var))
+    n, cov, var = _moments()
+    return tables.withColumn("chi2", F.when(var > 0, n * (cov * cov) / var))
 
 
 def decay_without_each(tables: DataFrame, weights: DataFrame, bin_size: int) -> DataFrame:
@@ -100,3 +76,69 @@ def decay_without_each(tables: DataFrame, weights: DataFrame, bin_size: int) ->
     grid = whole.join(F.broadcast(own.select("chrom").distinct()), F.lit(True)).join(own, ["bin", "chrom"], "left")
     less = lambda c: F.col(f"all_{c}") - F.coalesce(c, F.lit(0))
     return grid.select("chrom", "bin", less("k").alias("pairs"), F.try_divide(less("lw"), less("ww")).alias("regression")).where("pairs > 0")
+
+
+def _per_table(pairs: DataFrame, names: list[str], found: list[str], run) -> DataFrame:
+    """``pairs`` with new double columns that ``run`` makes of batches of count tables; nan becomes null."""
+
+    def batches_of(batches):
+        for b in batches:
+            tables = [b.column(c).flatten().to_numpy().reshape(-1, 9) for c in names]
+            columns = [pa.array(x, pa.float64(), from_pandas=True) for x in run(*tables)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *found])
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes)
+    return pairs.mapInArrow(batches_of, f"{fields}, {', '.join(f'{c} double' for c in found)}")
+
+
+def linkage_em(pairs: DataFrame, group: int = 0) -> DataFrame:
+    """``pairs`` of ``tiles.pair_cells`` with ``ratio`` (twice the gain in log likelihood by linkage), ``z`` (its root,
+    signed) and ``dprime`` of the group's haplotype frequencies by EM; null where fewer than three samples have both
+    calls."""
+
+    def run(tables: np.ndarray):
+        out = two_locus.linkage(tables)
+        return out.ratio, out.z, out.dprime
+
+    return _per_table(pairs, [f"cells{group}"], ["ratio", "z", "dprime"], run)
+
+
+def _minor(name: str, first: bool) -> Column:
+    """Copies of the rarer allele at the first or second marker of a table."""
+    copies = sum((((k // 3) if first else k % 3) * F.col(name)[k] for k in range(9)), F.lit(0))
+    total = 2 * F.aggregate(name, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return F.least(copies, total - copies)
+
+
+def score_decay(
+    pairs: DataFrame, weights: DataFrame, bin_size: int, least: int = 5, parents: tuple[int, ...] = (), most_linked: float = 6.0, parent_calls: int = 10
+) -> DataFrame:
+    """bin, pairs, z, regression, correlation: the pairs' linkage z in the first group against the product of their
+    markers' weights, by bins of the distance. ``z`` is sum(wz) over the root of sum(ww).
+
+    Pairs need four samples with both calls and ``least`` copies of the rarer allele at both markers. Where ``parents``
+    are given, a pair also needs ``parent_calls`` samples with both calls in each of these groups, and a likelihood
+    ratio below ``most_linked`` in them: what is linked in the parents says nothing of the mixture's age. The parents'
+    EM runs over pairs that pass the counts alone.
+    """
+    count = lambda k: F.aggregate(f"cells{k}", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    use = pairs.where((count(0) >= 4) & (_minor("cells0", True) >= least) & (_minor("cells0", False) >= least))
+    for k in parents:
+        use = use.where(count(k) >= parent_calls)
+    w = weights.where("weight <> 0").select("snp", "weight")
+    for k in (1, 2):
+        use = use.join(w.select(F.col("snp").alias(f"snp{k}"), F.col("weight").alias(f"w{k}")), f"snp{k}")
+    for k in parents:
+        found = linkage_em(use, k)
+        use = found.where(F.coalesce("ratio", F.lit(-1.0)) < most_linked).select(*use.columns)
+    rows = linkage_em(use).select(F.floor(F.col("distance") / bin_size).alias("bin"), "z", (F.col("w1") * F.col("w2")).alias("w"))
+    sums = rows.groupBy("bin").agg(F.count("*").alias("pairs"), F.sum(F.col("w") * F.col("z")).alias("wz"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("z") * F.col("z")).alias("zz"))
+    return sums.select(
+        "bin", "pairs", (F.col("wz") / F.sqrt("ww")).alias("z"), (F.col("wz") / F.col("ww")).alias("regression"), F.try_divide(F.col("wz"), F.sqrt(F.col("ww") * F.col("zz"))).alias("correlation")
+    )
+
+
+def epistasis(pairs: DataFrame, case: int = 1, control: int = 0, small: float = 0.1) -> DataFrame:
+    """``pairs`` with ``interaction``: twice the gain in log likelihood of a logistic model with a cell for every pair of
+    genotypes over one in which the two markers' effects add up, from the tables of cases and of controls."""
+    return _per_table(pairs, [f"cells{case}", f"cells{control}"], ["interaction"], lambda a, b: (two_locus.interaction(a, b, small),))

@@ -228,7 +228,7 @@ def convert(spark: SparkSession, p: dict[str, str]) -> Data:
         g = transforms.wipe_chromosome(g, marker, int(p["wipechrom"]))
     if limit := par.number(p, "killr2", 0) and par.number(p, "r2thresh", 0.8):
         far = round(par.number(p, "r2genlim", 0.01) * UNITS)
-        linked = linkage.r_squared(linkage.pair_tables(g, linkage.marker_pairs(marker, far))).where(F.col("r2") >= limit)
+        linked = linkage.r_squared(linkage.pair_tables(g, marker, far)).where(F.col("r2") >= limit)
         named = marker.select("snp", F.xxhash64("snp").alias("id"), "chrom", F.col("genpos").alias("at"))
         scores = g.groupBy("snp").agg(F.count("*").alias("score")).join(named, "snp").select(F.col("id").alias("snp"), "chrom", F.col("at").alias("ord"), "score")
         pairs = linked.select(F.xxhash64("snp1").alias("snp1"), F.xxhash64("snp2").alias("snp2"), "chrom")

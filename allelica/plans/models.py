@@ -89,7 +89,7 @@ def decay_dates(spark, sf_dir):
     m = counts.moments(counts.allele_counts(d.genotype, d.sample))
     one, two = (m.where(f"pop = {k}").select("snp", F.col("p").alias(f"p{k}")) for k in (1, 2))
     weights = one.join(two, "snp").select("snp", (F.col("p1") - F.col("p2")).alias("weight"))
-    tables = linkage.pair_tables(d.genotype, linkage.marker_pairs(d.marker, BAND))
+    tables = linkage.pair_tables(d.genotype, d.marker, BAND)
     own = linkage.decay_without_each(tables, weights, 100_000).toPandas()
     sizes = d.marker.groupBy("chrom").count().toPandas().set_index("chrom")["count"]
     whole = linkage.decay(tables, weights, 100_000).toPandas()

@@ -329,7 +329,7 @@ _R2 = "CASE WHEN (n * xx - x * x) * (n * yy - y * y) > 0 THEN ROUND(POW(n * xy -
 @query(o.ADAPTER + o.pairs(BAND) + f"SELECT snp1, snp2, distance, n, {_R2} AS r2 FROM tables")
 def ld_pairs_band(spark, sf_dir):
     d = adapter.load(spark, sf_dir)
-    tables = linkage.pair_tables(d.genotype, linkage.marker_pairs(d.marker, BAND))
+    tables = linkage.pair_tables(d.genotype, d.marker, BAND)
     return rounded(linkage.r_squared(tables).select("snp1", "snp2", "distance", "n", "r2"), "r2")
 
 
@@ -341,7 +341,7 @@ def ld_bin_decay(spark, sf_dir):
     m = counts.moments(counts.allele_counts(d.genotype, d.sample))
     one, two = m.where("pop = 1").select("snp", F.col("p").alias("p1")), m.where("pop = 2").select("snp", F.col("p").alias("p2"))
     weights = one.join(two, "snp").select("snp", (F.col("p1") - F.col("p2")).alias("weight"))
-    tables = linkage.pair_tables(d.genotype, linkage.marker_pairs(d.marker, BAND))
+    tables = linkage.pair_tables(d.genotype, d.marker, BAND)
     return rounded(linkage.decay(tables, weights, 100_000), "regression", "correlation")
 
 
@@ -390,7 +390,7 @@ def decimate(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from allelica.plans import models, reports  # noqa: F401  they register their queries
+    from allelica.plans import linked, models, reports  # noqa: F401  they register their queries
 
     return dict(FOUND)
 

@@ -131,8 +131,9 @@ def sex_difference(spark, sf_dir):
 @query(o.ADAPTER + o.pairs(BAND) + "SELECT snp1, snp2, n, CASE WHEN (n * xx - x * x) * (n * yy - y * y) > 0 THEN ROUND(n * POW(n * xy - x * y, 2) / CAST((n * xx - x * x) * (n * yy - y * y) AS DOUBLE), 5) END AS chi2 FROM tables")
 def pair_chi_square(spark, sf_dir):
     d = adapter.load(spark, sf_dir)
-    tables = linkage.pair_tables(d.genotype, linkage.marker_pairs(d.marker, BAND))
-    return linkage.chi_square(tables).select("snp1", "snp2", "n", F.round("chi2", 5).alias("chi2"))
+    tables = linkage.pair_tables(d.genotype, d.marker, BAND)
+    # Half up in doubles, as the SQL's ROUND: Spark's own works on the decimal digits, which tie otherwise.
+    return linkage.chi_square(tables).select("snp1", "snp2", "n", (F.floor(F.col("chi2") * 1e5 + 0.5) / 1e5).alias("chi2"))
 
 
 @query(o.ADAPTER + o.pairs(BAND) + """, w AS (SELECT a.snp, a.p - b.p AS w FROM moments a JOIN moments b ON a.snp = b.snp AND a.pop = 1 AND b.pop = 2),
@@ -144,7 +145,7 @@ def decay_without_each(spark, sf_dir):
     m = counts.moments(counts.allele_counts(d.genotype, d.sample))
     one, two = m.where("pop = 1").select("snp", F.col("p").alias("p1")), m.where("pop = 2").select("snp", F.col("p").alias("p2"))
     weights = one.join(two, "snp").select("snp", (F.col("p1") - F.col("p2")).alias("weight"))
-    tables = linkage.pair_tables(d.genotype, linkage.marker_pairs(d.marker, BAND))
+    tables = linkage.pair_tables(d.genotype, d.marker, BAND)
     return rounded(linkage.decay_without_each(tables, weights, 100_000), "regression")
 
 
@@ -152,7 +153,7 @@ def decay_without_each(spark, sf_dir):
 def linked_markers_pruned(spark, sf_dir):
     """Tested against a plain walk: the greedy choice depends on the order along a chromosome."""
     d = adapter.load(spark, sf_dir)
-    linked = linkage.r_squared(linkage.pair_tables(d.genotype, linkage.marker_pairs(d.marker, 500_000))).where("r2 >= 0.2")
+    linked = linkage.r_squared(linkage.pair_tables(d.genotype, d.marker, 500_000)).where("r2 >= 0.2")
     scores = d.genotype.groupBy("snp").agg(F.count("*").alias("score"))
     own = d.marker.select("snp", "chrom", F.col("genpos").alias("ord")).join(scores, "snp")
     return filters.linked_prune(own, linked)

@@ -22,7 +22,7 @@ def sparse(spark, samples=70, snps=60, seed=3):
 def test_pair_tables(spark):
     g, df = sparse(spark)
     m = spark.createDataFrame([(k, 1, 10 * k) for k in range(len(g))], "snp bigint, chrom bigint, genpos bigint")
-    for r in linkage.pair_tables(df, linkage.marker_pairs(m, 35)).collect():
+    for r in linkage.pair_tables(df, m, 35).collect():
         a, b = g[r.snp1], g[r.snp2]
         both = (a >= 0) & (b >= 0)
         a, b = a[both], b[both]
