@@ -259,8 +259,13 @@ def renumbered(marker: DataFrame) -> DataFrame:
     return marker.withColumn("k", own).join(F.broadcast(before), "chrom").withColumn("ord", (F.col("k") + F.col("before")).cast("bigint")).select(*marker.columns)
 
 
+#: Packed formats by the names that parameter files use.
+PACKED = {"PACKEDANCESTRYMAP": "GENO", "GENO": "GENO", "TGENO": "TGENO", "TRANSPOSE_PACKED": "TGENO", "PACKEDPED": "BED", "BED": "BED"}
+
+
 def write(d: Data, p: dict[str, str]) -> None:
-    """The dataset in ``outputformat`` (EIGENSTRAT, ANCESTRYMAP or PED), as folders of text parts."""
+    """The dataset in ``outputformat``: EIGENSTRAT, ANCESTRYMAP or PED as folders of text parts, packed ones as folders
+    with a manifest."""
     kind = p.get("outputformat", "EIGENSTRAT").upper()
     places = d.sample.select("sample").distinct().count()
     sample = d.sample
@@ -274,8 +279,10 @@ def write(d: Data, p: dict[str, str]) -> None:
         formats.write_ped(d.genotype, d.marker, sample, p["genotypeoutname"])
     elif kind == "EIGENSTRAT":
         formats.write_eigenstrat(d.genotype, d.marker, sample, p["genotypeoutname"])
+    elif kind in PACKED:
+        formats.write_packed(d.genotype, d.marker, sample, p["genotypeoutname"], PACKED[kind])
     else:
-        raise ValueError(f"{kind} is no text format; packed rows come from formats.packed_rows")
+        raise ValueError(f"{kind} is no format")
     if "snpoutname" in p:
         formats.snp_lines(d.marker).write.text(p["snpoutname"])
     if "indivoutname" in p:

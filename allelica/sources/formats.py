@@ -1,6 +1,6 @@
 """Genotype file formats: text and two-bit packed, read to and written from genotype(snp, sample, g).
 
-Readers go through Spark (text and binaryFile), so any store that Spark reads will do. ``ord`` keeps file
+Text goes through Spark's reader, two-bit files through the data source of ``packed``. ``ord`` keeps file
 order; genotype rows carry the marker's and the sample's place in it.
 """
 
@@ -12,12 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from allelica.functions.alleles import chromosome, ordered_hash
-
-# Genotype codes of the two-bit formats. PLINK's code to reference counts; -1 is missing.
-BED_COUNTS = (2, -1, 1, 0)
-BED_MAGIC = bytes((0x6C, 0x1B, 0x01))
-PACKED_LEAST = 48  # bytes of a packed row at least, and of the transposed header
-
+from allelica.sources import packed
+from allelica.sources.packed import BED_MAGIC as BED_MAGIC  # of the format's readers
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """ord (0 on), fields and line of the lines that are not empty or comments; several files count on in the order
@@ -112,87 +108,42 @@ def read_ped(spark: SparkSession, path: str, marker: DataFrame, family_names: bo
     return counted.where("n = 2").select("snp", "sample", "g")
 
 
-def unpack(raw: bytes, n: int, low_first: bool = False) -> np.ndarray:
-    """The first n two-bit codes of some bytes."""
-    b = np.frombuffer(raw, dtype=np.uint8)
-    shifts = np.array((0, 2, 4, 6) if low_first else (6, 4, 2, 0), dtype=np.uint8)
-    return ((b[:, None] >> shifts) & 3).ravel()[:n]
-
-
-def pack(codes: np.ndarray, least: int = 0, low_first: bool = False) -> bytes:
-    quads = np.zeros(-(-len(codes) // 4) * 4, dtype=np.uint8)
-    quads[: len(codes)] = codes
-    shifts = np.array((0, 2, 4, 6) if low_first else (6, 4, 2, 0), dtype=np.uint8)
-    raw = np.bitwise_or.reduce(quads.reshape(-1, 4) << shifts, axis=1).astype(np.uint8).tobytes()
-    return raw.ljust(least, b"\0")
-
-
-def _unpacked(rows: DataFrame, n: int, kind: str) -> DataFrame:
-    """m, s, g of packed rows (k, raw)."""
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for k, raw in zip(pdf["k"], pdf["raw"], strict=True):
-                g = unpack(raw, n, kind == "bed").astype(np.int8)
-                g = np.array(BED_COUNTS, dtype=np.int8)[g] if kind == "bed" else np.where(g == 3, -1, g)
-                at = np.flatnonzero(g >= 0)
-                places = {"m": np.full(len(at), k), "s": at} if kind != "tgeno" else {"m": at, "s": np.full(len(at), k)}
-                out.append(pd.DataFrame(places | {"g": g[at].astype(np.int32)}))
-            yield pd.concat(out) if out else pd.DataFrame({"m": [], "s": [], "g": []})
-
-    return rows.mapInPandas(run, "m bigint, s bigint, g int")
-
-
-def _records(spark: SparkSession, path: str, row: int) -> DataFrame:
-    """k, raw of a file of rows of one length: Spark splits it at row bounds, so its size has no limit. The first
-    row, the header, is number -1."""
-    raw = spark.sparkContext.binaryRecords(path, row).zipWithIndex().map(lambda x: (x[1] - 1, bytearray(x[0])))
-    return spark.createDataFrame(raw, "k bigint, raw binary").where("k >= 0")
-
-
-def _cut(spark: SparkSession, path: str, header: int, row: int) -> DataFrame:
-    """k, raw of a file whose header is not of the rows' length. Such a file is one value, up to 2 GB: larger
-    datasets come as a file for each chromosome or group of samples."""
-    content = spark.read.format("binaryFile").load(path).select("content")
-    count = F.floor((F.length("content") - header) / row)
-    rows = content.select("content", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("k"))
-    return rows.select("k", F.substring("content", (F.col("k") * row + header + 1).cast("int"), F.lit(row)).alias("raw"))
-
-
-def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of a packed file; only its first split is opened."""
-    return bytes(spark.sparkContext.binaryRecords(path, PACKED_LEAST).first())
+def _wanted(rows: DataFrame, held: int) -> list[int] | None:
+    """The places of a sample or marker table, where they are fewer than a file's rows; a number for each of its rows."""
+    places = [r.ord for r in rows.select("ord").collect()]
+    return places if len(places) < held else None
 
 
 def read_packed(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame, check: bool = True) -> DataFrame:
-    """A packed GENO or transposed TGENO file, by its header; with ``check`` the header's counts and id hashes
-    must be those of the marker and sample tables."""
-    head = _head(spark, path)
-    kind, n_ind, n_snp, ind_hash, snp_hash = bytes(head).split(b"\0")[0].decode().split()[:5]
-    n_ind, n_snp = int(n_ind), int(n_snp)
-    if check:
+    """Calls of a packed GENO, transposed TGENO or BED file or folder, by its header; with ``check`` the header's counts
+    and id hashes must be those of the marker and sample tables. Without it the tables may be parts of the dataset's, and
+    only their rows of the file are read: samples' of a TGENO file, markers' of the others."""
+    own = packed.layout(path, sample.count())
+    if check and own.kind != "BED":
         found = [(t.count(), ordered_hash(t, c, "ord").first()["hash"]) for t, c in ((sample, "sample"), (marker, "snp"))]
-        if found != [(n_ind, ind_hash), (n_snp, snp_hash)]:
+        if found != [(own.n_ind, own.hashes[0]), (own.n_snp, own.hashes[1])]:
             raise ValueError("the header does not fit the marker and sample tables")
-    if kind == "GENO":
-        row = max(PACKED_LEAST, -(-n_ind // 4))
-        return _named(_unpacked(_records(spark, path, row), n_ind, "geno"), marker, sample)
-    return _named(_unpacked(_cut(spark, path, PACKED_LEAST, max(PACKED_LEAST, -(-n_snp // 4))), n_snp, "tgeno"), marker, sample)
+    use = sample.where(~F.col("ignored")) if "ignored" in sample.columns else sample
+    wanted = _wanted(use if own.kind == "TGENO" else marker, own.rows)
+    rows = packed.read(spark, path, wanted, own.n_ind)
+    return _named(packed.calls(rows, own.kind, own.columns), marker, sample)
 
 
 def read_bed(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame) -> DataFrame:
-    n = sample.count()
-    return _named(_unpacked(_cut(spark, path, 3, -(-n // 4)), n, "bed"), marker, sample)
+    return read_packed(spark, path, marker, sample)
 
 
 def wide_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
     """ord, snp, codes: a row per marker with an array of calls in sample order, null where missing."""
     n = sample.count()
     rows = genotype.join(sample.select("sample", F.col("ord").cast("int").alias("s")), "sample")
-    per = rows.groupBy("snp").agg(F.map_from_entries(F.collect_list(F.struct("s", "g"))).alias("calls"))
-    out = marker.select("snp", "ord").join(per, "snp", "left")
-    return out.select("ord", "snp", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.try_element_at("calls", k)).alias("codes"))
+    per = rows.groupBy("snp").agg(F.array_sort(F.collect_list(F.struct("s", "g"))).alias("w"))
+    # Calls in order with nulls in the gaps before each and after the last.
+    gap = lambda k: F.array_repeat(F.lit(None).cast("bigint"), k)
+    before = lambda k: F.coalesce(F.get("w", k)["s"], F.lit(-1))
+    held = F.flatten(F.transform("w", lambda x, k: F.concat(gap(x["s"] - before(k - 1) - 1), F.array(x["g"].cast("bigint")))))
+    codes = F.when(F.col("w").isNull(), gap(F.lit(n))).otherwise(F.concat(held, gap(n - 1 - before(F.size("w") - 1))))
+    return marker.select("snp", "ord").join(per, "snp", "left").select("ord", "snp", codes.alias("codes"))
 
 
 def _digit(x: Column) -> Column:
@@ -214,23 +165,38 @@ def write_ancestrymap(genotype: DataFrame, path: str) -> None:
 
 def packed_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame, kind: str = "geno") -> DataFrame:
     """ord, raw: the rows of a GENO or BED file in marker order."""
+    cells = genotype.join(marker.select("snp", F.col("ord").alias("k")), "snp").join(sample.select("sample", F.col("ord").alias("at")), "sample")
+    rows = packed.packed_calls(cells.select("k", "at", "g"), marker.select(F.col("ord").alias("k")), sample.count(), kind.upper())
+    return rows.withColumnRenamed("k", "ord").orderBy("ord")
+
+
+def write_packed(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path: str, kind: str = "GENO") -> None:
+    """A folder of packed parts (GENO, TGENO or BED) with the id hashes of the tables, whose ``ord`` count from 0.
+
+    TGENO is made of packed marker rows by turning tiles, not from single calls.
+    """
+    kind = kind.upper()
+    n_ind, n_snp = sample.count(), marker.count()
+    rows = packed_rows(genotype, marker, sample, "bed" if kind == "BED" else "geno").withColumnRenamed("ord", "k")
+    if kind == "TGENO":
+        rows = packed.transposed(rows, n_snp, n_ind, packed.row_bytes("TGENO", n_snp))
+    hashes = [ordered_hash(t, c, "ord").first()["hash"] for t, c in ((sample, "sample"), (marker, "snp"))]
+    packed.write(rows, path, kind, n_ind, n_snp, tuple(hashes))
 
-    def run(frames):
-        for pdf in frames:
-            raws = []
-            for codes in pdf["codes"]:
-                g = np.array([3 if c is None or c != c else int(c) for c in codes], dtype=np.uint8)
-                raws.append(pack(g, PACKED_LEAST) if kind == "geno" else pack(np.array([3, 2, 0, 1], dtype=np.uint8)[g], 0, True))
-            yield pd.DataFrame({"ord": pdf["ord"], "raw": raws})
 
-    return wide_rows(genotype, marker, sample).select("ord", "codes").mapInPandas(run, "ord bigint, raw binary").orderBy("ord")
+def transpose_packed(spark: SparkSession, path: str, out: str) -> None:
+    """A GENO dataset as a TGENO folder, or the other way: two-bit tiles are exchanged and nothing is unpacked."""
+    own = packed.layout(path)
+    kind = {"GENO": "TGENO", "TGENO": "GENO"}.get(own.kind)
+    if kind is None:
+        raise ValueError("only GENO and TGENO are each other's transposes")
+    turned = packed.transposed(packed.read(spark, path), own.rows, own.columns, packed.row_bytes(kind, own.rows))
+    packed.write(turned, out, kind, own.n_ind, own.n_snp, own.hashes)
 
 
 def packed_header(kind: str, marker: DataFrame, sample: DataFrame) -> bytes:
     inds, snps = ((t.count(), ordered_hash(t, c, "ord").first()["hash"]) for t, c in ((sample, "sample"), (marker, "snp")))
-    text = f"{kind} {inds[0]:7d} {snps[0]:7d} {inds[1]} {snps[1]}".encode()
-    row = max(PACKED_LEAST, -(-inds[0] // 4)) if kind == "GENO" else PACKED_LEAST
-    return text.ljust(row, b"\0")
+    return packed.header(kind, inds[0], snps[0], inds[1], snps[1])
 
 
 def transposed_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
