@@ -1,22 +1,179 @@
-"""The f-statistic family as projections of one row per marker, block sums and a jackknife.
+"""The f-statistic family: sums over markers by block for tuples of populations, and a jackknife.
 
-``markers`` is the result of counts.by_marker: snp, block, m. Tuples of populations are a small list given
-by the caller; each becomes an element of an array literal that is exploded once, so the data are scanned
-and shuffled once for all of them.
+``markers`` is the result of counts.by_marker: snp, block, m. Its moments are laid out once a marker as arrays in the
+order of the populations. Tuples are rows of small numbers, sent to the tasks or made there from their own number
+(``ThreePairings``); tasks compute batches of markers by batches of tuples and add them up by block before the shuffle.
+No tuple is a literal of the plan and no row is made for a marker and tuple.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelica.operators import jackknife
 
-P = Callable[[str, int], Column]
+
+class ThreePairings(Sequence):
+    """For every four of the populations the three ways of pairing them, by number: nothing is listed."""
+
+    def __init__(self, pops: Sequence):
+        self.pops = list(pops)
+        n = len(self.pops)
+        # below[k][i]: choices of k populations whose first one stands before place i.
+        self.below = [np.cumsum([0, *[comb(n - 1 - i, k - 1) for i in range(n)]]) if k else None for k in range(5)]
+
+    def __len__(self) -> int:
+        return 3 * comb(len(self.pops), 4)
+
+    def take(self, low: int, high: int) -> np.ndarray:
+        """Places of the four populations of tuples ``low`` to ``high``, a row for each."""
+        number = np.arange(low, high, dtype=np.int64)
+        left, turn = number // 3, number % 3
+        four, start = np.zeros((len(number), 4), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
+        for k in range(4):
+            below = self.below[4 - k]
+            left = left + below[start]  # choices whose first population stands before ``start`` are not there
+            four[:, k] = np.searchsorted(below, left, side="right") - 1
+            left -= below[four[:, k]]
+            start = four[:, k] + 1
+        order = np.array([(0, 1, 2, 3), (0, 2, 1, 3), (0, 3, 1, 2)])[turn]
+        return np.take_along_axis(four, order, axis=1)
+
+    def __getitem__(self, k):
+        if isinstance(k, slice):
+            return [self[i] for i in range(*k.indices(len(self)))]
+        if not -len(self) <= k < len(self):
+            raise IndexError(k)
+        at = k % len(self)
+        return tuple(self.pops[i] for i in self.take(at, at + 1)[0])
+
+
+class AllStatistics(ThreePairings):
+    """Every f2 as (a, b, a, b), f3 as (a, b, a, c) and f4 of some populations once, by number."""
+
+    def _sizes(self) -> tuple[int, int, int]:
+        n = len(self.pops)
+        return comb(n, 2), n * comb(n - 1, 2), 3 * comb(n, 4)
+
+    def __len__(self) -> int:
+        return sum(self._sizes())
+
+    @staticmethod
+    def two(number: np.ndarray, n: int) -> np.ndarray:
+        """The ``number``-th choices of two of ``n``."""
+        below = np.cumsum([0, *range(n - 1, -1, -1)])
+        first = np.searchsorted(below, number, side="right") - 1
+        return np.stack([first, first + 1 + number - below[first]], axis=1)
+
+    def take(self, low: int, high: int) -> np.ndarray:
+        n, (f2, f3, _) = len(self.pops), self._sizes()
+        number = np.arange(low, high, dtype=np.int64)
+        two = self.two(number[number < f2], n)[:, [0, 1, 0, 1]]
+        own = number[(number >= f2) & (number < f2 + f3)] - f2
+        a, rest = np.divmod(own, max(1, comb(n - 1, 2)))
+        pair = self.two(rest, n - 1)
+        pair += pair >= a[:, None]  # the populations but a
+        three = np.stack([a, pair[:, 0], a, pair[:, 1]], axis=1)
+        start, end = max(low, f2 + f3) - f2 - f3, high - f2 - f3
+        return np.concatenate([two, three, super().take(start, end) if end > start else np.zeros((0, 4), dtype=np.int64)])
+
+
+class Listed:
+    """Tuples of a list, as places of their populations."""
+
+    def __init__(self, queries: Sequence[Sequence]):
+        self.pops = list(dict.fromkeys(p for q in queries for p in q))
+        place = {p: k for k, p in enumerate(self.pops)}
+        self.places = np.array([[place[p] for p in q] for q in queries], dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def take(self, low: int, high: int) -> np.ndarray:
+        return self.places[low:high]
+
+
+class Batch:
+    """Moments of a batch of markers (rows) at the places of a batch of tuples (columns)."""
+
+    def __init__(self, fields: dict[str, np.ndarray], q: np.ndarray):
+        self.fields, self.q = fields, q
+
+    def __call__(self, name: str, k: int) -> np.ndarray:
+        return self.fields[name][:, self.q[:, k]]
+
+    def same(self, i: int, j: int) -> np.ndarray:
+        return self.q[:, i] == self.q[:, j]
+
+    def f4(self, a: int, b: int, c: int, d: int) -> np.ndarray:
+        return (self("p", a) - self("p", b)) * (self("p", c) - self("p", d))
+
+
+def tuple_sums(
+    markers: DataFrame, queries: Sequence[Sequence], names: Sequence[str], terms: Callable[[Batch], Sequence[np.ndarray]], fields: str = "p",
+    cells: int = 2_000_000, complete: bool = False,
+) -> DataFrame:
+    """qid, block, the sums of the ``names`` and n, of ``terms``: an array (markers, tuples) for each name, with nan where
+    unknown. A marker counts for a tuple where all are known; with ``complete`` only where they are for all tuples.
+    ``fields`` are the moments that the terms use, a letter each."""
+    tuples = queries if isinstance(queries, ThreePairings) else Listed(queries)
+    sent = markers.sparkSession.sparkContext.broadcast(tuples)  # a list's own size, or that of the populations
+    lay = lambda f: F.array(*[F.coalesce(F.try_element_at("m", F.lit(p))[f].cast("double"), F.lit(float("nan"))) for p in tuples.pops])
+    wide = markers.select(F.col("block").cast("bigint").alias("block"), *[lay(f).alias(f) for f in fields])
+
+    def run(batches):
+        every = sent.value
+        for b in batches:
+            block = b.column("block").to_numpy()
+            if not len(block):
+                continue
+            order = np.argsort(block, kind="stable")
+            held = {f: b.column(f).flatten().to_numpy(zero_copy_only=False).reshape(len(block), -1)[order] for f in fields}
+            own, first = np.unique(block[order], return_index=True)
+            step = max(1, cells // len(block))
+            parts = range(0, len(every), step)
+            values = lambda at: terms(Batch(held, every.take(at, min(len(every), at + step))))  # noqa: E731, B023
+            if complete:
+                whole = np.logical_and.reduce([~np.isnan(sum(values(at))).any(axis=1) for at in parts])[:, None]
+            for at in parts:
+                found = values(at)
+                known = ~np.isnan(sum(found))
+                if complete:
+                    known = known & whole
+                sums = [np.add.reduceat(np.where(known, x, 0.0), first, axis=0) for x in found]
+                n = np.add.reduceat(known.astype(np.int64), first, axis=0)
+                i, j = np.nonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array((j + at).astype(np.int32)), pa.array(own[i]), *[pa.array(x[i, j]) for x in sums], pa.array(n[i, j])], ["qid", "block", *names, "n"])
+
+    found = wide.mapInArrow(run, f"qid int, block bigint, {', '.join(f'{c} double' for c in names)}, n bigint")
+    return found.groupBy("qid", "block").agg(*[F.sum(c).alias(c) for c in (*names, "n")])
+
+
+def populations_of(spark: SparkSession, queries: Sequence[Sequence]) -> DataFrame:
+    """qid, q0, q1, ...: the populations of the tuples, written out by the tasks."""
+    tuples = queries if isinstance(queries, ThreePairings) else Listed(queries)
+    width, names = tuples.take(0, 1).shape[1], pa.array(tuples.pops)
+    kind, sent = "bigint" if pa.types.is_integer(names.type) else "string", spark.sparkContext.broadcast(tuples)
+
+    def run(batches):
+        for b in batches:
+            k = b.column("id").to_numpy()
+            if len(k):
+                q = np.concatenate([sent.value.take(int(x), int(x) + 1) for x in k])
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *[names.take(pa.array(q[:, i])) for i in range(width)]], ["qid", *[f"q{i}" for i in range(width)]])
+
+    return spark.range(len(tuples)).mapInArrow(run, f"qid int, {', '.join(f'q{i} {kind}' for i in range(width))}")
+
+
+def _one(x: np.ndarray) -> np.ndarray:
+    """1 where a value is known."""
+    return np.where(np.isnan(x), np.nan, 1.0)
 
 
 def _tuples(queries: Sequence[Sequence]) -> Column:
@@ -35,12 +192,6 @@ def f4(a: str, b: str, c: str, d: str) -> Column:
     return (F.col(a) - F.col(b)) * (F.col(c) - F.col(d))
 
 
-def _sums(rows: DataFrame, top: Column, bot: Column, *more: Column) -> DataFrame:
-    """Block sums of the rows in which top and bot are known."""
-    rows = rows.withColumns({"top": top, "bot": bot}).where("top is not null and bot is not null")
-    return rows.groupBy("qid", "block").agg(F.sum("top").alias("top"), F.sum("bot").alias("bot"), F.count("*").alias("n"), *more)
-
-
 def _finish(sums: DataFrame, queries: Sequence[Sequence], name: str, extra: list[Column] | None = None, totals: list[Column] | None = None) -> DataFrame:
     jack = jackknife.ratio(sums, ["qid"])
     total = sums.groupBy("qid").agg(F.sum("n").cast("bigint").alias("nsnp"), *(totals or []))
@@ -56,60 +207,27 @@ def dstat(markers: DataFrame, queries: Sequence[Sequence], f4mode: bool = False)
     With p_i the frequencies, BABA - ABBA is (p0-p1)(p2-p3) and their sum the product of the pairs'
     mismatches; in f4 mode the denominator is the count.
     """
-    if any(len(set(q)) < 4 for q in queries):
+    if not isinstance(queries, ThreePairings) and any(len(set(q)) < 4 for q in queries):
         raise ValueError("a D statistic needs four different populations")
     sums = d_blocks(markers, queries, f4mode)
     return _finish(sums, queries, "d", [F.col("baba"), F.col("abba")], [F.sum("baba").alias("baba"), F.sum("abba").alias("abba")])
 
 
 def d_blocks(markers: DataFrame, queries: Sequence[Sequence], f4mode: bool = False, cells: int = 2_000_000) -> DataFrame:
-    """qid, block, top, bot, n, baba, abba of D statistics.
+    """qid, block, top, bot, n, baba, abba of D statistics; a task computes at most ``cells`` products at once."""
 
-    Frequencies are laid out once a marker as an array in the order of the populations; tasks multiply batches of
-    markers by the tuples' columns, at most ``cells`` products at once, and add them up by block before the
-    shuffle. Tuples are an array of four small numbers each, sent to the tasks; none is a literal of the plan.
-    """
-    pops = list(dict.fromkeys(p for q in queries for p in q))
-    place = {p: k for k, p in enumerate(pops)}
-    tuples = markers.sparkSession.sparkContext.broadcast(np.array([[place[p] for p in q] for q in queries], dtype=np.int32))
-    wide = markers.select(F.col("block").cast("bigint").alias("block"), F.array(*[F.coalesce(F.try_element_at("m", F.lit(p))["p"], F.lit(float("nan"))) for p in pops]).alias("p"))
+    def terms(x: Batch):
+        w = [x("p", k) for k in range(4)]
+        ab, ba, cd, dc = (w[i] * (1 - w[j]) for i, j in ((0, 1), (1, 0), (2, 3), (3, 2)))
+        return ab * cd + ba * dc, ab * dc + ba * cd
 
-    def run(batches):
-        t = tuples.value
-        step = 64
-        for b in batches:
-            block = b.column("block").to_numpy()
-            order = np.argsort(block, kind="stable")
-            p = b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(len(block), -1)[order]
-            own, first = np.unique(block[order], return_index=True)
-            step = max(1, cells // max(1, len(block)))
-            for at in range(0, len(t), step):
-                q = t[at : at + step]
-                w = [p[:, q[:, k]] for k in range(4)]
-                held = ~np.isnan(w[0] + w[1] + w[2] + w[3])
-                ab = [np.where(held, w[i] * (1 - w[j]), 0.0) for i, j in ((0, 1), (1, 0), (2, 3), (3, 2))]
-                sums = [np.add.reduceat(x, first, axis=0) for x in (ab[0] * ab[2] + ab[1] * ab[3], ab[0] * ab[3] + ab[1] * ab[2], held.astype(np.int64))]
-                i, j = np.nonzero(sums[2])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((j + at).astype(np.int32)), pa.array(own[i]), *[pa.array(x[i, j]) for x in sums]], ["qid", "block", "baba", "abba", "n"]
-                )
-
-    found = wide.mapInArrow(run, "qid int, block bigint, baba double, abba double, n bigint")
-    sums = found.groupBy("qid", "block").agg(*[F.sum(c).alias(c) for c in ("baba", "abba", "n")])
+    sums = tuple_sums(markers, queries, ["baba", "abba"], terms, cells=cells)
     bot = F.col("n").cast("double") if f4mode else F.col("baba") + F.col("abba")
     return sums.select("qid", "block", (F.col("baba") - F.col("abba")).alias("top"), bot.alias("bot"), "n", "baba", "abba")
 
 
-def three_pairings(pops: Sequence) -> list[tuple]:
-    """For every four of the populations the three ways of pairing them."""
-    out = []
-    for i, a in enumerate(pops):
-        for j in range(i + 1, len(pops)):
-            for k in range(j + 1, len(pops)):
-                for m in range(k + 1, len(pops)):
-                    b, c, d = pops[j], pops[k], pops[m]
-                    out += [(a, b, c, d), (a, c, b, d), (a, d, b, c)]
-    return out
+def three_pairings(pops: Sequence) -> ThreePairings:
+    return ThreePairings(pops)
 
 
 def f4_statistic(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
@@ -120,19 +238,21 @@ def f3(markers: DataFrame, queries: Sequence[Sequence], outgroup: bool = False)
     """qid, f3, se, z, nsnp for (A, B, C): the target C last. The numerator is corrected for C's sampling, the
     denominator is twice C's half heterozygosity, or a constant with an outgroup. nsnp counts polymorphic
     markers, the weights all valid ones."""
-    rows = spread(markers, queries, 3)
-    top = (F.col("p2") - F.col("p0")) * (F.col("p2") - F.col("p1")) + F.col("c2")
-    bot = F.when(F.col("h2").isNotNull(), F.lit(0.001) if outgroup else 2 * F.col("h2"))
-    same = (F.col("p0") == F.col("p1")) & (F.col("p1") == F.col("p2")) & F.col("p0").isin(0.0, 1.0)
-    sums = _sums(rows, top, bot, F.sum((~same).cast("bigint")).alias("poly"))
-    out = _finish(sums, queries, "f3", [F.col("poly")], [F.sum("poly").alias("poly")])
+
+    def terms(x: Batch):
+        p0, p1, p2, h2 = x("p", 0), x("p", 1), x("p", 2), x("h", 2)
+        varied = ~((p0 == p1) & (p1 == p2) & ((p0 == 0) | (p0 == 1)))
+        return (p2 - p0) * (p2 - p1) + x("c", 2), 0.001 * _one(h2) if outgroup else 2 * h2, varied.astype(float)
+
+    sums = tuple_sums(markers, queries, ["top", "bot", "poly"], terms, "phc")
+    out = _finish(sums, queries, "f3", [F.col("poly")], [F.sum("poly").cast("bigint").alias("poly")])
     return out.select("qid", "f3", "se", "z", F.col("poly").alias("nsnp"), "blocks")
 
 
 def f4_ratio(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
     """qid, alpha, se, z, nsnp for eight populations: f4 of the first four over f4 of the last four."""
-    rows = spread(markers, queries, 8)
-    return _finish(_sums(rows, f4("p0", "p1", "p2", "p3"), f4("p4", "p5", "p6", "p7")), queries, "alpha")
+    sums = tuple_sums(markers, queries, ["top", "bot"], lambda x: (x.f4(0, 1, 2, 3), x.f4(4, 5, 6, 7)))
+    return _finish(sums, queries, "alpha")
 
 
 def f4_difference(markers: DataFrame, queries: Sequence[Sequence], factor: float = 1.0, overlap: bool = True) -> DataFrame:
@@ -141,13 +261,22 @@ def f4_difference(markers: DataFrame, queries: Sequence[Sequence], factor: float
     With overlap over markers valid in both; else the difference of two means with the valid counts as
     weights, and nsnp the markers valid in either.
     """
-    rows = spread(markers, queries, 8).withColumns({"a": f4("p0", "p1", "p2", "p3") * F.lit(factor), "b": f4("p4", "p5", "p6", "p7")})
+    both = lambda x: (x.f4(0, 1, 2, 3) * factor, x.f4(4, 5, 6, 7))
     if overlap:
-        return _finish(_sums(rows, F.col("a") - F.col("b"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.lit(1.0))), queries, "diff")
-    sums = rows.where("a is not null or b is not null").groupBy("qid", "block").agg(
-        F.coalesce(F.sum("a"), F.lit(0.0)).alias("ta"), F.count("a").alias("na"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("tb"),
-        F.count("b").alias("nb"), F.count("*").alias("either"),
-    )
+
+        def terms(x: Batch):
+            a, b = both(x)
+            return a - b, _one(a + b)
+
+        return _finish(tuple_sums(markers, queries, ["top", "bot"], terms), queries, "diff")
+
+    def either(x: Batch):
+        a, b = both(x)
+        none = np.where(np.isnan(a) & np.isnan(b), np.nan, 0.0)
+        known = lambda v, held: np.where(np.isnan(v), 0.0, held) + none
+        return known(a, a), known(a, 1.0), known(b, b), known(b, 1.0)
+
+    sums = tuple_sums(markers, queries, ["ta", "na", "tb", "nb"], either).withColumnRenamed("n", "either")
     sums = sums.withColumn("n", F.col("na") + F.col("nb"))
     own = jackknife.Window.partitionBy("qid")
     sums = sums.withColumns({f"s{c}": F.sum(c).over(own) for c in ("ta", "na", "tb", "nb")})
@@ -158,23 +287,24 @@ def f4_difference(markers: DataFrame, queries: Sequence[Sequence], factor: float
     return jack.join(total, "qid").select("qid", F.col("est").alias("diff"), "se", jackknife.z_score(F.col("jack"), F.col("se")).alias("z"), "nsnp", "blocks")
 
 
-def pattern_probability(pattern: str, width: int) -> Column:
+def pattern_probability(x: Batch, pattern: str) -> np.ndarray:
     """Probability of an A/B pattern and of its complement over the places' frequencies."""
-    one, other = F.lit(1.0), F.lit(1.0)
-    for k in range(width):
-        p = F.col(f"p{k}")
-        one, other = (one * p, other * (1 - p)) if pattern[k] == "A" else (one * (1 - p), other * p)
+    one = other = 1.0
+    for k, letter in enumerate(pattern):
+        p = x("p", k)
+        one, other = (one * p, other * (1 - p)) if letter == "A" else (one * (1 - p), other * p)
     return one + other
 
 
 def partitioned_d(markers: DataFrame, queries: Sequence[Sequence], first: str, second: str, fmode: bool = False, scale: float = 1e6) -> DataFrame:
     """qid, score, se, z, nsnp: (P1 - P2) / (P1 + P2) of two patterns over all the places, or with ``fmode``
     their scaled difference per marker."""
-    width = len(first)
-    rows = spread(markers, queries, width).withColumns({"u": pattern_probability(first, width), "v": pattern_probability(second, width)})
-    top = (F.col("u") - F.col("v")) * (scale if fmode else 1.0)
-    bot = F.when(F.col("u").isNotNull(), F.lit(1.0)) if fmode else F.col("u") + F.col("v")
-    return _finish(_sums(rows, top, bot), queries, "score")
+
+    def terms(x: Batch):
+        u, v = pattern_probability(x, first), pattern_probability(x, second)
+        return (u - v) * (scale if fmode else 1.0), _one(u + v) if fmode else u + v
+
+    return _finish(tuple_sums(markers, queries, ["top", "bot"], terms), queries, "score")
 
 
 def bounds(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
@@ -183,16 +313,15 @@ def bounds(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
     All statistics are over twice C's half heterozygosity. s1 and s2 are f3(outgroup; A, C) and
     f3(outgroup; B, C), taken against f2-like totals of A and B with the outgroup.
     """
-    rows = spread(markers, queries, 4)
-    o = lambda x, y: (F.col(x) - F.col("p3")) * (F.col(y) - F.col("p3"))
-    rows = rows.withColumns({
-        "f3": (F.col("p2") - F.col("p0")) * (F.col("p2") - F.col("p1")) + F.col("c2"),
-        "s1": o("p0", "p2") + F.col("c3"), "s2": o("p1", "p2") + F.col("c3"),
-        "a": o("p0", "p0") + F.col("c0") + F.col("c3"), "b": o("p1", "p1") + F.col("c1") + F.col("c3"), "bot": 2 * F.col("h2"),
-    })
+
+    def terms(x: Batch):
+        o = lambda i, j: (x("p", i) - x("p", 3)) * (x("p", j) - x("p", 3))
+        c = [x("c", k) for k in range(4)]
+        f3 = (x("p", 2) - x("p", 0)) * (x("p", 2) - x("p", 1)) + c[2]
+        return f3, o(0, 2) + c[3], o(1, 2) + c[3], o(0, 0) + c[0] + c[3], o(1, 1) + c[1] + c[3], 2 * x("h", 2)
+
     names = ("f3", "s1", "s2", "a", "b")
-    whole = " and ".join(f"{c} is not null" for c in (*names, "bot"))
-    sums = rows.where(whole).groupBy("qid").agg(*[(F.sum(c) / F.sum("bot")).alias(c) for c in names])
+    sums = tuple_sums(markers, queries, [*names, "bot"], terms, "phc").groupBy("qid").agg(*[(F.sum(c) / F.sum("bot")).alias(c) for c in names])
     y = -F.col("f3") - F.col("s1")
     cross = F.try_divide(y, F.col("s2") - F.col("s1"))
     lower = F.greatest(F.col("s1") / F.col("a"), F.when(F.col("s2") > F.col("s1"), cross))
@@ -203,10 +332,12 @@ def bounds(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
 def pair_matrix(markers: DataFrame, pops: Sequence) -> DataFrame:
     """a, b, f2, fst, f2_se, nsnp for every two populations: N = (pa-pb)^2 + ca + cb, D = N + ha + hb, ratio of sums."""
     queries = [(a, b) for i, a in enumerate(pops) for b in pops[i + 1 :]]
-    rows = spread(markers, queries, 2)
-    num = (F.col("p0") - F.col("p1")) * (F.col("p0") - F.col("p1")) + F.col("c0") + F.col("c1")
-    rows = rows.withColumns({"q0": F.col("q")[0], "q1": F.col("q")[1], "num": num, "den": num + F.col("h0") + F.col("h1")}).where("num is not null")
-    sums = rows.groupBy("qid", "q0", "q1", "block").agg(F.sum("num").alias("top"), F.sum("den").alias("den"), F.count("*").alias("n"))
+
+    def terms(x: Batch):
+        num = (x("p", 0) - x("p", 1)) ** 2 + x("c", 0) + x("c", 1)
+        return num, np.nan_to_num(num + x("h", 0) + x("h", 1))
+
+    sums = tuple_sums(markers, queries, ["top", "den"], terms, "phc").join(populations_of(markers.sparkSession, queries), "qid")
     keys = ["qid", "q0", "q1"]
     f2 = jackknife.ratio(sums.withColumn("bot", F.col("n").cast("double")), keys).select("qid", F.col("est").alias("f2"), F.col("se").alias("f2_se"))
     fst = jackknife.ratio(sums.withColumn("bot", F.col("den")), keys).select(*keys, F.col("est").alias("fst"), F.col("se").alias("fst_se"))
@@ -217,39 +348,45 @@ def pair_matrix(markers: DataFrame, pops: Sequence) -> DataFrame:
 def heterozygosity_matrix(markers: DataFrame, pops: Sequence) -> DataFrame:
     """a, b, het: within a population 2ab over n(n-1), between two the mismatch of one allele each."""
     queries = [(a, b) for i, a in enumerate(pops) for b in pops[i:]]
-    rows = spread(markers, queries, 2).withColumns({"q0": F.col("q")[0], "q1": F.col("q")[1]})
-    within = F.col("q0") == F.col("q1")
-    n0, n1 = F.col("n0"), F.col("n1")
-    r0, r1 = F.round(F.col("p0") * n0), F.round(F.col("p1") * n1)
-    top = F.when(within, 2 * (n0 - r0) * r0).otherwise((n0 - r0) * r1 + r0 * (n1 - r1))
-    bot = F.when(within, n0 * (n0 - 1)).otherwise(n0 * n1)
-    return rows.where("p0 is not null and p1 is not null").groupBy("q0", "q1").agg((F.sum(top) / F.sum(bot)).alias("het")).select(F.col("q0").alias("a"), F.col("q1").alias("b"), "het")
+
+    def terms(x: Batch):
+        within, n0, n1 = x.same(0, 1), x("n", 0), x("n", 1)
+        r0, r1 = np.floor(x("p", 0) * n0 + 0.5), np.floor(x("p", 1) * n1 + 0.5)
+        return np.where(within, 2 * (n0 - r0) * r0, (n0 - r0) * r1 + r0 * (n1 - r1)), np.where(within, n0 * (n0 - 1), n0 * n1)
+
+    sums = tuple_sums(markers, queries, ["top", "bot"], terms, "pn").groupBy("qid").agg((F.sum("top") / F.sum("bot")).alias("het"))
+    return sums.join(populations_of(markers.sparkSession, queries), "qid").select(F.col("q0").alias("a"), F.col("q1").alias("b"), "het")
 
 
 def f4_vector_blocks(markers: DataFrame, left: Sequence, right: Sequence) -> DataFrame:
     """qid, block, top, n of f4(L0, Li; R0, Rj) for all i, j: what rank tests and admixture weights start from."""
     queries = [(left[0], a, right[0], b) for a in left[1:] for b in right[1:]]
-    rows = spread(markers, queries, 4)
-    return _sums(rows, f4("p0", "p1", "p2", "p3"), F.when(F.col("p0").isNotNull(), F.lit(1.0)))
+    return tuple_sums(markers, queries, ["top", "bot"], lambda x: (x.f4(0, 1, 2, 3), _one(x.f4(0, 1, 2, 3))))
 
 
 def basis_blocks(markers: DataFrame, pops: Sequence) -> DataFrame:
     """qid, block, top, bot, n of f3(base; a, b) for all pairs a <= b of the populations after the base."""
     queries = [(a, b, pops[0]) for i, a in enumerate(pops[1:]) for b in pops[1 + i :]]
-    rows = spread(markers, queries, 3)
-    same = F.when(F.col("q")[0] == F.col("q")[1], F.col("c0")).otherwise(F.lit(0.0))
-    top = (F.col("p0") - F.col("p2")) * (F.col("p1") - F.col("p2")) + F.col("c2") + same
-    return _sums(rows, top, F.when(top.isNotNull(), F.lit(1.0)))
+
+    def terms(x: Batch):
+        top = (x("p", 0) - x("p", 2)) * (x("p", 1) - x("p", 2)) + x("c", 2) + np.where(x.same(0, 1), x("c", 0), 0.0)
+        return top, _one(top)
+
+    return tuple_sums(markers, queries, ["top", "bot"], terms, "pc")
+
+
+def _general(x: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """f(a, b; c, d) with the correction of populations that stand squared."""
+    top = x.f4(0, 1, 2, 3)
+    for i, j, sign in ((0, 2, 1), (1, 3, 1), (0, 3, -1), (1, 2, -1)):
+        top = top + np.where(x.same(i, j), sign * x("c", i), 0.0)
+    return top, _one(top)
 
 
 def general_blocks(markers: DataFrame, quads: Sequence[Sequence]) -> DataFrame:
     """qid, block, top, bot, n of f(a, b; c, d) for any quadruples, populations that stand squared corrected:
     + c where a = c or b = d, - c where a = d or b = c."""
-    rows = spread(markers, quads, 4)
-    top = f4("p0", "p1", "p2", "p3")
-    for i, j, sign in ((0, 2, 1), (1, 3, 1), (0, 3, -1), (1, 2, -1)):
-        top = top + F.when(F.col("q")[i] == F.col("q")[j], sign * F.col(f"c{i}")).otherwise(0.0)
-    return _sums(rows, top, F.when(top.isNotNull(), F.lit(1.0)))
+    return tuple_sums(markers, quads, ["top", "bot"], _general, "pc")
 
 
 def inbreeding(classes: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -272,9 +409,13 @@ def fst_scale(matrix: DataFrame) -> DataFrame:
 def frequency_correlation(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
     """qid, rho, se, blocks: Pearson correlation of two populations' frequencies over markers with both, with a
     block jackknife from six sums."""
-    rows = spread(markers, queries, 2).where("p0 is not null and p1 is not null")
-    terms = {"s11": F.col("p0") * F.col("p0"), "s22": F.col("p1") * F.col("p1"), "s12": F.col("p0") * F.col("p1"), "s1": F.col("p0"), "s2": F.col("p1"), "n": F.lit(1)}
-    sums = rows.groupBy("qid", "block").agg(*[F.sum(v).alias(c) for c, v in terms.items()])
+    terms = ("s11", "s22", "s12", "s1", "s2", "n")
+
+    def products(x: Batch):
+        a, b = x("p", 0) + 0 * x("p", 1), x("p", 1) + 0 * x("p", 0)
+        return a * a, b * b, a * b, a, b
+
+    sums = tuple_sums(markers, queries, terms[:5], products)
     own = jackknife.Window.partitionBy("qid")
     sums = sums.withColumns({f"all_{c}": F.sum(c).over(own) for c in terms})
 
@@ -303,11 +444,31 @@ def subset(queries: Sequence[Sequence], low: int, high: int) -> list[tuple[int,
 
 def complete_blocks(markers: DataFrame, quads: Sequence[Sequence]) -> DataFrame:
     """qid, block, top, bot, n as ``general_blocks``, over markers where all the statistics are known."""
-    rows = spread(markers, quads, 4)
-    top = f4("p0", "p1", "p2", "p3")
-    for i, j, sign in ((0, 2, 1), (1, 3, 1), (0, 3, -1), (1, 2, -1)):
-        top = top + F.when(F.col("q")[i] == F.col("q")[j], sign * F.col(f"c{i}")).otherwise(0.0)
-    rows = rows.select("snp", "block", "qid", top.alias("top")).where("top is not null")
-    whole = rows.groupBy("snp").agg(F.count("*").alias("k")).where(F.col("k") == len(quads)).select("snp")
-    kept = rows.join(whole, "snp", "left_semi")
-    return kept.groupBy("qid", "block").agg(F.sum("top").alias("top"), F.count("*").cast("double").alias("bot"), F.count("*").alias("n"))
+    return tuple_sums(markers, quads, ["top", "bot"], _general, "pc", complete=True)
+
+
+#: The edges on the path between each two of four populations, in the order of their six pairs. Edges lead
+#: to the populations and, third, join the first two to the last two.
+TREE_PATHS = ((1, 1, 0, 0, 0), (1, 0, 1, 1, 0), (1, 0, 1, 0, 1), (0, 1, 1, 1, 0), (0, 1, 1, 0, 1), (0, 0, 0, 1, 1))
+
+
+def tree_lengths(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
+    """qid, edge (0 to 4), length, se, z, blocks: the five edges of the tree ((a, b), (c, d)) by least squares from the
+    six unbiased squared frequency differences, over the expected mismatch of both pairs; weighted block jackknife.
+
+    The edges are a constant projection of the six block sums, so each is a ratio of sums like any other statistic.
+    """
+    project = np.linalg.pinv(np.array(TREE_PATHS, dtype=np.float64))
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+    def terms(x: Batch):
+        w = [x("p", k) for k in range(4)]
+        f2 = np.stack([(w[i] - w[j]) ** 2 - x("h", i) / x("n", i) - x("h", j) / x("n", j) for i, j in pairs])
+        mismatch = lambda i, j: w[i] * (1 - w[j]) + w[j] * (1 - w[i])
+        return *np.tensordot(project, f2, axes=1), mismatch(0, 1) * mismatch(2, 3)
+
+    edges = [f"e{k}" for k in range(5)]
+    sums = tuple_sums(markers, queries, [*edges, "bot"], terms, "phn")
+    rows = sums.select("qid", "block", "n", "bot", F.posexplode(F.array(*edges)).alias("edge", "top"))
+    jack = jackknife.ratio(rows, ["qid", "edge"])
+    return jack.select("qid", "edge", F.col("jack").alias("length"), "se", jackknife.z_score(F.col("jack"), F.col("se")).alias("z"), "blocks")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,65 @@ def vector(without: np.ndarray, full: np.ndarray, weights: np.ndarray) -> tuple[
     return mean, d.T @ d / len(w)
 
 
+@dataclass
+class Covariance:
+    """Jackknife mean and covariance of several statistics over common blocks; ``full`` are the estimates themselves."""
+
+    mean: np.ndarray
+    cov: np.ndarray
+    full: np.ndarray
+    blocks: int
+    effective: float
+
+
+def covariance(sums: DataFrame, k: int, top: str = "top", weight: str = "n") -> Covariance:
+    """Of the ratios sum(top) / sum(weight) of statistics 0 to k - 1 from rows (qid, block, top, weight), as ``vector``
+    gives it; a block's weight is the mean of the statistics', and what a block lacks counts as zero.
+
+    Blocks are brought together by block, tasks add up outer products of their blocks' pseudo-values, and k by k numbers
+    leave the cluster. Pseudo-values are taken about the full estimate, so the products lose no digits.
+    """
+    spark = sums.sparkSession
+    total_top, total = np.zeros(k), np.zeros(k)
+    for r in sums.groupBy("qid").agg(F.sum(top).alias("t"), F.sum(weight).alias("w")).collect():  # a row for each statistic
+        total_top[r.qid], total[r.qid] = r.t, r.w
+    with np.errstate(invalid="ignore", divide="ignore"):
+        full = total_top / total
+    sent, whole = spark.sparkContext.broadcast((total_top, total, full)), total.mean()
+    blocks = sums.groupBy("block").agg(F.collect_list(F.struct("qid", F.col(top).cast("double").alias("t"), F.col(weight).cast("double").alias("w"))).alias("x"))
+
+    def run(batches):
+        t_all, w_all, est = sent.value
+        outer, cross, shift, scale = np.zeros((k, k)), np.zeros(k), np.zeros(k), np.zeros(3)
+        for b in batches:
+            x = b.column("x")
+            flat, row = x.flatten(), np.repeat(np.arange(len(b)), np.diff(x.offsets.to_numpy()))
+            t, w = np.zeros((len(b), k)), np.zeros((len(b), k))
+            t[row, flat.field("qid").to_numpy()], w[row, flat.field("qid").to_numpy()] = flat.field("t").to_numpy(), flat.field("w").to_numpy()
+            own = w.mean(axis=1)
+            keep = own > 1e-6
+            t, w, own = t[keep], w[keep], own[keep]
+            less = (t_all - t) / (w_all - w) - est
+            h = whole / own
+            tau = -(h - 1)[:, None] * less / np.sqrt(h - 1)[:, None]
+            outer += tau.T @ tau
+            cross += (tau / np.sqrt(h - 1)[:, None]).sum(axis=0)
+            shift += (own[:, None] * less).sum(axis=0) / whole - less.sum(axis=0)
+            scale += (len(own), (1 / (h - 1)).sum(), (own * own).sum())
+        i, j = np.divmod(np.arange(k * k), k)
+        rows = [(i, j, outer.ravel()), (np.arange(k), np.full(k, -1), cross), (np.arange(k), np.full(k, -2), shift), (np.full(3, -1), np.arange(3), scale)]
+        a, b, v = (np.concatenate(c) for c in zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(v)], ["i", "j", "v"])
+
+    found = blocks.mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    value = {(r.i, r.j): r.v for r in found}
+    at = lambda j: np.array([value[i, j] for i in range(k)])
+    outer, cross, shift = np.array([[value[i, j] for j in range(k)] for i in range(k)]), at(-1), at(-2)
+    g, scale, squares = (value.get((-1, c), 0.0) for c in range(3))
+    cov = (outer - np.outer(cross, shift) - np.outer(shift, cross) + scale * np.outer(shift, shift)) / max(g, 1)
+    return Covariance(full + shift, cov, full, int(g), whole * whole / squares if squares else 0.0)
+
+
 def effective_blocks(weights: np.ndarray) -> float:
     share = weights / weights.sum()
     return float(1 / (share * share).sum())

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from allelica.operators import tiles
 from allelica.operators.counts import allele_counts
 
 
@@ -43,36 +46,44 @@ def treemix_table(genotype: DataFrame, sample: DataFrame) -> DataFrame:
 def similar_samples(genotype: DataFrame, shared: int = 200, agree: float = 0.9, tile: int = 512, chunk: int = 16_384) -> DataFrame:
     """a, b, shared, same: all pairs of samples that agree at ``agree`` of at least ``shared`` common markers.
 
-    Samples are dealt to tiles and markers to chunks by hash. A task holds the calls of two tiles in one chunk,
-    at most about 2 ``tile`` times ``chunk`` bytes, and counts all its pairs by matrix products; counts of the
-    chunks are added up. Every pair is compared, so missing calls lose none.
+    Samples are packed to bit planes of ``chunk`` markers, dealt to tiles by hash, and every two tiles meet in a task
+    for each chunk, which counts all their pairs by matrix products: three bits a call are copied, and a task holds two
+    tiles of one chunk. Counts of the chunks are added up. Every pair is compared, so missing calls lose none.
     """
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     sizes = genotype.agg(F.approx_count_distinct("sample").alias("s"), F.approx_count_distinct("snp").alias("m")).first()
-    tiles, chunks = max(1, -(-2 * sizes.s // tile)), max(1, -(-2 * sizes.m // chunk))
-    rows = genotype.select("snp", "sample", F.col("g").cast("tinyint").alias("g"), spread("sample", tiles).alias("t"), spread("snp", chunks).alias("chunk"))
-    other = F.sequence(F.lit(0), F.lit(tiles - 1))
+    count, chunks = max(1, -(-2 * sizes.s // tile)), max(1, -(-2 * sizes.m // chunk))
+    groups = genotype.select(F.col("snp").alias("sample")).distinct().withColumn("grp", spread("sample", chunks))
+    turned = genotype.select(F.col("sample").alias("snp"), F.col("snp").alias("sample"), "g")
+    packed, ranges = tiles.planes(turned, groups)
+    if not ranges:
+        return genotype.select(F.col("sample").alias("a"), F.col("sample").alias("b"), F.lit(0).cast("bigint").alias("shared"), F.lit(0).cast("bigint").alias("same")).limit(0)
+    at = F.array(*[F.struct(F.lit(k).alias("chunk"), F.lit(a + 1).alias("start"), F.lit(b - a).alias("width")) for k, (a, b) in enumerate(ranges)])
+    rows = packed.withColumn("t", spread("snp", count)).select("*", F.explode(at).alias("r"))
+    rows = rows.select(F.col("snp").alias("name"), "t", F.col("r.chunk").alias("chunk"), *[F.substring(c, F.col("r.start"), F.col("r.width")).alias(c) for c in tiles.PLANES])
     # Each tile meets every other once: the pair is named by the lesser tile first.
-    rows = rows.select("*", F.explode(other).alias("o")).select("snp", "sample", "g", "t", "chunk", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"))
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, s = np.unique(pdf["sample"].to_numpy(), return_inverse=True)
-        markers, m = np.unique(pdf["snp"].to_numpy(), return_inverse=True)
-        first = np.zeros(len(names), dtype=bool)
-        first[s[(pdf["t"] == pdf["t1"]).to_numpy()]] = True
-        both = bool((pdf["t1"] == pdf["t2"]).iloc[0])
-        g, held, same = pdf["g"].to_numpy(), 0, 0
-        for k in (0, 1, 2):
-            plane = np.zeros((len(names), len(markers)), dtype=np.float32)
-            plane[s[g == k], m[g == k]] = 1
-            held = held + plane
-            same = same + plane @ plane.T
-        i, j = np.nonzero(np.triu(np.ones((len(names),) * 2, dtype=bool), 1) & (both | (first[:, None] != first[None, :])))
-        out = pd.DataFrame({"a": names[i], "b": names[j], "shared": (held @ held.T)[i, j].astype(np.int64), "same": same[i, j].astype(np.int64)})
-        return out[out["shared"] > 0]
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("o")).withColumns({"t1": F.least("t", "o"), "t2": F.greatest("t", "o")}).drop("o")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        width = len(table["c"][0].as_py())
+        first = table["t"].to_numpy() == table["t1"].to_numpy()
+        both = table["t1"][0].as_py() == table["t2"][0].as_py()
+        planes = tiles.three(*[tiles.bits(table[c].combine_chunks(), width) for c in tiles.PLANES])
+        held, same = 0, 0
+        for x in planes:
+            x = np.unpackbits(x, axis=1).astype(np.float32)
+            held, same = held + x, same + x @ x.T
+        i, j = np.nonzero(np.triu(np.ones((len(first),) * 2, dtype=bool), 1) & (both | (first[:, None] != first[None, :])))
+        common = (held @ held.T)[i, j].astype(np.int64)
+        i, j, common = i[common > 0], j[common > 0], common[common > 0]
+        names = table["name"].combine_chunks()
+        a, b = names.take(pa.array(i)), names.take(pa.array(j))
+        swap = pc.greater(a, b)
+        return pa.table([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(common), pa.array(same[i, j].astype(np.int64))], ["a", "b", "shared", "same"])
 
     kind = dict(genotype.dtypes)["sample"]
-    found = rows.groupBy("chunk", "t1", "t2").applyInPandas(count, f"a {kind}, b {kind}, shared bigint, same bigint")
+    found = rows.groupBy("chunk", "t1", "t2").applyInArrow(pairs, f"a {kind}, b {kind}, shared bigint, same bigint")
     found = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("same").alias("same"))
     return found.where((F.col("shared") >= shared) & (F.col("same") >= agree * F.col("shared")))
 

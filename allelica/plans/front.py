@@ -89,19 +89,22 @@ def tuples(spark: SparkSession, path: str, width: int) -> list[tuple[str, ...]]:
     return found
 
 
-def _named(spark: SparkSession, out: DataFrame, queries: list[tuple[str, ...]]) -> DataFrame:
+def _named(spark: SparkSession, out: DataFrame, queries) -> DataFrame:
     """The results with the populations of their lines in front, in the order of the lines."""
-    width = len(queries[0])
-    names = spark.createDataFrame([(k, *q) for k, q in enumerate(queries)], ["qid", *[f"pop{i + 1}" for i in range(width)]])
-    return names.withColumn("qid", F.col("qid").cast("int")).join(F.broadcast(out), "qid").orderBy("qid").drop("qid")
+    names = fstats.populations_of(spark, queries)
+    width = len(names.columns) - 1
+    return out.join(names.withColumnsRenamed({f"q{i}": f"pop{i + 1}" for i in range(width)}), "qid").orderBy("qid").select(*[f"pop{i + 1}" for i in range(width)], *[c for c in out.columns if c != "qid"])
 
 
 def d_statistic(spark: SparkSession, p: dict[str, str]) -> DataFrame:
-    """Quadruples of ``popfilename``, or all three pairings of every four of ``poplistname``."""
+    """Quadruples of ``popfilename``, or all three pairings of every four of ``poplistname``, which are never listed
+    unless ``locount`` or ``hicount`` choose some of them."""
     queries = tuples(spark, p["popfilename"], 4) if "popfilename" in p else fstats.three_pairings(formats.read_list(spark, p["poplistname"]))
-    low, high = int(par.number(p, "locount", 1)), int(par.number(p, "hicount", len(queries)))
-    queries = [q for _, q in fstats.subset(queries, low, high)]
-    rows = fstats.dstat(frequencies(spark, p, sorted({x for q in queries for x in q})), queries, par.flag(p, "f4mode"))
+    if "locount" in p or "hicount" in p:
+        low, high = int(par.number(p, "locount", 1)), int(par.number(p, "hicount", len(queries)))
+        queries = queries[max(0, low - 1) : high]
+    pops = queries.pops if isinstance(queries, fstats.ThreePairings) else sorted({x for q in queries for x in q})
+    rows = fstats.dstat(frequencies(spark, p, pops), queries, par.flag(p, "f4mode"))
     _enough(rows, par.flag(p, "fewblocksok"))
     return _named(spark, rows, queries)
 

@@ -20,8 +20,9 @@ LEFT, RIGHT = [0, 1], [2, 3, 4]
 @query(None)
 def rank_test(spark, sf_dir):
     """rank, dof, chisq, tail of f4(L0, Li; R0, Rj) for every rank."""
-    x, cov, _, weights = numeric.f4_matrix(fstats.f4_vector_blocks(markers(spark, sf_dir), LEFT, RIGHT), len(LEFT) - 1, len(RIGHT) - 1)
-    cov = numeric.shrink(cov, jackknife.effective_blocks(weights))
+    m, n = len(LEFT) - 1, len(RIGHT) - 1
+    found = jackknife.covariance(fstats.f4_vector_blocks(markers(spark, sf_dir), LEFT, RIGHT), m * n)
+    x, cov = found.mean.reshape(m, n), numeric.shrink(found.cov, found.effective)
     tests = [numeric.rank_test(x, cov, r) for r in range(min(x.shape) + 1)]
     return spark.createDataFrame([(t.rank, t.dof, round(t.chi_square, 4), round(t.tail, 4)) for t in tests], "rank int, dof int, chisq double, tail double")
 
