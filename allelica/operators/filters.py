@@ -156,32 +156,54 @@ def legal_tuple(types: Column, bankers: int) -> Column:
     return (count(1) > 0) & ((count(2) >= 2) | (count(2) == bankers))
 
 
+def _walked(batches):
+    """snp of the markers that go, from pairs in the order of chromosome, first and second marker. From batch to batch
+    stay the pairs of one first marker and the removed markers that later pairs may name."""
+    import pandas as pd
+
+    on = first = None
+    rows, gone, limit = [], set(), 1024
+
+    def removed() -> list:
+        live = [r for r in rows if r[:2] not in gone]
+        if first is None or first[:2] in gone or not live:
+            return []
+        out = [first] if max(r[2] for r in live) > first[2] else live
+        gone.update(r[:2] for r in out)
+        return [r[1] for r in out]
+
+    columns = ["chrom", "ord1", "snp1", "score1", "ord2", "snp2", "score2"]
+    for pdf in batches:
+        out = []
+        for chrom, o1, s1, c1, o2, s2, c2 in zip(*(pdf[c].tolist() for c in columns), strict=True):
+            if chrom != on or (o1, s1) != first[:2]:
+                out += removed()
+                if chrom != on:
+                    gone.clear()
+                elif len(gone) > limit:
+                    gone.difference_update([k for k in gone if k[0] < o1])
+                    limit = 2 * len(gone) + 1024
+                on, first, rows = chrom, (o1, s1, c1), []
+            rows.append((o2, s2, c2))
+        yield pd.DataFrame({"snp": out}, dtype="int64")
+    yield pd.DataFrame({"snp": removed()}, dtype="int64")
+
+
 def linked_prune(scores: DataFrame, linked: DataFrame) -> DataFrame:
     """snp of the markers that stay after pruning. ``scores`` has (snp, chrom, ord, score), ``linked`` the pairs
-    (snp1, snp2, chrom) within the window whose correlation is too high.
+    (snp1, snp2, chrom) within the window whose correlation is too high, in either order. Markers of one ord
+    are ordered by snp.
 
     Along a chromosome each marker that is still there looks at the later ones it is linked to: if one of
-    them has a greater score it goes itself, else they go. Pairs come from a distributed band join; the walk
-    holds one chromosome's linked pairs, and markers without pairs never reach it.
+    them has a greater score it goes itself, else they go. Pairs come from a distributed band join and are sorted by
+    Spark, which spills; the walk reads a chromosome's pairs as a stream and holds the removed markers that a window's
+    pairs can still name, however long the chromosome. Markers without pairs never reach it.
     """
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["ord1", "ord2"])
-        gone: set = set()
-        for first, group in own.groupby("ord1", sort=True):
-            if first in gone:
-                continue
-            rows = [r for r in zip(group["ord2"], group["score1"], group["score2"], strict=True) if r[0] not in gone]
-            if rows and max(r[2] for r in rows) > rows[0][1]:
-                gone.add(first)
-            else:
-                gone.update(r[0] for r in rows)
-        names = dict(zip(own["ord1"], own["snp1"], strict=True)) | dict(zip(own["ord2"], own["snp2"], strict=True))
-        return pd.DataFrame({"snp": [names[k] for k in gone]}, dtype="int64")
-
     one = scores.select(F.col("snp").alias("snp1"), F.col("ord").alias("ord1"), F.col("score").alias("score1"))
     two = scores.select(F.col("snp").alias("snp2"), F.col("ord").alias("ord2"), F.col("score").alias("score2"))
-    pairs = linked.select("snp1", "snp2", "chrom").join(one, "snp1").join(two, "snp2").where("ord1 < ord2")
-    gone = pairs.groupBy("chrom").applyInPandas(walk, "snp bigint")
+    both = linked.select("snp1", "snp2", "chrom").join(one, "snp1").join(two, "snp2").where("snp1 <> snp2")
+    a, b = (F.struct(*(F.col(f"{c}{k}").alias(c) for c in ("ord", "snp", "score"))) for k in (1, 2))
+    ends = both.select("chrom", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    pairs = ends.select("chrom", *(F.col(f"{e}.{c}").alias(f"{c}{k}") for k, e in ((1, "a"), (2, "b")) for c in ("ord", "snp", "score")))
+    gone = pairs.repartition("chrom").sortWithinPartitions("chrom", "ord1", "snp1", "ord2", "snp2").mapInPandas(_walked, "snp bigint")
     return scores.select("snp").join(gone, "snp", "left_anti")

@@ -149,9 +149,18 @@ def decay_without_each(spark, sf_dir):
     return rounded(linkage.decay_without_each(tables, weights, 100_000), "regression")
 
 
-@query(None)
+@query(o.ADAPTER + o.pairs(500_000) + """, linked AS (SELECT * FROM tables WHERE (n * xx - x * x) * (n * yy - y * y) > 0 AND POW(n * xy - x * y, 2) / CAST((n * xx - x * x) * (n * yy - y * y) AS DOUBLE) >= 0.2),
+scores AS (SELECT snp, m.chrom, genpos, COUNT(*) AS score FROM genotype JOIN marker m USING (snp) GROUP BY 1, 2, 3),
+firsts AS (SELECT a.chrom, ROW_NUMBER() OVER (PARTITION BY a.chrom ORDER BY a.genpos) AS k, a.snp, a.score, LIST({snp: b.snp, score: b.score}) AS rest
+  FROM linked JOIN scores a ON a.snp = snp1 JOIN scores b ON b.snp = snp2 GROUP BY a.chrom, a.genpos, a.snp, a.score),
+walk AS (SELECT DISTINCT chrom, 0::BIGINT AS k, []::BIGINT[] AS gone FROM firsts
+  UNION ALL SELECT f.chrom, f.k, CASE WHEN LIST_CONTAINS(gone, f.snp) OR LEN(LIST_FILTER(rest, lambda r: NOT LIST_CONTAINS(gone, r.snp))) = 0 THEN gone
+    WHEN LIST_MAX(LIST_TRANSFORM(LIST_FILTER(rest, lambda r: NOT LIST_CONTAINS(gone, r.snp)), lambda r: r.score)) > f.score THEN LIST_APPEND(gone, f.snp)
+    ELSE LIST_CONCAT(gone, LIST_TRANSFORM(LIST_FILTER(rest, lambda r: NOT LIST_CONTAINS(gone, r.snp)), lambda r: r.snp)) END
+  FROM walk w JOIN firsts f ON f.chrom = w.chrom AND f.k = w.k + 1),
+removed AS (SELECT DISTINCT UNNEST(gone) AS snp FROM (SELECT chrom, ARG_MAX(gone, k) AS gone FROM walk GROUP BY 1))
+SELECT snp FROM scores WHERE snp NOT IN (SELECT snp FROM removed)""")
 def linked_markers_pruned(spark, sf_dir):
-    """Tested against a plain walk: the greedy choice depends on the order along a chromosome."""
     d = adapter.load(spark, sf_dir)
     linked = linkage.r_squared(linkage.pair_tables(d.genotype, d.marker, 500_000)).where("r2 >= 0.2")
     scores = d.genotype.groupBy("snp").agg(F.count("*").alias("score"))

@@ -27,6 +27,24 @@ def test_blocks_number_on_over_chromosomes(spark):
     assert {r.snp: r.block for r in blocks.assign_blocks(m, 10).collect()} == {1: 1, 2: 2, 3: 3}
 
 
+def test_blocks_of_joined_maps_are_those_of_the_plain_walk(spark):
+    """Chromosomes of one place, with gaps, dense, and with places below zero; markers without a place go."""
+    rng = np.random.default_rng(8)
+    places = {1: [5], 2: rng.integers(-400, 9000, 700), 3: np.concatenate([rng.integers(0, 60, 40), rng.integers(8000, 8100, 60)]), 4: np.arange(0, 500, 10)}
+    rows = [(c, int(p)) for c, ps in places.items() for p in ps]
+    want, before = {}, 1
+    for c, ps in places.items():
+        at = np.unique(ps)
+        number = blocks.greedy_starts(at, 10)
+        want |= {(c, int(p)): before + int(k) for p, k in zip(at, number, strict=True)}
+        before += int(number[-1]) + 1
+    m = spark.createDataFrame([*rows, (2, None)], "chrom bigint, genpos bigint").coalesce(2)
+    for span in (2, 16):
+        got = blocks.assign_blocks(m, 10, span).collect()
+        assert sorted((r.chrom, r.genpos, r.block) for r in got) == sorted((c, p, want[c, p]) for c, p in rows)
+    assert blocks.assign_blocks(m.where("chrom > 9"), 10).count() == 0
+
+
 def test_jackknife_with_equal_weights_is_the_textbook_one(spark):
     x = [1.0, 2.0, 4.0, 7.0]
     df = spark.createDataFrame([(0, k, v, 1.0, 1) for k, v in enumerate(x)], "qid int, block int, top double, bot double, n bigint")

@@ -60,6 +60,28 @@ def test_pruning_walks_along_the_chromosome(spark):
     scores = spark.createDataFrame([(k, 1, k, int(score[k])) for k in range(n)], "snp bigint, chrom bigint, ord bigint, score bigint")
     linked = spark.createDataFrame([(i, int(j), 1) for i, j in pairs], "snp1 bigint, snp2 bigint, chrom bigint")
     assert {r.snp for r in filters.linked_prune(scores, linked).collect()} == set(range(n)) - gone
+    assert {r.snp for r in filters.linked_prune(scores, linked.selectExpr("snp2 snp1", "snp1 snp2", "chrom")).collect()} == set(range(n)) - gone
+
+
+def test_pruning_of_chromosomes_and_of_one_place(spark):
+    """Chromosomes apart; markers of one place are ordered by snp."""
+    rng = np.random.default_rng(16)
+    rows, pairs, gone = [], [], set()
+    for c in (1, 2):
+        at = np.sort(rng.integers(0, 300, 200))
+        score = rng.integers(0, 9, 200)
+        ids = rng.permutation(200) + 1000 * c
+        own = sorted(zip(at.tolist(), ids.tolist(), score.tolist(), strict=True))
+        rows += [(s, c, o, v) for o, s, v in own]
+        linked = {(i, j) for i in range(199) for j in range(i + 1, 200) if own[j][0] - own[i][0] <= 4 and rng.random() < 0.3}
+        pairs += [(own[i][1], own[j][1], c) for i, j in linked]
+        for i in range(200):
+            bad = [j for j in range(200) if (i, j) in linked and own[j][1] not in gone]
+            if own[i][1] not in gone and bad:
+                gone |= {own[i][1]} if max(own[j][2] for j in bad) > own[i][2] else {own[j][1] for j in bad}
+    scores = spark.createDataFrame(rows, "snp bigint, chrom bigint, ord bigint, score bigint")
+    got = filters.linked_prune(scores, spark.createDataFrame(pairs, "snp1 bigint, snp2 bigint, chrom bigint"))
+    assert {r.snp for r in got.collect()} == {r[0] for r in rows} - gone
 
 
 def test_duplicate_probe_needs_equal_calls(spark):
