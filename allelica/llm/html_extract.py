@@ -11,7 +11,8 @@ siblings'. So a heading or a short line is carried by the prose around it. What
 fused in as a factor: article and main count for more; navigation, footers, asides, forms and boxes named as
 adverts, notices, menus or comments for nothing. Paths whose smoothed weight reaches a share of the page's
 best one are content, in every box alike; all their blocks are kept whole, in page order. Paths of several
-blocks in one box that are all link text are lists of links and go wherever they stand.
+blocks in one box that are all link text are lists of links and go, unless an article's running text leads
+up to them and goes on behind them. A page that names leave without any text is read again without them.
 """
 
 from __future__ import annotations
@@ -49,28 +50,29 @@ FILLERS = frozenset("site page main box block bar section list container wrapper
 BOOST, SHARE, NEAR, SIDE = 6.0, 0.3, 0.25, 0.0625
 #: Blocks from which on a path of nothing but links is a list of links.
 LIST = 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _ENDS = {"li": "li", "dt": "dd", "dd": "dt", "td": "td", "th": "th", "tr": "tr"}
 
 
-def _skipped(name: str, tag: str, in_article: bool) -> bool:
-    """Whether the markup says that a box is no part of an article."""
+def _skipped(name: str, tag: str, in_article: bool, names: bool) -> bool:
+    """Whether the markup says that a box is no part of an article; its class, id and role count with ``names``."""
     if name in SKIP or (name == "header" and not in_article):
         return True
     if len(tag) == len(name) + 2 or name in ("html", "body", "article", "main"):
         return False
-    if _HIDDEN.search(_MARKS.sub("", tag)):
+    held = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(tag, len(name) + 1)}
+    if "hidden" in held or held.get("aria-hidden") == "true" or _NONE.search(held.get("style", "")):
         return True
-    for value in _MARKS.findall(tag):
-        for mark in value.strip("\"'").lower().split():
-            words = {w for w in re.split(r"[^a-z]+", mark) if w}
-            if words & SKIP_NAMES and words <= SKIP_NAMES | FILLERS:
-                return True
+    for mark in " ".join(held.get(k, "") for k in ("class", "id", "role")).split() if names else ():
+        words = {w for w in re.split(r"[^a-z]+", mark) if w}
+        if words & SKIP_NAMES and words <= SKIP_NAMES | FILLERS:
+            return True
     return False
 
 
@@ -79,10 +81,11 @@ class Page:
 
     ``blocks``: (text, path number, container number, characters in links). ``paths``: the tag paths.
     ``parent``, ``article``: of each container, the one around it and whether it lies in article or main.
-    Blocks in skipped boxes are left out.
+    Blocks in skipped boxes are left out; with ``names`` also those in boxes named as no part of an article.
     """
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, names: bool = True):
+        self._names = names
         self.blocks: list[tuple[str, int, int, int]] = []
         self.paths: list[tuple[int, str]] = [(-1, "")]
         self.parent, self.article = [-1], [False]
@@ -123,7 +126,7 @@ class Page:
             if number == len(self.paths):
                 self.paths.append((path, name))
             path = number
-            skipped = skipped or _skipped(name, tag, article)
+            skipped = skipped or _skipped(name, tag, article, self._names)
             article = article or name in ("article", "main")
             if name not in LEAF:
                 self.parent.append(container)
@@ -131,7 +134,7 @@ class Page:
                 container = len(self.parent) - 1
             self._boxes.append(len(self._stack))
         else:
-            skipped = skipped or _skipped(name, tag, article)
+            skipped = skipped or _skipped(name, tag, article, self._names)
         self._open[name].append(len(self._stack))
         self._stack.append((name, path, container, article, skipped))
 
@@ -204,16 +207,35 @@ def smoothed(page: Page, fused: list[float]) -> list[float]:
     return out
 
 
+def within_text(page: Page, lists: set[tuple[int, int]]) -> set[int]:
+    """The places of blocks of lists of links within an article's running text: the box's block before the list is
+    text and no heading, and the box's text goes on behind it."""
+    kept: set[int] = set()
+    boxes: dict[int, tuple[str, list[int]]] = {}  # of each box: the tag of its last text, the list behind it
+    for at, (_, path, c, _) in enumerate(page.blocks):
+        before, run = boxes.setdefault(c, ("", []))
+        if (path, c) in lists:
+            run.append(at)
+            continue
+        if page.article[c] and before and before not in HEADINGS:
+            kept.update(run)
+        boxes[c] = page.paths[path][1], []
+    return kept
+
+
 def main_text(html: str | None) -> str:
     """The content blocks, one per line; '' if there are none."""
     page = Page(html or "")
+    if not page.blocks:
+        page = Page(html or "", names=False)
     if not page.blocks:
         return ""
     fused, lists = ratios(page)
     weights = smoothed(page, fused)
     held = {c for _, path, c, _ in page.blocks if (path, c) not in lists}
     least = SHARE * max((weights[c] / (BOOST if page.article[c] else 1.0) for c in held), default=0.0)
-    return "\n".join(text for text, path, c, _ in page.blocks if (path, c) not in lists and weights[c] >= least)
+    inside = within_text(page, lists)
+    return "\n".join(text for at, (text, path, c, _) in enumerate(page.blocks) if ((path, c) not in lists or at in inside) and weights[c] >= least)
 
 
 def extract(pages: DataFrame) -> DataFrame:
