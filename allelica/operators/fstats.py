@@ -114,6 +114,24 @@ class Batch:
     def f4(self, a: int, b: int, c: int, d: int) -> np.ndarray:
         return (self("p", a) - self("p", b)) * (self("p", c) - self("p", d))
 
+    def corrected(self, a: int, b: int, c: int, d: int) -> np.ndarray:
+        """f4 with the correction of populations that stand squared: + c where a = c or b = d, - c where a = d or b = c."""
+        top = self.f4(a, b, c, d)
+        for i, j, sign in ((a, c, 1), (b, d, 1), (a, d, -1), (b, c, -1)):
+            top = top + np.where(self.same(i, j), sign * self("c", i), 0.0)
+        return top
+
+    def flat(self, a: int, b: int, c: int, d: int) -> np.ndarray:
+        """As ``corrected``; without a population in both pairs it is 0 where the frequencies of one pair agree, whether
+        or not those of the other are known."""
+        level = (np.abs(self("p", a) - self("p", b)) < LEVEL) | (np.abs(self("p", c) - self("p", d)) < LEVEL)
+        shared = self.same(a, c) | self.same(a, d) | self.same(b, c) | self.same(b, d)
+        return np.where(shared, self.corrected(a, b, c, d), np.where(level, 0.0, self.f4(a, b, c, d)))
+
+
+#: Frequencies nearer than this agree.
+LEVEL = 1e-5
+
 
 def tuple_sums(
     markers: DataFrame, queries: Sequence[Sequence], names: Sequence[str], terms: Callable[[Batch], Sequence[np.ndarray]], fields: str = "p",
@@ -249,26 +267,52 @@ def f3(markers: DataFrame, queries: Sequence[Sequence], outgroup: bool = False)
     return out.select("qid", "f3", "se", "z", F.col("poly").alias("nsnp"), "blocks")
 
 
-def f4_ratio(markers: DataFrame, queries: Sequence[Sequence]) -> DataFrame:
-    """qid, alpha, se, z, nsnp for eight populations: f4 of the first four over f4 of the last four."""
-    sums = tuple_sums(markers, queries, ["top", "bot"], lambda x: (x.f4(0, 1, 2, 3), x.f4(4, 5, 6, 7)))
-    return _finish(sums, queries, "alpha")
+def f4_ratio(markers: DataFrame, queries: Sequence[Sequence], flat: bool = False) -> DataFrame:
+    """qid, alpha, se, z, nsnp for eight populations: f4 of the first four over f4 of the last four. With ``flat`` terms
+    are as ``Batch.flat``: populations may repeat, and a pair without a difference makes a marker count as 0."""
+    terms = lambda x: [(x.flat if flat else x.f4)(*places) for places in ((0, 1, 2, 3), (4, 5, 6, 7))]
+    return _finish(tuple_sums(markers, queries, ["top", "bot"], terms, "pc" if flat else "p"), queries, "alpha")
+
+
+def f4_ratio_difference(markers: DataFrame, queries: Sequence[Sequence], flat: bool = False) -> DataFrame:
+    """qid, excess, se, z, nsnp for sixteen populations: the ratio of the first eight plus that of the last eight less 1,
+    over markers that count in both; 0 where the two are shares of one mixture."""
+
+    def terms(x: Batch):
+        return [(x.flat if flat else x.f4)(*range(k, k + 4)) for k in (0, 4, 8, 12)]
+
+    names = ["t1", "b1", "t2", "b2"]
+    sums = tuple_sums(markers, queries, names, terms, "pc" if flat else "p")
+    own = jackknife.Window.partitionBy("qid")
+    sums = sums.withColumns({f"s{c}": F.sum(c).over(own) for c in names})
+    full = F.try_divide("st1", "sb1") + F.try_divide("st2", "sb2") - 1
+    rest = lambda c: F.col(f"s{c}") - F.col(c)
+    less = F.try_divide(rest("t1"), rest("b1")) + F.try_divide(rest("t2"), rest("b2")) - 1
+    jack = jackknife.jackknife(sums, ["qid"], full, less)
+    total = sums.groupBy("qid").agg(F.sum("n").cast("bigint").alias("nsnp"))
+    return jack.join(total, "qid").select("qid", F.col("est").alias("excess"), "se", jackknife.z_score(F.col("jack"), F.col("se")).alias("z"), "nsnp", "blocks")
 
 
-def f4_difference(markers: DataFrame, queries: Sequence[Sequence], factor: float = 1.0, overlap: bool = True) -> DataFrame:
-    """qid, diff, se, z, nsnp: f4 of the first four times ``factor`` less f4 of the last four.
+def f4_difference(markers: DataFrame, queries: Sequence[Sequence], factor: float = 1.0, overlap: bool = True, flat: bool = False) -> DataFrame:
+    """qid, diff, se, z, nsnp: f4 of the first four times ``factor`` less f4 of the last four, both as ``Batch.flat``
+    with ``flat``.
 
     With overlap over markers valid in both; else the difference of two means with the valid counts as
     weights, and nsnp the markers valid in either.
     """
-    both = lambda x: (x.f4(0, 1, 2, 3) * factor, x.f4(4, 5, 6, 7))
+    fields = "pc" if flat else "p"
+
+    def both(x: Batch):
+        f4 = x.flat if flat else x.f4
+        return f4(0, 1, 2, 3) * factor, f4(4, 5, 6, 7)
+
     if overlap:
 
         def terms(x: Batch):
             a, b = both(x)
             return a - b, _one(a + b)
 
-        return _finish(tuple_sums(markers, queries, ["top", "bot"], terms), queries, "diff")
+        return _finish(tuple_sums(markers, queries, ["top", "bot"], terms, fields), queries, "diff")
 
     def either(x: Batch):
         a, b = both(x)
@@ -276,7 +320,7 @@ def f4_difference(markers: DataFrame, queries: Sequence[Sequence], factor: float
         known = lambda v, held: np.where(np.isnan(v), 0.0, held) + none
         return known(a, a), known(a, 1.0), known(b, b), known(b, 1.0)
 
-    sums = tuple_sums(markers, queries, ["ta", "na", "tb", "nb"], either).withColumnRenamed("n", "either")
+    sums = tuple_sums(markers, queries, ["ta", "na", "tb", "nb"], either, fields).withColumnRenamed("n", "either")
     sums = sums.withColumn("n", F.col("na") + F.col("nb"))
     own = jackknife.Window.partitionBy("qid")
     sums = sums.withColumns({f"s{c}": F.sum(c).over(own) for c in ("ta", "na", "tb", "nb")})
@@ -345,8 +389,8 @@ def pair_matrix(markers: DataFrame, pops: Sequence) -> DataFrame:
     return fst.join(f2, "qid").join(total, "qid").select(F.col("q0").alias("a"), F.col("q1").alias("b"), "f2", "f2_se", "fst", "fst_se", "nsnp")
 
 
-def heterozygosity_matrix(markers: DataFrame, pops: Sequence) -> DataFrame:
-    """a, b, het: within a population 2ab over n(n-1), between two the mismatch of one allele each."""
+def _mismatches(markers: DataFrame, pops: Sequence) -> tuple[list[tuple], DataFrame]:
+    """Pairs of populations, and qid, block, top, bot, n of their differing and of all pairs of alleles."""
     queries = [(a, b) for i, a in enumerate(pops) for b in pops[i:]]
 
     def terms(x: Batch):
@@ -354,10 +398,29 @@ def heterozygosity_matrix(markers: DataFrame, pops: Sequence) -> DataFrame:
         r0, r1 = np.floor(x("p", 0) * n0 + 0.5), np.floor(x("p", 1) * n1 + 0.5)
         return np.where(within, 2 * (n0 - r0) * r0, (n0 - r0) * r1 + r0 * (n1 - r1)), np.where(within, n0 * (n0 - 1), n0 * n1)
 
-    sums = tuple_sums(markers, queries, ["top", "bot"], terms, "pn").groupBy("qid").agg((F.sum("top") / F.sum("bot")).alias("het"))
+    return queries, tuple_sums(markers, queries, ["top", "bot"], terms, "pn")
+
+
+def heterozygosity_matrix(markers: DataFrame, pops: Sequence) -> DataFrame:
+    """a, b, het: within a population 2ab over n(n-1), between two the mismatch of one allele each."""
+    queries, sums = _mismatches(markers, pops)
+    sums = sums.groupBy("qid").agg((F.sum("top") / F.sum("bot")).alias("het"))
     return sums.join(populations_of(markers.sparkSession, queries), "qid").select(F.col("q0").alias("a"), F.col("q1").alias("b"), "het")
 
 
+def heterozygosity_errors(markers: DataFrame, pops: Sequence) -> DataFrame:
+    """a, b, het, se, blocks: the matrix by block jackknife. Every marker of a block adds to its weight, known or not."""
+    queries, sums = _mismatches(markers, pops)
+    held = markers.groupBy("block").agg(F.count("*").alias("held"))
+    pairs = populations_of(markers.sparkSession, queries).select("qid", F.col("q0").alias("a"), F.col("q1").alias("b"))
+    # All pairs of a block as a list, so that a block without calls of a pair still is one of its blocks.
+    every = held.select("block", "held", F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))).alias("qid"))
+    none = {"top": 0.0, "bot": 0.0}
+    whole = every.join(sums.select("qid", "block", *none), ["qid", "block"], "left").fillna(none)
+    jack = jackknife.ratio(whole, ["qid"], weight="held").join(pairs, "qid")
+    return jack.select("a", "b", F.col("jack").alias("het"), "se", "blocks")
+
+
 def f4_vector_blocks(markers: DataFrame, left: Sequence, right: Sequence) -> DataFrame:
     """qid, block, top, n of f4(L0, Li; R0, Rj) for all i, j: what rank tests and admixture weights start from."""
     queries = [(left[0], a, right[0], b) for a in left[1:] for b in right[1:]]
@@ -377,9 +440,7 @@ def basis_blocks(markers: DataFrame, pops: Sequence) -> DataFrame:
 
 def _general(x: Batch) -> tuple[np.ndarray, np.ndarray]:
     """f(a, b; c, d) with the correction of populations that stand squared."""
-    top = x.f4(0, 1, 2, 3)
-    for i, j, sign in ((0, 2, 1), (1, 3, 1), (0, 3, -1), (1, 2, -1)):
-        top = top + np.where(x.same(i, j), sign * x("c", i), 0.0)
+    top = x.corrected(0, 1, 2, 3)
     return top, _one(top)
 
 

@@ -120,14 +120,41 @@ def f3(spark: SparkSession, p: dict[str, str]) -> DataFrame:
 
 
 def f4_ratio(spark: SparkSession, p: dict[str, str]) -> DataFrame:
-    queries = tuples(spark, p["popfilename"], 8)
-    return _named(spark, fstats.f4_ratio(frequencies(spark, p, sorted({x for q in queries for x in q})), queries), queries)
+    """Lines of eight populations; ``fancyf4`` (on) makes pairs without a difference count as 0. With ``diffmode`` a line of
+    the first half goes with its counterpart of the second, and the result is the sum of both ratios less 1."""
+    queries, flat = tuples(spark, p["popfilename"], 8), par.flag(p, "fancyf4", True)
+    rows = frequencies(spark, p, sorted({x for q in queries for x in q}))
+    if not par.flag(p, "diffmode"):
+        return _named(spark, fstats.f4_ratio(rows, queries, flat), queries)
+    half = len(queries) // 2
+    pairs = [(*a, *b) for a, b in zip(queries[:half], queries[half : 2 * half], strict=True)]
+    return _named(spark, fstats.f4_ratio_difference(rows, pairs, flat), pairs)
+
+
+def mixture_bounds(spark: SparkSession, p: dict[str, str]) -> DataFrame:
+    """Lines of two sources, the mixed population and ``outpop``, or four populations each."""
+    width = 3 if "outpop" in p else 4
+    queries = [(*q, p["outpop"])[:4] if width == 3 else q for q in tuples(spark, p["popfilename"], width)]
+    return _named(spark, fstats.bounds(frequencies(spark, p, sorted({x for q in queries for x in q})), queries), queries)
+
+
+def pair_matrix(spark: SparkSession, p: dict[str, str]) -> DataFrame:
+    """a, b, f2, fst with errors and nsnp for every two populations of ``poplistname``."""
+    pops = formats.read_list(spark, p["poplistname"])
+    return fstats.pair_matrix(frequencies(spark, p, pops), pops).orderBy("a", "b")
+
+
+def heterozygosity(spark: SparkSession, p: dict[str, str]) -> DataFrame:
+    """a, b, het, se, blocks for every two populations of ``poplistname`` and within each."""
+    pops = formats.read_list(spark, p["poplistname"])
+    return fstats.heterozygosity_errors(frequencies(spark, p, pops), pops).orderBy("a", "b")
 
 
 def f4_difference(spark: SparkSession, p: dict[str, str]) -> DataFrame:
     queries = tuples(spark, p["popfilename"], 8)
     overlap = par.flag(p, "overlap", not par.flag(p, "allsnps"))
-    return _named(spark, fstats.f4_difference(frequencies(spark, p, sorted({x for q in queries for x in q})), queries, par.number(p, "firstf4mult", 1.0), overlap), queries)
+    rows = frequencies(spark, p, sorted({x for q in queries for x in q}))
+    return _named(spark, fstats.f4_difference(rows, queries, par.number(p, "firstf4mult", 1.0), overlap, par.flag(p, "fancyf4")), queries)
 
 
 def _matrix(spark: SparkSession, p: dict[str, str]):
@@ -294,6 +321,7 @@ def write(d: Data, p: dict[str, str]) -> None:
 
 PROGRAMS = {
     "dstat": d_statistic, "f3": f3, "f4ratio": f4_ratio, "f4diff": f4_difference, "rank": rank_test, "admixture": admixture, "fstats": fstats_file, "graph": graph_fit,
+    "bounds": mixture_bounds, "pairs": pair_matrix, "heterozygosity": heterozygosity,
 }
 
 

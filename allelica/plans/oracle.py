@@ -107,3 +107,14 @@ pairs AS (SELECT a.snp AS snp1, b.snp AS snp2, a.chrom, b.genpos - a.genpos AS d
   ON a.chrom = b.chrom AND b.genpos > a.genpos AND b.genpos - a.genpos < {most}),
 tables AS (SELECT snp1, snp2, chrom, distance, COUNT(*) AS n, SUM(x.g) AS x, SUM(y.g) AS y, SUM(x.g * x.g) AS xx, SUM(y.g * y.g) AS yy, SUM(x.g * y.g) AS xy
   FROM pairs JOIN genotype x ON x.snp = snp1 JOIN genotype y ON y.snp = snp2 AND y.sample = x.sample GROUP BY 1, 2, 3, 4)"""
+
+
+_HYPER = "CASE WHEN {i} = 0 THEN ({n0} * ({n0} - 1)) WHEN {i} = 1 THEN 2 * {n0} * {n1} ELSE {n1} * ({n1} - 1) END / CAST(({n0} + {n1}) * ({n0} + {n1} - 1) AS DOUBLE)"
+
+#: ``sums`` of the configurations of two alleles of population 1 and two of population 2, numbered.
+SPECTRUM = (
+    blocks() + f""", a AS (SELECT * FROM counts WHERE pop = 1 AND n0 + n1 >= 2), b AS (SELECT * FROM counts WHERE pop = 2 AND n0 + n1 >= 2), i AS (SELECT UNNEST([0, 1, 2]) AS i),
+c AS (SELECT x.i * 3 + y.i AS qid, block, SUM({_HYPER.format(i='x.i', n0='a.n0', n1='a.n1')} * {_HYPER.format(i='y.i', n0='b.n0', n1='b.n1')}) AS top
+  FROM a JOIN b USING (snp) JOIN blocked USING (snp) CROSS JOIN i x CROSS JOIN i y GROUP BY 1, 2),
+sums AS (SELECT *, SUM(top) OVER (PARTITION BY block) AS bot, SUM(top) OVER (PARTITION BY block) AS n FROM c)"""
+)

@@ -390,7 +390,7 @@ def decimate(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from allelica.plans import converted, files, lengths, linked, models, reports  # noqa: F401  they register their queries
+    from allelica.plans import converted, files, lengths, linked, models, reports, variants  # noqa: F401  they register their queries
 
     return dict(FOUND)
 

@@ -251,13 +251,7 @@ def dpart_scaled(spark, sf_dir):
     return out.select("qid", F.round("score", 2).alias("score"), F.round("se", 2).alias("se"), "nsnp", "blocks")
 
 
-_HYPER = "CASE WHEN {i} = 0 THEN ({n0} * ({n0} - 1)) WHEN {i} = 1 THEN 2 * {n0} * {n1} ELSE {n1} * ({n1} - 1) END / CAST(({n0} + {n1}) * ({n0} + {n1} - 1) AS DOUBLE)"
-
-
-@query(o.blocks() + f""", a AS (SELECT * FROM counts WHERE pop = 1 AND n0 + n1 >= 2), b AS (SELECT * FROM counts WHERE pop = 2 AND n0 + n1 >= 2), i AS (SELECT UNNEST([0, 1, 2]) AS i),
-c AS (SELECT x.i * 3 + y.i AS qid, block, SUM({_HYPER.format(i='x.i', n0='a.n0', n1='a.n1')} * {_HYPER.format(i='y.i', n0='b.n0', n1='b.n1')}) AS top
-  FROM a JOIN b USING (snp) JOIN blocked USING (snp) CROSS JOIN i x CROSS JOIN i y GROUP BY 1, 2),
-sums AS (SELECT *, SUM(top) OVER (PARTITION BY block) AS bot, SUM(top) OVER (PARTITION BY block) AS n FROM c)""" + o.jack("qid // 3 AS k0, qid % 3 AS k1, ROUND(est, 6) AS share, ROUND(se, 6) AS se"))
+@query(o.SPECTRUM + o.jack("qid // 3 AS k0, qid % 3 AS k1, ROUND(est, 6) AS share, ROUND(se, 6) AS se"))
 def spectrum_jackknife(spark, sf_dir):
     d = adapter.load(spark, sf_dir)
     sums = qc.spectrum_blocks(counts.allele_counts(d.genotype, d.sample), {1: 2, 2: 2}, blocks.assign_blocks(d.marker))

@@ -317,6 +317,35 @@ def phylip_lines(matrix: DataFrame, pops: list, value: str = "fst") -> DataFrame
     return head.unionByName(lines).orderBy("k").select("value")
 
 
+def spectrum_lines(spectrum: DataFrame, sizes: dict) -> DataFrame:
+    """A spectrum file from rows (k0, k1, ..., share, se): a head, the populations with their sizes, and a line for each
+    configuration under its number, the last population's count running fastest. Configurations without a row have
+    share 0, and no error is below the least that is not 0."""
+    n, places = 1, F.lit(0).cast("bigint")
+    for k, size in enumerate(sizes.values()):
+        n, places = n * (size + 1), places * (size + 1) + F.col(f"k{k}")
+    spark = spectrum.sparkSession
+    rows = spark.range(n).join(spectrum.select(places.alias("id"), "share", "se"), "id", "left")
+    least = F.broadcast(spectrum.agg(F.min(F.when(F.col("se") > 0, F.col("se"))).alias("least")))  # one row
+    counts, step = [], n
+    for size in sizes.values():
+        step //= size + 1
+        counts.append(F.lpad(F.pmod(F.floor(F.col("id") / step), F.lit(size + 1)).cast("string"), 5, " "))
+    shown = [F.format_string("%15.9f", F.coalesce(c, F.lit(0.0))) for c in (F.col("share"), F.greatest("se", "least"))]
+    lines = rows.join(least).select(F.col("id").alias("k"), F.concat_ws(" ", F.lit("spec:"), F.concat(F.lpad(F.col("id").cast("string"), 5, " "), F.lit(":")), *counts, F.lit(""), *shown).alias("value"))
+    names = "; ".join(f" {p} :: {size} " for p, size in sizes.items())
+    head = spark.createDataFrame([(-2, "newformat:"), (-1, "sampsizes: " + names)], "k bigint, value string")
+    return head.unionByName(lines).orderBy("k").select("value")
+
+
+def read_spectrum(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """k0, k1, ..., share, se of a spectrum file of ``width`` populations; an ascertained count a:b is a + b."""
+    words = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).where(F.col("value").startswith("spec:")).select(words.alias("w"))
+    whole = lambda c: F.aggregate(F.split(c, ":"), F.lit(0), lambda a, x: a + x.cast("int"))
+    return lines.select(*[whole(F.col("w")[k + 2]).alias(f"k{k}") for k in range(width)], F.col("w")[width + 2].cast("double").alias("share"), F.col("w")[width + 3].cast("double").alias("se"))
+
+
 def result_lines(results: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """``result:`` lines of some columns, numbers with fixed digits."""
     kinds = dict(results.dtypes)

@@ -68,6 +68,20 @@ def test_other_programs(spark, folder):
         front.f4_ratio(spark, param(spark, folder))
 
 
+def test_programs_of_variants(spark, folder):
+    (folder / "halves").write_text("C O X B C O A B\nC O X A C O B A\n")
+    both = param(spark, folder, popfilename=f"{folder}/halves")
+    plain = front.f4_ratio(spark, both | {"fancyf4": "NO"})
+    whole = front.f4_ratio(spark, both | {"diffmode": "YES"}).collect()
+    assert plain.count() == 2 and len(whole) == 1 and whole[0].pop16 == "A" and whole[0].se > 0
+    (folder / "sources").write_text("A B X\n")
+    got = front.PROGRAMS["bounds"](spark, param(spark, folder, popfilename=f"{folder}/sources", outpop="O"))
+    assert [(r.pop3, r.pop4) for r in got.collect()] == [("X", "O")]
+    assert front.PROGRAMS["pairs"](spark, param(spark, folder)).count() == 10
+    het = front.PROGRAMS["heterozygosity"](spark, param(spark, folder)).collect()
+    assert len(het) == 15 and all(0 < r.het < 1 and r.se > 0 for r in het)
+
+
 def test_converter_chain(spark, folder, tmp_path):
     p = param(spark, folder, nochrom="3", malexhet="NO", maxmissfrac="0.2", hwfilter="3", wipechrom="2", outputformat="PED",
               genotypeoutname=str(tmp_path / "o.ped"), snpoutname=str(tmp_path / "o.snp"), indivoutname=str(tmp_path / "o.ind"))
