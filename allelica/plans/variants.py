@@ -12,7 +12,7 @@ from allelica.plans.queries import POPS, QUADS, markers, query, rounded
 from allelica.sources import adapter, formats
 
 RATIOS = [(0, 1, 2, 3, 0, 4, 2, 3), (1, 2, 3, 4, 1, 0, 3, 4)]
-SHARES = [((0, 1, 2, 3, 0, 4, 2, 3), (4, 1, 2, 3, 4, 0, 2, 3)), ((1, 2, 3, 4, 1, 0, 3, 4), (2, 1, 0, 4, 2, 3, 0, 4))]
+SHARES = [((0, 1, 2, 3, 0, 4, 2, 3), (2, 1, 0, 4, 2, 3, 0, 4)), ((1, 2, 3, 4, 1, 0, 3, 4), (3, 0, 1, 4, 3, 2, 1, 4))]
 TRIM = 0.05
 
 
