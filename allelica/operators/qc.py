@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,49 +43,101 @@ def treemix_table(genotype: DataFrame, sample: DataFrame) -> DataFrame:
     return counts.join(whole, "snp", "left_semi").select("snp", "pop", F.col("n1").alias("ref"), F.col("n0").alias("other"))
 
 
+#: Pairs of calls that a task counts at once, and calls of a marker whose pairs are counted one by one at most.
+PAIRS, FEW = 4_000_000, 2048
+
+
 def similar_samples(genotype: DataFrame, shared: int = 200, agree: float = 0.9, tile: int = 512, chunk: int = 16_384) -> DataFrame:
     """a, b, shared, same: all pairs of samples that agree at ``agree`` of at least ``shared`` common markers.
 
-    Samples are packed to bit planes of ``chunk`` markers, dealt to tiles by hash, and every two tiles meet in a task
-    for each chunk, which counts all their pairs by matrix products: three bits a call are copied, and a task holds two
-    tiles of one chunk. Counts of the chunks are added up. Every pair is compared, so missing calls lose none.
+    Markers that few samples have calls at (a sixteenth of them, ``FEW`` at most) give the pairs of their own calls, added
+    up over neighbouring markers in the task. Other markers are dealt to chunks, samples to tiles, and every two
+    tiles meet in a task for each chunk, which counts all their pairs by matrix products. Counts of both are added
+    up. Every two calls of a marker are counted, so missing calls lose no pair.
     """
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    sizes = genotype.agg(F.approx_count_distinct("sample").alias("s"), F.approx_count_distinct("snp").alias("m")).first()
-    count, chunks = max(1, -(-2 * sizes.s // tile)), max(1, -(-2 * sizes.m // chunk))
-    groups = genotype.select(F.col("snp").alias("sample")).distinct().withColumn("grp", spread("sample", chunks))
-    turned = genotype.select(F.col("sample").alias("snp"), F.col("snp").alias("sample"), "g")
-    packed, ranges = tiles.planes(turned, groups)
-    if not ranges:
+    names, _ = tiles.numbered_samples(genotype.select("sample").distinct().withColumn("grp", F.lit(0)))
+    sizes = genotype.groupBy("snp").agg(F.count("*").alias("n"))
+    samples = names.count()
+    few = F.col("n") <= min(FEW, samples // 16)
+    full, thin = sizes.agg(F.count_if(~few), F.count_if(few)).first()
+    rows = genotype.join(names, "sample").select("snp", "k", "g")
+    found = []
+    if thin:
+        own = rows if not full else rows.join(sizes.where(few).select("snp"), "snp", "left_semi")
+        found.append(_pairs_of_calls(own))
+    if full:
+        own = rows if not thin else rows.join(sizes.where(~few).select("snp"), "snp", "left_semi")
+        found.append(_pairs_of_tiles(own, max(1, -(-2 * samples // tile)), max(1, -(-2 * full // chunk))))
+    if not found:
         return genotype.select(F.col("sample").alias("a"), F.col("sample").alias("b"), F.lit(0).cast("bigint").alias("shared"), F.lit(0).cast("bigint").alias("same")).limit(0)
-    at = F.array(*[F.struct(F.lit(k).alias("chunk"), F.lit(a + 1).alias("start"), F.lit(b - a).alias("width")) for k, (a, b) in enumerate(ranges)])
-    rows = packed.withColumn("t", spread("snp", count)).select("*", F.explode(at).alias("r"))
-    rows = rows.select(F.col("snp").alias("name"), "t", F.col("r.chunk").alias("chunk"), *[F.substring(c, F.col("r.start"), F.col("r.width")).alias(c) for c in tiles.PLANES])
+    whole = reduce(DataFrame.unionByName, found).where("x < y").groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.sum("same").alias("same"))
+    alike = whole.where((F.col("shared") >= shared) & (F.col("same") >= agree * F.col("shared")))
+    for own, name in (("x", "a"), ("y", "b")):
+        alike = alike.join(names.select(F.col("k").alias(own), F.col("sample").alias(name)), own)
+    return alike.select("a", "b", "shared", "same")
+
+
+_COUNTS = "x int, y int, shared bigint, same bigint"
+
+
+def _pairs_of_calls(rows: DataFrame) -> DataFrame:
+    """x, y, shared, same of all pairs of calls of a marker, from ``rows`` (snp, k, g); markers in the order of their ids,
+    ``PAIRS`` pairs at once."""
+
+    def run(batches):
+        for whole in batches:
+            lengths = np.diff(whole.column("w").offsets.to_numpy())
+            work, at = np.cumsum(lengths * (lengths - 1) // 2), 0
+            while at < len(whole):
+                end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + PAIRS, side="right")))
+                n, code = lengths[at:end], whole.column("w").slice(at, end - at).flatten().to_numpy().astype(np.int64)
+                code = np.sort(np.repeat(np.arange(len(n)), n) << 32 | code) & 0xFFFFFFFF
+                # Each call meets those behind it at its marker.
+                behind = np.repeat(np.cumsum(n), n) - np.arange(len(code)) - 1
+                one = np.repeat(np.arange(len(code)), behind)
+                two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(behind) - behind, behind)
+                a, b = code[one], code[two]
+                key = np.sort((a >> 2) << 32 | (b >> 2) << 1 | (a & 3 == b & 3))
+                at = end
+                if not len(key):
+                    continue
+                start = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+                counts = np.diff(start, append=len(key))
+                x, y = key[start] >> 32, (key[start] & 0xFFFFFFFF) >> 1
+                out = pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(counts), pa.array(np.add.reduceat(key & 1, start))], ["x", "y", "shared", "same"])
+                for k in range(0, len(out), 1 << 18):
+                    yield out.slice(k, 1 << 18)
+
+    held = rows.groupBy("snp").agg(F.collect_list(tiles.coded(F.col("k"), F.col("g"))).alias("w"))
+    return held.repartitionByRange("snp").sortWithinPartitions("snp").select("w").mapInArrow(run, _COUNTS)
+
+
+def _pairs_of_tiles(rows: DataFrame, count: int, chunks: int) -> DataFrame:
+    """The same by matrix products of tiles of samples, by chunks of markers."""
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    place = rows.select("snp").distinct().withColumn("chunk", spread("snp", chunks))
+    place = place.withColumn("at", F.row_number().over(Window.partitionBy("chunk").orderBy("snp")) - 1)
+    cells = rows.join(place, "snp").select("k", "chunk", tiles.coded(F.col("at"), F.col("g")).alias("code"))
+    sent = tiles.packed(cells, "k", "chunk").withColumn("t", spread("k", count))
     # Each tile meets every other once: the pair is named by the lesser tile first.
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("o")).withColumns({"t1": F.least("t", "o"), "t2": F.greatest("t", "o")}).drop("o")
+    sent = sent.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("o")).withColumns({"t1": F.least("t", "o"), "t2": F.greatest("t", "o")}).drop("o")
 
     def pairs(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        width = len(table["c"][0].as_py())
+        table = table.combine_chunks().sort_by("k")
         first = table["t"].to_numpy() == table["t1"].to_numpy()
         both = table["t1"][0].as_py() == table["t2"][0].as_py()
-        planes = tiles.three(*[tiles.bits(table[c].combine_chunks(), width) for c in tiles.PLANES])
+        _, (planes,) = tiles.common_planes(table["w"].combine_chunks())
         held, same = 0, 0
-        for x in planes:
-            x = np.unpackbits(x, axis=1).astype(np.float32)
+        for x in tiles.three(*planes):
+            x = tiles.spread(x).astype(np.float32)
             held, same = held + x, same + x @ x.T
         i, j = np.nonzero(np.triu(np.ones((len(first),) * 2, dtype=bool), 1) & (both | (first[:, None] != first[None, :])))
         common = (held @ held.T)[i, j].astype(np.int64)
         i, j, common = i[common > 0], j[common > 0], common[common > 0]
-        names = table["name"].combine_chunks()
-        a, b = names.take(pa.array(i)), names.take(pa.array(j))
-        swap = pc.greater(a, b)
-        return pa.table([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(common), pa.array(same[i, j].astype(np.int64))], ["a", "b", "shared", "same"])
-
-    kind = dict(genotype.dtypes)["sample"]
-    found = rows.groupBy("chunk", "t1", "t2").applyInArrow(pairs, f"a {kind}, b {kind}, shared bigint, same bigint")
-    found = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("same").alias("same"))
-    return found.where((F.col("shared") >= shared) & (F.col("same") >= agree * F.col("shared")))
+        k = table["k"].to_numpy()
+        return pa.table([pa.array(k[i]), pa.array(k[j]), pa.array(common), pa.array(same[i, j].astype(np.int64))], ["x", "y", "shared", "same"])
+
+    return sent.groupBy("chunk", "t1", "t2").applyInArrow(pairs, _COUNTS)
 
 
 def duplicate_samples(genotype: DataFrame, keys: int = 15, probes: int = 20, shared: int = 200, agree: float = 0.9) -> DataFrame:

@@ -1,79 +1,133 @@
-"""Packed genotypes: three bit planes a marker, and pairs of marker tiles multiplied in one task.
+"""Packed genotypes: words of samples a marker, and pairs of marker tiles multiplied in one task.
 
-A plane row is a marker with a bit for each sample: ``c`` called, ``p1`` one reference allele, ``p2`` two. Samples are
-numbered by group and id, and a group starts at a whole byte, so counts by group are products of slices. Three bits a
-sample are what a marker costs in every shuffle behind ``planes``, whatever the form of the ids.
+A marker is a binary value of records, one for every word of 16 samples in which it has a call: the word's number and
+three bit planes, ``c`` called, ``p1`` one reference allele, ``p2`` two. Samples are numbered by group and id, and a group
+starts at a whole word, so counts by group are products of slices. Words without a call cost nothing, in a shuffle or in a
+product: the work follows the calls, and a full marker costs five bits a sample.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLANES = ("c", "p1", "p2")
+#: Samples of a word, and what a word with a call is stored as.
+WORD, RECORD = 16, np.dtype([("w", "<i4"), *[(c, "<u2") for c in PLANES]])
 #: Samples of a product at once: a batch of so many columns of 0 and 1.
 SAMPLES = 8192
+#: Calls that are packed at once.
+CALLS = 4_000_000
 
 
 def numbered_samples(sample: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """(sample, k) and the bytes (start, end) of each group 0, 1, ... of ``sample`` (sample, grp); a row for each
+    """(sample, k) and the words (start, end) of each group 0, 1, ... of ``sample`` (sample, grp); a row for each
     sample, a range for each group."""
     sizes = {r.grp: r["count"] for r in sample.groupBy("grp").count().collect()}
     ranges, at = [], 0
     for g in range(max(sizes, default=-1) + 1):
-        width = -(-sizes.get(g, 0) // 8)
+        width = -(-sizes.get(g, 0) // WORD)
         ranges.append((at, at + width))
         at += width
-    start = F.element_at(F.array(*[F.lit(8 * a) for a, _ in ranges] or [F.lit(0)]), F.col("grp") + 1)
+    start = F.element_at(F.array(*[F.lit(WORD * a) for a, _ in ranges] or [F.lit(0)]), F.col("grp") + 1)
     place = F.row_number().over(Window.partitionBy("grp").orderBy("sample")) - 1
     return sample.select("sample", (start + place).cast("int").alias("k")), ranges
 
 
+def coded(place: Column, g: Column) -> Column:
+    """A call as one number: its place and, in the last two bits, its genotype."""
+    return (place * 4 + F.when(g == 1, 1).when(g == 2, 2).otherwise(0)).cast("int")
+
+
+def words(calls: pa.ListArray) -> pa.Array:
+    """The records of each list of coded calls, in the order of words."""
+    n, code = len(calls), calls.flatten().to_numpy()
+    at = np.repeat(np.arange(n), np.diff(calls.offsets.to_numpy()))
+    order = np.argsort(at << 32 | code.astype(np.int64))
+    at, code = at[order], code[order]
+    place, g = code >> 2, code & 3
+    word, bit = place // WORD, np.left_shift(1, place % WORD).astype("<u2")
+    start = np.flatnonzero(np.diff(at, prepend=-1).astype(bool) | np.diff(word, prepend=-1).astype(bool))
+    out = np.zeros(len(start), dtype=RECORD)
+    if len(start):
+        out["w"] = word[start]
+        for c, own in zip(PLANES, (bit, np.where(g == 1, bit, 0), np.where(g == 2, bit, 0)), strict=True):
+            out[c] = np.bitwise_or.reduceat(own.astype("<u2"), start)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(at[start], minlength=n))]) * RECORD.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+
+
+def packed(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys and ``w``, the records of all calls (``code``) of a key: one shuffle of a number for each call."""
+    held = rows.groupBy(*keys).agg(F.collect_list("code").alias("w"))
+
+    def run(batches):
+        for whole in batches:
+            at, sizes = 0, np.cumsum(np.diff(whole.column("w").offsets.to_numpy()))
+            while at < len(whole):
+                before = sizes[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, before + CALLS, side="right")))
+                b = whole.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], words(b.column("w"))], [*keys, "w"])
+                at = end
+
+    kinds = dict(rows.dtypes)
+    return held.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "w binary"]))
+
+
 def planes(genotype: DataFrame, sample: DataFrame | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """(snp, c, p1, p2) as binary values of one length, and the groups' byte ranges.
+    """(snp, w) with the records of every marker, and the groups' ranges of words.
 
-    ``sample`` (sample, grp) names the samples to use and their groups; all are one group without it. Calls are reduced
-    to words of 64 samples before the shuffle by marker.
+    ``sample`` (sample, grp) names the samples to use and their groups; all are one group without it.
     """
     names, ranges = numbered_samples((genotype.select("sample").distinct().withColumn("grp", F.lit(0))) if sample is None else sample.select("sample", "grp"))
-    size = ranges[-1][1] if ranges else 0
-    rows = genotype.join(names, "sample").select("snp", F.shiftright("k", 6).alias("word"), "g", F.expr("shiftleft(1L, k & 63)").alias("bit"))
-    own = lambda k: F.bit_or(F.when(F.col("g") == k, F.col("bit")).otherwise(F.lit(0).cast("bigint")))
-    word = rows.groupBy("snp", "word").agg(F.bit_or("bit").alias("c"), own(1).alias("p1"), own(2).alias("p2"))
-    held = word.groupBy("snp").agg(F.collect_list(F.struct("word", *PLANES)).alias("w"))
-
-    def dense(batches):
-        words = -(-size // 8)
-        for b in batches:
-            w = b.column("w")
-            at = np.repeat(np.arange(len(b)), np.diff(w.offsets.to_numpy()))
-            flat = w.flatten()
-            place = flat.field("word").to_numpy()
-            out = []
-            for c in PLANES:
-                x = np.zeros((len(b), words), dtype="<i8")
-                x[at, place] = flat.field(c).to_numpy()
-                out.append(pa.array([r.tobytes()[:size] for r in x], pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column("snp"), *out], ["snp", *PLANES])
-
-    kind = dict(genotype.dtypes)["snp"]
-    return held.mapInArrow(dense, f"snp {kind}, c binary, p1 binary, p2 binary"), ranges
-
-
-def bits(column: pa.Array, width: int) -> np.ndarray:
-    """A row of bytes for each binary value."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), width)
+    rows = genotype.join(names, "sample").select("snp", coded(F.col("k"), F.col("g")).alias("code"))
+    return packed(rows, "snp"), ranges
+
+
+def records(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the record of every word of binary values."""
+    if not len(column):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=RECORD)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(RECORD) if ends[-1] > ends[0] else np.zeros(0, RECORD)
+    return np.repeat(np.arange(len(column)), np.diff(ends) // RECORD.itemsize), flat
+
+
+def common_planes(*tiles: pa.Array) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """The words, in order, in which each tile has a call, and each tile's three planes over these words."""
+    held = [records(t) for t in tiles]
+    shared = np.unique(held[0][1]["w"])
+    for _, r in held[1:]:
+        shared = np.intersect1d(shared, r["w"])
+    out = []
+    for t, (row, r) in zip(tiles, held, strict=True):
+        own = np.zeros((3, len(t), len(shared)), dtype="<u2")
+        keep = np.isin(r["w"], shared)
+        row, r = row[keep], r[keep]
+        place = np.searchsorted(shared, r["w"])
+        for k, c in enumerate(PLANES):
+            own[k, row, place] = r[c]
+        out.append(list(own))
+    return shared, out
+
+
+def spread(plane: np.ndarray) -> np.ndarray:
+    """Words as columns of 0 and 1, one for each sample."""
+    return np.unpackbits(np.ascontiguousarray(plane).view(np.uint8), axis=1, bitorder="little")
 
 
 def products(a: list[np.ndarray], b: list[np.ndarray], start: int, end: int) -> np.ndarray:
-    """Counts of samples in bytes start to end by (genotype, genotype) of every two rows of two tiles: an array of
-    shape (rows of a, rows of b, 9), cell 3 * g1 + g2."""
+    """Counts of samples in words start to end of planes by (genotype, genotype) of every two rows of two tiles: an array
+    of shape (rows of a, rows of b, 9), cell 3 * g1 + g2. Samples that one of the tiles lacks are left out."""
     out = np.zeros((3 * len(a[0]), 3 * len(b[0])))
-    step = SAMPLES // 8
+    step = SAMPLES // WORD
     for at in range(start, end, step):
-        x, y = (np.concatenate([np.unpackbits(p[:, at : min(end, at + step)], axis=1) for p in t]).astype(np.float32) for t in (a, b))
+        x, y = (np.stack([spread(p[:, at : min(end, at + step)]) for p in three(*t)]) for t in (a, b))
+        both = x.any(axis=(0, 1)) & y.any(axis=(0, 1))
+        x, y = (t[:, :, both].reshape(3 * t.shape[1], int(both.sum())).astype(np.float32) for t in (x, y))
         out += x @ y.T
     return out.reshape(3, len(a[0]), 3, len(b[0])).transpose(1, 3, 0, 2).reshape(len(a[0]), len(b[0]), 9).astype(np.int64)
 
@@ -88,12 +142,11 @@ def pair_cells(genotype: DataFrame, marker: DataFrame, most: int, sample: DataFr
     a chromosome with 0 < distance < ``most`` in genpos and a sample with both calls.
 
     Markers are dealt to buckets as wide as the band, those of a crowded bucket to several tiles of about ``tile``
-    markers by hash. A marker's planes go to every pair of tiles that it may have partners in: its bucket's and those
-    of the two next to it. A task holds two tiles and counts all their pairs by matrix products, so planes are shuffled
+    markers by hash. A marker's words go to every pair of tiles that it may have partners in: its bucket's and those
+    of the two next to it. A task holds two tiles and counts all their pairs by matrix products, so words are shuffled
     by marker and never by pair.
     """
-    packed, ranges = planes(genotype, sample)
-    size = ranges[-1][1] if ranges else 0
+    held, ranges = planes(genotype, sample)
     kind, far = dict(genotype.dtypes)["snp"], dict(marker.dtypes)["genpos"]
     place = marker.select("snp", "chrom", "genpos", F.floor(F.col("genpos") / most).cast("bigint").alias("bucket"))
     # A row for each bucket of the genome.
@@ -110,21 +163,21 @@ def pair_cells(genotype: DataFrame, marker: DataFrame, most: int, sample: DataFr
         F.transform(every(zero, "after"), lambda q: pair(b, own, 1, q, 0)),
         F.transform(every(zero, "before"), lambda p: pair(b - 1, p, 1, own, 1)),
     )
-    sent = rows.select("snp", "chrom", "genpos", F.explode(meets).alias("t")).join(packed, "snp").select("snp", "chrom", "genpos", "t.*", *PLANES)
+    sent = rows.select("snp", "chrom", "genpos", F.explode(meets).alias("t")).join(held, "snp").select("snp", "chrom", "genpos", "t.*", "w")
     fields = [("snp1", kind), ("snp2", kind), ("chrom", dict(marker.dtypes)["chrom"]), ("distance", far), *[(f"cells{k}", "array<bigint>") for k in range(len(ranges))]]
 
     def count(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         side = table["side"].to_numpy()
         tiles = [table.filter(pa.array(side == s)) for s in (0, 1)]
-        x, y = (three(*[bits(t[c], size) for c in PLANES]) for t in tiles)
+        shared, (x, y) = common_planes(*[t["w"].combine_chunks() for t in tiles])
         gx, gy = (t["genpos"].to_numpy() for t in tiles)
         span = gy[None, :] - gx[:, None]
         # Two tiles of one bucket have pairs in both orders; a tile with itself meets each pair twice.
         same = table["step"][0].as_py() == 0 and table["p"][0].as_py() == table["q"][0].as_py()
         near = (np.abs(span) < most) & ((span > 0) if same else (span != 0))
         i, j = np.nonzero(near)
-        found = [products(x, y, *r)[i, j] for r in ranges] or [np.zeros((len(i), 9), dtype=np.int64)]
+        found = [products(x, y, *np.searchsorted(shared, r))[i, j] for r in ranges] or [np.zeros((len(i), 9), dtype=np.int64)]
         keep = sum(f.sum(axis=1) for f in found) > 0
         i, j, found = i[keep], j[keep], [f[keep] for f in found]
         back = span[i, j] < 0

@@ -43,6 +43,27 @@ def test_similar_samples_are_all_pairs(spark):
         assert {(min(r.a, r.b), max(r.a, r.b)): (r.shared, r.same) for r in got.collect()} == want
 
 
+def test_similar_samples_of_few_calls(spark, monkeypatch):
+    """Markers of few calls are counted by their calls, full ones by tiles; both add up."""
+    rng = np.random.default_rng(8)
+    rows = [(m, 7 * int(s), int(rng.integers(0, 3))) for m in range(60) for s in rng.choice(400, 12 if m % 20 else 300, replace=False) if s // 20 == m % 20 or not m % 20 or s < 40]
+    df = spark.createDataFrame(rows, "snp bigint, sample bigint, g bigint")
+    held, want = {(m, s): g for m, s, g in rows}, {}
+    names = sorted({s for _, s, _ in rows})
+    for (m, s), g in held.items():
+        for t in names:
+            if t > s and (m, t) in held:
+                n, same = want.get((s, t), (0, 0))
+                want[s, t] = (n + 1, same + (held[m, t] == g))
+    some = lambda out: {(r.a, r.b): (r.shared, r.same) for r in out.collect()}
+    monkeypatch.setattr(qc, "PAIRS", 100)
+    assert some(qc.similar_samples(df, 2, 0.5, 100, 2)) == {k: v for k, v in want.items() if v[0] >= 2 and v[1] >= 0.5 * v[0]}
+    # No tiles of all samples by all others where each marker has few calls.
+    monkeypatch.setattr(qc, "_pairs_of_tiles", None)
+    thin = spark.createDataFrame([r for r in rows if r[0] % 20], "snp bigint, sample bigint, g bigint").unionAll(spark.range(1, 4000).selectExpr("1000 + id", "100000 + id", "0"))
+    assert some(qc.similar_samples(thin, 2, 0.0)) == some(qc.compare_samples(thin, spark.createDataFrame(list(want), "a bigint, b bigint")).where("shared >= 2"))
+
+
 def test_pruning_walks_along_the_chromosome(spark):
     rng = np.random.default_rng(6)
     n = 80
