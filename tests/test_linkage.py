@@ -152,3 +152,30 @@ def test_epistasis_of_pairs(spark):
     for r in rows:
         case, control = (plain_cells(g, groups, k, r.snp1, r.snp2) for k in (1, 0))
         assert r.interaction == pytest.approx(two_locus.interaction([case], [control])[0])
+
+
+def test_words_follow_the_calls(spark):
+    """A few calls among many samples take a few words; products count samples that both markers have only."""
+    far = 1_000_000
+    rows = [(1, 5, 2), (1, far, 1), (2, far, 2), (2, 7, 0), (3, 6, 1), (3, 77, 1)]
+    df = spark.createDataFrame(rows, "snp bigint, sample bigint, g bigint")
+    sample = spark.range(far + 1).selectExpr("id as sample", "0 as grp")
+    packed, ranges = tiles.planes(df, sample)
+    assert ranges == [(0, far // 16 + 1)]
+    assert {r.snp: len(r.w) // tiles.RECORD.itemsize for r in packed.collect()} == {1: 2, 2: 2, 3: 2}
+    marker = spark.createDataFrame([(k, 1, k) for k in (1, 2, 3)], "snp bigint, chrom bigint, genpos bigint")
+    got = {(r.snp1, r.snp2): r.cells0 for r in tiles.pair_cells(df, marker, 10, sample, 1).collect()}
+    assert got == {(1, 2): [0, 0, 0, 0, 0, 1, 0, 0, 0]}
+
+
+def test_batches_of_full_markers_are_packed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "CALLS", 50)
+    g, df = sparse(spark, samples=60, snps=20)
+    got = {r.snp: r.w for r in tiles.planes(df)[0].collect()}
+    names = {s: k for k, s in enumerate(sorted({r.sample for r in df.select("sample").distinct().collect()}))}
+    for m, raw in got.items():
+        x = {int(r["w"]): r for r in np.frombuffer(raw, tiles.RECORD)}
+        for s, k in names.items():
+            r, bit = x.get(k // 16), k % 16
+            have = [bool(r is not None and r[c] >> bit & 1) for c in tiles.PLANES]
+            assert have == [g[m][s] >= 0, g[m][s] == 1, g[m][s] == 2]
