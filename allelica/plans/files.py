@@ -94,12 +94,13 @@ def ancestrymap_again(spark, sf_dir):
 @query(o.ADAPTER + """, letters AS (SELECT snp, chrom, physpos, genpos, ['A','C','G','T'][snp % 4 + 1] AS ref, ['A','C','G','T'][(snp + 1 + snp % 2) % 4 + 1] AS alt FROM marker)
 SELECT CAST(snp AS VARCHAR) AS snp, chrom, physpos, ROUND(FLOOR(genpos / 100) / 1e5, 6) AS genpos, ref, alt, snp AS ord FROM letters""")
 def snp_file_again(spark, sf_dir):
-    """A marker file: lines in order, chromosomes and positions parsed, places numbered by the file's splits."""
+    """A marker file: lines in order, chromosomes and positions parsed, places numbered by the file's splits. It is
+    written in Morgans, of which large tables have more than the 100 that a file of unknown unit can."""
     _, marker, _ = dataset(spark, sf_dir)
     marker = marker.withColumn("genpos", F.floor(F.round(F.col("genpos") * 1e7) / 100) / 1e5)  # as many digits as lines have
     path = scratch(spark)
     formats.snp_lines(marker).write.text(path)
-    return formats.read_snp(spark, path).withColumn("genpos", F.round("genpos", 6)).select("snp", "chrom", "physpos", "genpos", "ref", "alt", "ord")
+    return formats.read_snp(spark, path, morgans=True).withColumn("genpos", F.round("genpos", 6)).select("snp", "chrom", "physpos", "genpos", "ref", "alt", "ord")
 
 
 @query(o.ADAPTER + "SELECT CAST(s.sample AS VARCHAR) AS sample, CASE WHEN s.sample % 2 = 1 THEN 'M' ELSE 'F' END AS sex, CAST(pop AS VARCHAR) AS pop, s.sample AS ord FROM sample s")

@@ -39,13 +39,14 @@ def normalised_positions(marker: DataFrame) -> DataFrame:
     return rows.withColumn("genpos", fixed).drop("top")
 
 
-def read_snp(spark: SparkSession, path: str) -> DataFrame:
-    """snp, chrom, genpos, physpos, ref, alt, ord of a .snp file."""
+def read_snp(spark: SparkSession, path: str, morgans: bool = False) -> DataFrame:
+    """snp, chrom, genpos, physpos, ref, alt, ord of a .snp file. With ``morgans`` its genetic positions are known to be
+    Morgans, however large; otherwise their unit is told by their size."""
     f = F.col("f")
     rows = _lines(spark, path).where(F.size("f") >= 4)
     allele = lambda k: F.upper(F.coalesce(F.get(f, F.lit(k)), F.lit("X")))
     out = rows.select(f[0].alias("snp"), chromosome(f[1]).alias("chrom"), f[2].cast("double").alias("genpos"), f[3].cast("bigint").alias("physpos"), allele(4).alias("ref"), allele(5).alias("alt"), "ord")
-    return normalised_positions(out)
+    return out if morgans else normalised_positions(out)
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:

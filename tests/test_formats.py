@@ -137,3 +137,10 @@ def test_streamed_block_sums(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).first().est == pytest.approx(5.5)
+
+
+def test_positions_known_to_be_morgans_stay(spark, tmp_path):
+    """Large tables have more than 100 Morgans, which in a file of unknown unit would be centimorgans."""
+    (tmp_path / "far.snp").write_text("rs1 1 0.01 1000 A C\nrs2 2 240.5 2000 G T\n")
+    read = lambda **k: [r.genpos for r in formats.read_snp(spark, str(tmp_path / "far.snp"), **k).orderBy("ord").collect()]
+    assert read(morgans=True) == [0.01, 240.5] and read() == pytest.approx([0.0001, 2.405])
