@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +23,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     The reader splits files as usual. A line's number is its place in its split, and the lines of the splits
     before it; these are a row for each split.
     """
-    rows = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    plain = F.when(F.endswith(F.col("value"), F.lit("\r")), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value"))
+    rows = spark.read.text(path).select(F.rtrim(plain).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     rows = rows.where((F.trim("line") != "") & ~F.trim("line").startswith("#")).withColumn("id", F.monotonically_increasing_id())
     splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    numbered = rows.join(splits, ["file", "start"])
+    numbered = rows.join(F.broadcast(splits), ["file", "start"])
     return numbered.select((F.col("id") + F.col("shift")).cast("bigint").alias("ord"), F.split(F.trim("line"), r"\s+").alias("f"), "line")
 
 
@@ -87,8 +89,18 @@ def _named(cells: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
 def read_eigenstrat(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame) -> DataFrame:
     """A line per marker, a digit per sample, 9 missing; a line that begins with X is all missing."""
     lines = _lines(spark, path).where(~F.col("line").startswith("X"))
-    cells = lines.select(F.col("ord").alias("m"), F.posexplode(F.split(F.trim("line"), "")).alias("s", "c")).where("c in ('0', '1', '2')")
-    return _named(cells.select("m", "s", F.col("c").cast("int").alias("g")), marker, sample)
+
+    def run(batches):
+        for b in batches:
+            line, m = b.column("line"), b.column("m").to_numpy()
+            ends = np.frombuffer(line.buffers()[1], dtype=np.int32)[line.offset : line.offset + len(line) + 1]
+            digits = np.frombuffer(line.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] - 48 if ends[-1] > ends[0] else np.zeros(0, dtype=np.uint8)
+            at = np.flatnonzero(digits < 3)
+            row = np.searchsorted(ends - ends[0], at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(m[row]), pa.array(at - (ends - ends[0])[row]), pa.array(digits[at].astype(np.int32))], ["m", "s", "g"])
+
+    cells = lines.select(F.col("ord").alias("m"), F.trim("line").alias("line")).mapInArrow(run, "m bigint, s bigint, g int")
+    return _named(cells, marker, sample)
 
 
 def read_ancestrymap(spark: SparkSession, path: str) -> DataFrame:
@@ -147,17 +159,22 @@ def wide_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame) -> Data
     return marker.select("snp", "ord").join(per, "snp", "left").select("ord", "snp", codes.alias("codes"))
 
 
-def _digit(x: Column) -> Column:
-    return F.coalesce(x.cast("string"), F.lit("9"))
-
-
 def eigenstrat_lines(genotype: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
-    return wide_rows(genotype, marker, sample).orderBy("ord").select(F.array_join(F.transform("codes", _digit), "").alias("value"))
+    """A line per marker, in order: calls are dealt, and a line is made of its calls and the gaps between them."""
+    n, markers = sample.count(), marker.count()
+    rows = genotype.join(sample.select("sample", F.col("ord").cast("int").alias("s")), "sample")
+    per = rows.groupBy("snp").agg(F.array_sort(F.collect_list(F.struct("s", F.col("g").cast("int").alias("g")))).alias("w"))
+    ordered = packed.dealt_by(marker.select("snp", "ord").join(per, "snp", "left").select("ord", "w"), "ord", markers, n)
+    gap = lambda k: F.repeat(F.lit("9"), k)
+    before = lambda k: F.coalesce(F.get("w", k)["s"], F.lit(-1))
+    held = F.array_join(F.transform("w", lambda x, k: F.concat(gap(x["s"] - before(k - 1) - 1), x["g"].cast("string"))), "")
+    line = F.when(F.col("w").isNull(), gap(F.lit(n))).otherwise(F.concat(held, gap(n - 1 - before(F.size("w") - 1))))
+    return ordered.select(line.alias("value"))
 
 
 def write_eigenstrat(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path: str) -> None:
-    """A folder of text parts whose order is the markers'."""
-    eigenstrat_lines(genotype, marker, sample).write.text(path)
+    """A folder of gzipped text parts whose order is the markers': a line has a digit for every sample, called or not."""
+    eigenstrat_lines(genotype, marker, sample).write.option("compression", "gzip").text(path)
 
 
 def write_ancestrymap(genotype: DataFrame, path: str) -> None:
@@ -168,7 +185,7 @@ def packed_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame, kind:
     """ord, raw: the rows of a GENO or BED file in marker order."""
     cells = genotype.join(marker.select("snp", F.col("ord").alias("k")), "snp").join(sample.select("sample", F.col("ord").alias("at")), "sample")
     rows = packed.packed_calls(cells.select("k", "at", "g"), marker.select(F.col("ord").alias("k")), sample.count(), kind.upper())
-    return rows.withColumnRenamed("k", "ord").orderBy("ord")
+    return rows.withColumnRenamed("k", "ord")  # in order
 
 
 def write_packed(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path: str, kind: str = "GENO") -> None:
@@ -182,7 +199,7 @@ def write_packed(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path
     if kind == "TGENO":
         rows = packed.transposed(rows, n_snp, n_ind, packed.row_bytes("TGENO", n_snp))
     hashes = [ordered_hash(t, c, "ord").first()["hash"] for t, c in ((sample, "sample"), (marker, "snp"))]
-    packed.write(rows, path, kind, n_ind, n_snp, tuple(hashes))
+    packed.write(rows, path, kind, n_ind, n_snp, tuple(hashes), dealt=True)
 
 
 def transpose_packed(spark: SparkSession, path: str, out: str) -> None:
@@ -192,7 +209,7 @@ def transpose_packed(spark: SparkSession, path: str, out: str) -> None:
     if kind is None:
         raise ValueError("only GENO and TGENO are each other's transposes")
     turned = packed.transposed(packed.read(spark, path), own.rows, own.columns, packed.row_bytes(kind, own.rows))
-    packed.write(turned, out, kind, own.n_ind, own.n_snp, own.hashes)
+    packed.write(turned, out, kind, own.n_ind, own.n_snp, own.hashes, dealt=True)
 
 
 def packed_header(kind: str, marker: DataFrame, sample: DataFrame) -> bytes:

@@ -156,3 +156,20 @@ def test_packed_calls(spark, kind):
     got = {r.k: bytes(r.raw) for r in packed.packed_calls(cells, spark.range(9).withColumnRenamed("id", "k"), 203, kind).collect()}
     g[4] = 3
     assert got == {i: plain_row(g[i], packed.row_bytes(kind, 203), kind == "BED") for i in range(9)}
+
+
+def test_missing_calls_cost_little(spark, tmp_path):
+    """A wide dataset of few calls: small on disk, turned by its calls, and plain again as one file."""
+    g = np.full((300, 40_001), 3, dtype=np.uint8)
+    rng = np.random.default_rng(4)
+    g[rng.integers(0, 300, 900), rng.integers(0, 40_001, 900)] = rng.integers(0, 3, 900)
+    g[7] = 3
+    (tmp_path / "x.geno").write_bytes(plain := plain_file(g, "GENO"))
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).iterdir())
+    packed.write(packed.transposed(packed.read(spark, str(tmp_path / "x.geno")), 300, 40_001, packed.row_bytes("TGENO", 300)), str(tmp_path / "t"), "TGENO", 40_001, 300, ("ab", "cd"), dealt=True)
+    packed.write(packed.transposed(packed.read(spark, str(tmp_path / "t")), 40_001, 300, packed.row_bytes("GENO", 40_001)), str(tmp_path / "b"), "GENO", 40_001, 300, ("ab", "cd"), dealt=True)
+    packed.single_file(str(tmp_path / "b"), str(tmp_path / "one"))
+    assert (tmp_path / "one").read_bytes() == plain
+    assert size("t") < 100_000 and size("b") < 100_000 < len(plain)
+    got = {(r.m, r.s): r.g for r in packed.calls(packed.read(spark, str(tmp_path / "t"), [0, 17, 40_000]), "TGENO", 300).collect()}
+    assert got == {(i, j): int(g[i, j]) for i in range(300) for j in (0, 17, 40_000) if g[i, j] < 3}
