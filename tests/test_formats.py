@@ -144,3 +144,11 @@ def test_positions_known_to_be_morgans_stay(spark, tmp_path):
     (tmp_path / "far.snp").write_text("rs1 1 0.01 1000 A C\nrs2 2 240.5 2000 G T\n")
     read = lambda **k: [r.genpos for r in formats.read_snp(spark, str(tmp_path / "far.snp"), **k).orderBy("ord").collect()]
     assert read(morgans=True) == [0.01, 240.5] and read() == pytest.approx([0.0001, 2.405])
+
+
+def test_lines_of_few_calls_take_little_room(spark, tmp_path):
+    marker, sample = (spark.range(n).selectExpr(f"id as {c}", "id as ord") for n, c in ((200, "snp"), (20_000, "sample")))
+    calls = spark.range(400).selectExpr("id % 190 as snp", "id * 7919 % 20000 as sample", "id % 3 as g")
+    formats.write_eigenstrat(calls, marker, sample, str(tmp_path / "x"))
+    assert sum(f.stat().st_size for f in (tmp_path / "x").iterdir()) < 200_000
+    assert sorted(formats.read_eigenstrat(spark, str(tmp_path / "x"), marker, sample).collect()) == sorted(calls.collect())
