@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelica.functions import two_locus
@@ -24,17 +24,18 @@ def marker_pairs(marker: DataFrame, most: int) -> DataFrame:
     return pairs.select("snp1", "snp2", "chrom", (F.col("g2") - F.col("g1")).alias("distance"))
 
 
-def pair_tables(genotype: DataFrame, marker: DataFrame, most: int) -> DataFrame:
+def pair_tables(genotype: DataFrame, marker: DataFrame, most: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """snp1, snp2, chrom, distance, n and the sums x, y, xx, yy, xy of the calls over common samples, of markers of a
-    chromosome with 0 < distance < ``most``; from the nine counts of packed tiles."""
-    return table_sums(tiles.pair_cells(genotype, marker, most))
+    chromosome with 0 < distance < ``most``; from the nine counts of packed tiles. ``carry`` as in ``pair_cells``."""
+    return table_sums(tiles.pair_cells(genotype, marker, most, carry=carry), carry=carry)
 
 
-def table_sums(cells: DataFrame, name: str = "cells0") -> DataFrame:
+def table_sums(cells: DataFrame, name: str = "cells0", carry: tuple[str, ...] = ()) -> DataFrame:
     """n, x, y, xx, yy, xy of the nine counts in ``name``."""
     total = lambda weight: sum((weight(k // 3, k % 3) * F.col(name)[k] for k in range(9) if weight(k // 3, k % 3)), F.lit(0).cast("bigint"))
     sums = {"n": lambda g, h: 1, "x": lambda g, h: g, "y": lambda g, h: h, "xx": lambda g, h: g * g, "yy": lambda g, h: h * h, "xy": lambda g, h: g * h}
-    return cells.select("snp1", "snp2", "chrom", "distance", *[total(w).alias(c) for c, w in sums.items()]).where("n > 0")
+    held = [f"{c}{k}" for c in carry for k in (1, 2)]
+    return cells.select("snp1", "snp2", "chrom", "distance", *held, *[total(w).alias(c) for c, w in sums.items()]).where("n > 0")
 
 
 def _moments() -> tuple[Column, ...]:
@@ -48,14 +49,26 @@ def r_squared(tables: DataFrame) -> DataFrame:
     return tables.withColumn("r2", F.when(var > 0, cov * cov / var))
 
 
-def decay(tables: DataFrame, weights: DataFrame, bin_size: int) -> DataFrame:
+def frequency_difference(moments: DataFrame, one, two) -> DataFrame:
+    """snp, weight: the difference of two populations' reference frequencies, of markers that have both."""
+    of = lambda pop: F.max(F.when(F.col("pop") == pop, F.col("p")))
+    both = moments.where(F.col("pop").isin(one, two)).groupBy("snp").agg(of(one).alias("a"), of(two).alias("b"))
+    return both.select("snp", (F.col("a") - F.col("b")).alias("weight")).where("weight is not null")
+
+
+def decay_sums(tables: DataFrame, bin_size: int) -> DataFrame:
+    """chrom, bin, pairs and the sums lw, ww, ll of the pairs' covariances and of the products of their markers' weights
+    (weight1, weight2): a row for each chromosome and bin, added up where the pairs are."""
+    rows = tables.where("n >= 4 and weight1 is not null and weight2 is not null")
+    rows = rows.select("chrom", F.floor(F.col("distance") / bin_size).alias("bin"), ((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1)).alias("ld"), (F.col("weight1") * F.col("weight2")).alias("w"))
+    return rows.groupBy("chrom", "bin").agg(F.count("*").alias("pairs"), F.sum(F.col("ld") * F.col("w")).alias("lw"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("ld") * F.col("ld")).alias("ll"))
+
+
+def decay(sums: DataFrame) -> DataFrame:
     """bin, pairs, regression, correlation: pairs' covariances against the product of their weights
-    (reference frequency differences), with uncentred sums per distance bin."""
-    w = weights.select("snp", "weight")
-    rows = tables.where("n >= 4").join(w.select(F.col("snp").alias("snp1"), F.col("weight").alias("w1")), "snp1").join(w.select(F.col("snp").alias("snp2"), F.col("weight").alias("w2")), "snp2")
-    rows = rows.withColumns({"ld": (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1), "w": F.col("w1") * F.col("w2"), "bin": F.floor(F.col("distance") / bin_size)})
-    sums = rows.groupBy("bin").agg(F.count("*").alias("pairs"), F.sum(F.col("ld") * F.col("w")).alias("lw"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("ld") * F.col("ld")).alias("ll"))
-    return sums.select("bin", "pairs", F.try_divide("lw", "ww").alias("regression"), F.try_divide(F.col("lw"), F.sqrt(F.col("ww") * F.col("ll"))).alias("correlation"))
+    (reference frequency differences), with uncentred sums per distance bin, from ``decay_sums``."""
+    own = sums.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("pairs", "lw", "ww", "ll")])
+    return own.select("bin", "pairs", F.try_divide("lw", "ww").alias("regression"), F.try_divide(F.col("lw"), F.sqrt(F.col("ww") * F.col("ll"))).alias("correlation"))
 
 
 def chi_square(tables: DataFrame) -> DataFrame:
@@ -64,18 +77,17 @@ def chi_square(tables: DataFrame) -> DataFrame:
     return tables.withColumn("chi2", F.when(var > 0, n * (cov * cov) / var))
 
 
-def decay_without_each(tables: DataFrame, weights: DataFrame, bin_size: int) -> DataFrame:
-    """chrom, bin, pairs, regression: the decay table with each chromosome left out, by subtraction from the whole
-    sums; what a jackknife of the date over chromosomes fits."""
-    w = weights.select("snp", "weight")
-    rows = tables.where("n >= 4").join(w.select(F.col("snp").alias("snp1"), F.col("weight").alias("w1")), "snp1").join(w.select(F.col("snp").alias("snp2"), F.col("weight").alias("w2")), "snp2")
-    rows = rows.withColumns({"ld": (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1), "w": F.col("w1") * F.col("w2"), "bin": F.floor(F.col("distance") / bin_size)})
-    own = rows.groupBy("bin", "chrom").agg(F.count("*").alias("k"), F.sum(F.col("ld") * F.col("w")).alias("lw"), F.sum(F.col("w") * F.col("w")).alias("ww"))
-    # The sums are a row for each bin and chromosome.
-    whole = own.groupBy("bin").agg(*[F.sum(c).alias(f"all_{c}") for c in ("k", "lw", "ww")])
-    grid = whole.join(F.broadcast(own.select("chrom").distinct()), F.lit(True)).join(own, ["bin", "chrom"], "left")
-    less = lambda c: F.col(f"all_{c}") - F.coalesce(c, F.lit(0))
-    return grid.select("chrom", "bin", less("k").alias("pairs"), F.try_divide(less("lw"), less("ww")).alias("regression")).where("pairs > 0")
+def decay_without_each(sums: DataFrame) -> DataFrame:
+    """chrom, bin, pairs, regression: the decay table with each chromosome left out, the sums (``decay_sums``) of all
+    others; what a jackknife of the date over chromosomes fits. The sums are read once, so pairs are
+    counted once."""
+    # A row for each bin and chromosome: every row gets the list of chromosomes, and a bin those that lack it too.
+    listed = sums.withColumn("every", F.collect_set("chrom").over(Window.partitionBy()))
+    grid = listed.groupBy("bin").agg(F.collect_list(F.struct("chrom", "pairs", "lw", "ww")).alias("own"), F.first("every").alias("every"))
+    grid = grid.select("bin", "own", F.explode("every").alias("chrom"))
+    rest = grid.select("chrom", "bin", F.filter("own", lambda x: x["chrom"] != F.col("chrom")).alias("rest")).where(F.size("rest") > 0)
+    total = lambda c, zero: F.aggregate(F.col(f"rest.{c}"), zero, lambda a, x: a + x)
+    return rest.select("chrom", "bin", total("pairs", F.lit(0).cast("bigint")).alias("pairs"), F.try_divide(total("lw", F.lit(0.0)), total("ww", F.lit(0.0))).alias("regression"))
 
 
 def _per_table(pairs: DataFrame, names: list[str], found: list[str], run) -> DataFrame:
@@ -111,10 +123,11 @@ def _minor(name: str, first: bool) -> Column:
 
 
 def score_decay(
-    pairs: DataFrame, weights: DataFrame, bin_size: int, least: int = 5, parents: tuple[int, ...] = (), most_linked: float = 6.0, parent_calls: int = 10
+    pairs: DataFrame, weights: DataFrame | None, bin_size: int, least: int = 5, parents: tuple[int, ...] = (), most_linked: float = 6.0, parent_calls: int = 10
 ) -> DataFrame:
     """bin, pairs, z, regression, correlation: the pairs' linkage z in the first group against the product of their
-    markers' weights, by bins of the distance. ``z`` is sum(wz) over the root of sum(ww).
+    markers' weights, by bins of the distance. ``z`` is sum(wz) over the root of sum(ww). Without ``weights`` (snp,
+    weight) the pairs carry weight1 and weight2, and none of them is shuffled.
 
     Pairs need four samples with both calls and ``least`` copies of the rarer allele at both markers. Where ``parents``
     are given, a pair also needs ``parent_calls`` samples with both calls in each of these groups, and a likelihood
@@ -125,13 +138,13 @@ def score_decay(
     use = pairs.where((count(0) >= 4) & (_minor("cells0", True) >= least) & (_minor("cells0", False) >= least))
     for k in parents:
         use = use.where(count(k) >= parent_calls)
-    w = weights.where("weight <> 0").select("snp", "weight")
-    for k in (1, 2):
-        use = use.join(w.select(F.col("snp").alias(f"snp{k}"), F.col("weight").alias(f"w{k}")), f"snp{k}")
+    for k in (1, 2) if weights is not None else ():
+        use = use.join(weights.select(F.col("snp").alias(f"snp{k}"), F.col("weight").alias(f"weight{k}")), f"snp{k}")
+    use = use.where("weight1 <> 0 and weight2 <> 0")
     for k in parents:
         found = linkage_em(use, k)
         use = found.where(F.coalesce("ratio", F.lit(-1.0)) < most_linked).select(*use.columns)
-    rows = linkage_em(use).select(F.floor(F.col("distance") / bin_size).alias("bin"), "z", (F.col("w1") * F.col("w2")).alias("w"))
+    rows = linkage_em(use).select(F.floor(F.col("distance") / bin_size).alias("bin"), "z", (F.col("weight1") * F.col("weight2")).alias("w"))
     sums = rows.groupBy("bin").agg(F.count("*").alias("pairs"), F.sum(F.col("w") * F.col("z")).alias("wz"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("z") * F.col("z")).alias("zz"))
     return sums.select(
         "bin", "pairs", (F.col("wz") / F.sqrt("ww")).alias("z"), (F.col("wz") / F.col("ww")).alias("regression"), F.try_divide(F.col("wz"), F.sqrt(F.col("ww") * F.col("zz"))).alias("correlation")

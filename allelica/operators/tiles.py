@@ -137,9 +137,10 @@ def three(c: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> list[np.ndarray]:
     return [c & ~p1 & ~p2, p1, p2]
 
 
-def pair_cells(genotype: DataFrame, marker: DataFrame, most: int, sample: DataFrame | None = None, tile: int = 128) -> DataFrame:
-    """snp1, snp2, chrom, distance and an array ``cells{k}`` of nine counts for each group of ``sample``, for markers of
-    a chromosome with 0 < distance < ``most`` in genpos and a sample with both calls.
+def pair_cells(genotype: DataFrame, marker: DataFrame, most: int, sample: DataFrame | None = None, tile: int = 128, carry: tuple[str, ...] = ()) -> DataFrame:
+    """snp1, snp2, chrom, distance, the markers' columns ``carry`` (as name1 and name2) and an array ``cells{k}`` of nine
+    counts for each group of ``sample``, for markers of a chromosome with 0 < distance < ``most`` in genpos and a sample
+    with both calls. What pairs need of their markers comes with these, so that no pair has to be joined to them.
 
     Markers are dealt to buckets as wide as the band, those of a crowded bucket to several tiles of about ``tile``
     markers by hash. A marker's words go to every pair of tiles that it may have partners in: its bucket's and those
@@ -148,7 +149,7 @@ def pair_cells(genotype: DataFrame, marker: DataFrame, most: int, sample: DataFr
     """
     held, ranges = planes(genotype, sample)
     kind, far = dict(genotype.dtypes)["snp"], dict(marker.dtypes)["genpos"]
-    place = marker.select("snp", "chrom", "genpos", F.floor(F.col("genpos") / most).cast("bigint").alias("bucket"))
+    place = marker.select("snp", "chrom", "genpos", *carry, F.floor(F.col("genpos") / most).cast("bigint").alias("bucket"))
     # A row for each bucket of the genome.
     parts = place.groupBy("chrom", "bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     at = lambda d, name: parts.select("chrom", (F.col("bucket") - d).alias("bucket"), F.col("parts").alias(name))
@@ -163,8 +164,9 @@ def pair_cells(genotype: DataFrame, marker: DataFrame, most: int, sample: DataFr
         F.transform(every(zero, "after"), lambda q: pair(b, own, 1, q, 0)),
         F.transform(every(zero, "before"), lambda p: pair(b - 1, p, 1, own, 1)),
     )
-    sent = rows.select("snp", "chrom", "genpos", F.explode(meets).alias("t")).join(held, "snp").select("snp", "chrom", "genpos", "t.*", "w")
-    fields = [("snp1", kind), ("snp2", kind), ("chrom", dict(marker.dtypes)["chrom"]), ("distance", far), *[(f"cells{k}", "array<bigint>") for k in range(len(ranges))]]
+    sent = rows.select("snp", "chrom", "genpos", *carry, F.explode(meets).alias("t")).join(held, "snp").select("snp", "chrom", "genpos", *carry, "t.*", "w")
+    with_pair = [(f"{c}{k}", dict(marker.dtypes)[c]) for c in carry for k in (1, 2)]
+    fields = [("snp1", kind), ("snp2", kind), ("chrom", dict(marker.dtypes)["chrom"]), ("distance", far), *with_pair, *[(f"cells{k}", "array<bigint>") for k in range(len(ranges))]]
 
     def count(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -182,10 +184,13 @@ def pair_cells(genotype: DataFrame, marker: DataFrame, most: int, sample: DataFr
         i, j, found = i[keep], j[keep], [f[keep] for f in found]
         back = span[i, j] < 0
         turned = [np.where(back[:, None], f.reshape(-1, 3, 3).transpose(0, 2, 1).reshape(-1, 9), f) for f in found]
-        names = [t["snp"].combine_chunks() for t in tiles]
-        one, two = names[0].take(pa.array(i)), names[1].take(pa.array(j))
         swap = pa.array(back)
-        columns = [pa.compute.if_else(swap, two, one), pa.compute.if_else(swap, one, two), pa.array([table["chrom"][0].as_py()] * len(i), table["chrom"].type), pa.array(np.abs(span[i, j]), table["genpos"].type)]
+
+        def ends(name: str) -> list[pa.Array]:
+            one, two = (t[name].combine_chunks().take(pa.array(k)) for t, k in zip(tiles, (i, j), strict=True))
+            return [pa.compute.if_else(swap, two, one), pa.compute.if_else(swap, one, two)]
+
+        columns = [*ends("snp"), pa.array([table["chrom"][0].as_py()] * len(i), table["chrom"].type), pa.array(np.abs(span[i, j]), table["genpos"].type), *[e for c in carry for e in ends(c)]]
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, 9 * len(i) + 1, 9, dtype=np.int32)), pa.array(t.ravel())) for t in turned]
         return pa.table([*columns, *lists], [f for f, _ in fields])
 

@@ -70,10 +70,9 @@ def rolloff_z(spark, sf_dir):
     d = adapter.load(spark, sf_dir)
     groups = d.sample.select("sample", F.when(F.col("pop") == 1, 1).when(F.col("pop") == 2, 2).otherwise(0).alias("grp"))
     m = counts.moments(counts.allele_counts(d.genotype, d.sample))
-    one, two = m.where("pop = 1").select("snp", F.col("p").alias("p1")), m.where("pop = 2").select("snp", F.col("p").alias("p2"))
-    weights = one.join(two, "snp").select("snp", (F.col("p1") - F.col("p2")).alias("weight"))
-    pairs = tiles.pair_cells(d.genotype, d.marker, BAND, groups)
-    out = linkage.score_decay(pairs, weights, 100_000, _LEAST, (1, 2), _LINKED, _PARENT_CALLS)
+    weighted = d.marker.join(linkage.frequency_difference(m, 1, 2), "snp")
+    pairs = tiles.pair_cells(d.genotype, weighted.where("weight <> 0"), BAND, groups, carry=("weight",))
+    out = linkage.score_decay(pairs, None, 100_000, _LEAST, (1, 2), _LINKED, _PARENT_CALLS)
     return out.select("bin", "pairs", *[(F.round(c, 4) + 0.0).alias(c) for c in ("z", "regression", "correlation")])
 
 

@@ -88,11 +88,11 @@ def decay_dates(spark, sf_dir):
     """left_out (null: none), generations, and the error of the whole from dates without each chromosome."""
     d = adapter.load(spark, sf_dir)
     m = counts.moments(counts.allele_counts(d.genotype, d.sample))
-    one, two = (m.where(f"pop = {k}").select("snp", F.col("p").alias(f"p{k}")) for k in (1, 2))
-    weights = one.join(two, "snp").select("snp", (F.col("p1") - F.col("p2")).alias("weight"))
-    tables = linkage.pair_tables(d.genotype, d.marker, BAND)
-    own = linkage.decay_without_each(tables, weights, 100_000).toPandas()
+    weighted = d.marker.join(linkage.frequency_difference(m, 1, 2), "snp")
+    found = linkage.decay_sums(linkage.pair_tables(d.genotype, weighted, BAND, ("weight",)), 100_000)
+    # A row for each bin and chromosome, from one count of the pairs.
+    sums = spark.createDataFrame(found.collect(), found.schema)
+    own, whole = linkage.decay_without_each(sums).toPandas(), linkage.decay(sums).toPandas()
     sizes = d.marker.groupBy("chrom").count().toPandas().set_index("chrom")["count"]
-    whole = linkage.decay(tables, weights, 100_000).toPandas()
     rows, se = numeric.dates(whole, own, sizes, 100_000 * 1e-7)
     return spark.createDataFrame([(k, v, se) for k, v in rows], "left_out bigint, generations double, se double")

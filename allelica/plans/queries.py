@@ -339,10 +339,9 @@ SELECT bin, COUNT(*) AS pairs, ROUND(SUM(ld * w) / SUM(w * w), 6) AS regression,
 def ld_bin_decay(spark, sf_dir):
     d = adapter.load(spark, sf_dir)
     m = counts.moments(counts.allele_counts(d.genotype, d.sample))
-    one, two = m.where("pop = 1").select("snp", F.col("p").alias("p1")), m.where("pop = 2").select("snp", F.col("p").alias("p2"))
-    weights = one.join(two, "snp").select("snp", (F.col("p1") - F.col("p2")).alias("weight"))
-    tables = linkage.pair_tables(d.genotype, d.marker, BAND)
-    return rounded(linkage.decay(tables, weights, 100_000), "regression", "correlation")
+    weighted = d.marker.join(linkage.frequency_difference(m, 1, 2), "snp")
+    tables = linkage.pair_tables(d.genotype, weighted, BAND, ("weight",))
+    return rounded(linkage.decay(linkage.decay_sums(tables, 100_000)), "regression", "correlation")
 
 
 @query(o.ADAPTER + """SELECT x.sample AS a, y.sample AS b, COUNT(*) AS shared, COUNT(*) FILTER (x.g = y.g) AS same FROM genotype x JOIN genotype y ON x.snp = y.snp AND x.sample < y.sample

@@ -143,10 +143,9 @@ SELECT c.chrom, bin, COUNT(*) AS pairs, ROUND(SUM(ld * w) / SUM(w * w), 6) AS re
 def decay_without_each(spark, sf_dir):
     d = adapter.load(spark, sf_dir)
     m = counts.moments(counts.allele_counts(d.genotype, d.sample))
-    one, two = m.where("pop = 1").select("snp", F.col("p").alias("p1")), m.where("pop = 2").select("snp", F.col("p").alias("p2"))
-    weights = one.join(two, "snp").select("snp", (F.col("p1") - F.col("p2")).alias("weight"))
-    tables = linkage.pair_tables(d.genotype, d.marker, BAND)
-    return rounded(linkage.decay_without_each(tables, weights, 100_000), "regression")
+    weighted = d.marker.join(linkage.frequency_difference(m, 1, 2), "snp")
+    tables = linkage.pair_tables(d.genotype, weighted, BAND, ("weight",))
+    return rounded(linkage.decay_without_each(linkage.decay_sums(tables, 100_000)), "regression")
 
 
 @query(o.ADAPTER + o.pairs(500_000) + """, linked AS (SELECT * FROM tables WHERE (n * xx - x * x) * (n * yy - y * y) > 0 AND POW(n * xy - x * y, 2) / CAST((n * xx - x * x) * (n * yy - y * y) AS DOUBLE) >= 0.2),

@@ -179,3 +179,45 @@ def test_batches_of_full_markers_are_packed_in_parts(spark, monkeypatch):
             r, bit = x.get(k // 16), k % 16
             have = [bool(r is not None and r[c] >> bit & 1) for c in tiles.PLANES]
             assert have == [g[m][s] >= 0, g[m][s] == 1, g[m][s] == 2]
+
+
+def test_columns_of_markers_come_with_their_pairs(spark):
+    """Also where the second tile's marker stands first, and null columns stay null."""
+    g, df = sparse(spark, samples=20, snps=12)
+    marker = spark.createDataFrame([(k, 1, 7 * k % 40, None if k == 3 else k / 2) for k in range(len(g))], "snp bigint, chrom bigint, genpos bigint, weight double")
+    rows = tiles.pair_cells(df, marker, 25, tile=2, carry=("weight",)).collect()
+    assert len(rows) > 30 and any(r.snp1 > r.snp2 for r in rows)
+    for r in rows:
+        assert [r.weight1, r.weight2] == [None if s == 3 else s / 2 for s in (r.snp1, r.snp2)]
+
+
+def test_decay_counts_its_pairs_once(spark):
+    """A chromosome that lacks a bin, a plain jackknife table, and one count of the tiles in the plan."""
+    g, df = sparse(spark, samples=40, snps=24)
+    place = [10 * (k // 2) if k % 2 else 12 * (k // 2) for k in range(len(g))]
+    last = max(p for k, p in enumerate(place) if k % 2 == 0)
+    w = [None if k == 4 else (k % 5 - 2.5) / 3 for k in range(len(g))]
+    marker = spark.createDataFrame([(k, 1 + k % 2, place[k], w[k]) for k in range(len(g))], "snp bigint, chrom bigint, genpos bigint, weight double")
+    sums = linkage.decay_sums(linkage.pair_tables(df, marker, 12 * 12, ("weight",)), 10)
+    rows = {}
+    for i, j in itertools.product(range(len(g)), repeat=2):
+        both = (g[i] >= 0) & (g[j] >= 0)
+        if i % 2 == j % 2 and place[j] > place[i] and both.sum() >= 4 and w[i] is not None and w[j] is not None:
+            rows.setdefault((place[j] - place[i]) // 10, []).append((1 + i % 2, np.cov(g[i][both], g[j][both])[0, 1], w[i] * w[j]))
+    want = {}
+    for b, found in rows.items():
+        for c in (1, 2):
+            kept = [(x, y) for chrom, x, y in found if chrom != c]
+            if kept:
+                want[c, b] = (len(kept), sum(x * y for x, y in kept), sum(y * y for _, y in kept))
+    out = linkage.decay_without_each(sums)
+    got = {(r.chrom, r.bin): r for r in out.collect()}
+    assert set(got) == set(want) and any(len({c for c, *_ in f}) == 1 for f in rows.values()) and last > 110
+    for k, (pairs, lw, ww) in want.items():
+        assert got[k].pairs == pairs and got[k].regression == (None if ww == 0 else pytest.approx(lw / ww))
+    whole = {r.bin: r for r in linkage.decay(sums).collect()}
+    for b, found in rows.items():
+        x, y = np.array([f[1] for f in found]), np.array([f[2] for f in found])
+        assert whole[b].pairs == len(found) and whole[b].regression == pytest.approx((x * y).sum() / (y * y).sum())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
