@@ -60,8 +60,10 @@ def to_diploid(genotype: DataFrame) -> DataFrame:
     """Pairs of haploid samples NAME:A and NAME:B (calls 0 or 2) become one diploid sample NAME; both must be called."""
     stem, side = F.regexp_extract("sample", "^(.*):[AB]$", 1), F.regexp_extract("sample", ":([AB])$", 1)
     pairs = genotype.withColumns({"stem": stem, "side": side}).where("side <> ''")
-    both = pairs.groupBy("snp", "stem").agg((F.sum("g") / 2).cast("bigint").alias("g"), F.count_distinct("side").alias("k"))
-    return both.where("k = 2").select("snp", F.col("stem").alias("sample"), "g")
+    has = lambda side: F.bool_or(F.col("side") == side)
+    # One aggregate with buffers of numbers: distinct sides would be grouped three times over, by strings.
+    both = pairs.groupBy("snp", "stem").agg((F.sum("g") / 2).cast("bigint").alias("g"), (has("A") & has("B")).alias("both"))
+    return both.where("both").select("snp", F.col("stem").alias("sample"), "g")
 
 
 def to_haploid(genotype: DataFrame, seed: int = 0) -> DataFrame:
