@@ -221,3 +221,41 @@ def test_decay_counts_its_pairs_once(spark):
         assert whole[b].pairs == len(found) and whole[b].regression == pytest.approx((x * y).sum() / (y * y).sum())
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+@pytest.mark.parametrize("meets, dense", [(1, 0), (7, 0), (0, 10**9)])
+def test_calls_that_meet_and_products_count_alike(spark, monkeypatch, meets, dense):
+    """Pieces of a few meetings, and products alone, also of several pieces of rows."""
+    g, df = sparse(spark, samples=40, snps=30)
+    at = [int(v) for v in np.random.default_rng(3).integers(0, 200, len(g))]
+    marker = spark.createDataFrame([(k, 1, at[k] / 8) for k in range(len(g))], "snp bigint, chrom bigint, genpos double")
+    sample = spark.createDataFrame([(s, s % 2) for s in range(40)], "sample bigint, grp int")
+    for name, v in (("MEETS", meets), ("DENSE", dense), ("ROWS", 8)):
+        monkeypatch.setattr(tiles, name, v)
+    held, ranges = tiles.planes(df, sample)
+    rows = held.orderBy("snp").toArrow()
+    w, pos = rows["w"].combine_chunks(), np.array([at[k] / 8 for k in rows["snp"].to_pylist()])
+    for same, few in ((True, slice(0, 30)), (False, slice(0, 11))):
+        x, gx = w.take(list(range(30))[few]), pos[few]
+        y, gy = (x, gx) if same else (w.take(list(range(11, 30))), pos[11:])
+        by_calls = tiles.cells_by_calls(x, y, gx, gy, 4, same, ranges)
+        if dense:
+            assert by_calls is None
+            by_calls = tiles.cells_by_products(x, y, gx, gy, 4, same, ranges)
+        names = rows["snp"].to_pylist()
+        other = names if same else names[11:]
+        got = {(names[few][i], other[j]): c.tolist() for i, j, c in zip(*by_calls, strict=True)}
+        near = [(a, b) for a in names[few] for b in other if abs(at[a] - at[b]) < 32 and (at[b] > at[a] if same else at[a] != at[b])]
+        want = {p: [plain_cells(g, [s % 2 for s in range(40)], k, *p) for k in (0, 1)] for p in near}
+        assert got == {p: c for p, c in want.items() if any(map(sum, c))} and len(got) > 20
+
+
+def test_pairs_over_the_edges_of_wide_buckets(spark):
+    """Buckets of many bands: only markers within the band of a neighbour are sent there."""
+    rows = [(k, 3 * k % 17, 1) for k in range(400)] + [(k, 40 + k % 5, 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "snp bigint, sample bigint, g bigint")
+    marker = spark.createDataFrame([(k, 1, 10 * k) for k in range(400)], "snp bigint, chrom bigint, genpos bigint")
+    out = tiles.pair_cells(df, marker, 25, tile=100)
+    assert out.where("distance <= 20").count() == out.count()
+    plain = {(a, b) for a in range(400) for b in range(a + 1, min(a + 3, 400)) if {3 * a % 17, 40 + a % 5} & {3 * b % 17, 40 + b % 5}}
+    assert {(r.snp1, r.snp2) for r in out.select("snp1", "snp2").collect()} == plain
