@@ -86,20 +86,30 @@ def _named(cells: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
     return rows.join(use.select(F.col("ord").alias("s"), "sample"), "s").select("snp", "sample", F.col("g").cast("bigint").alias("g"))
 
 
+#: Digits of a piece of an EIGENSTRAT line.
+PIECE = 1024
+
+
 def read_eigenstrat(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame) -> DataFrame:
-    """A line per marker, a digit per sample, 9 missing; a line that begins with X is all missing."""
+    """A line per marker, a digit per sample, 9 missing; a line that begins with X is all missing.
+
+    Lines are cut into pieces, and those of missing calls alone are left out, so that what a task holds does not grow
+    with the samples."""
     lines = _lines(spark, path).where(~F.col("line").startswith("X"))
+    digits = F.trim("line").cast("binary")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("digits") - 1) / PIECE).cast("int")), lambda k: F.substring(F.col("digits"), k * PIECE + 1, F.lit(PIECE)))
+    pieces = lines.select(F.col("ord").alias("m"), digits.alias("digits")).select("m", F.posexplode(cut).alias("k", "piece")).where(F.col("piece") != F.lit(b"9" * PIECE))
 
     def run(batches):
         for b in batches:
-            line, m = b.column("line"), b.column("m").to_numpy()
-            ends = np.frombuffer(line.buffers()[1], dtype=np.int32)[line.offset : line.offset + len(line) + 1]
-            digits = np.frombuffer(line.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] - 48 if ends[-1] > ends[0] else np.zeros(0, dtype=np.uint8)
+            piece, m, k = b.column("piece"), b.column("m").to_numpy(), b.column("k").to_numpy()
+            ends = np.frombuffer(piece.buffers()[1], dtype=np.int32)[piece.offset : piece.offset + len(piece) + 1]
+            digits = np.frombuffer(piece.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] - 48 if ends[-1] > ends[0] else np.zeros(0, dtype=np.uint8)
             at = np.flatnonzero(digits < 3)
             row = np.searchsorted(ends - ends[0], at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(m[row]), pa.array(at - (ends - ends[0])[row]), pa.array(digits[at].astype(np.int32))], ["m", "s", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(m[row]), pa.array(at - (ends - ends[0])[row] + k[row].astype(np.int64) * PIECE), pa.array(digits[at].astype(np.int32))], ["m", "s", "g"])
 
-    cells = lines.select(F.col("ord").alias("m"), F.trim("line").alias("line")).mapInArrow(run, "m bigint, s bigint, g int")
+    cells = pieces.mapInArrow(run, "m bigint, s bigint, g int")
     return _named(cells, marker, sample)
 
 

@@ -152,3 +152,15 @@ def test_lines_of_few_calls_take_little_room(spark, tmp_path):
     formats.write_eigenstrat(calls, marker, sample, str(tmp_path / "x"))
     assert sum(f.stat().st_size for f in (tmp_path / "x").iterdir()) < 200_000
     assert sorted(formats.read_eigenstrat(spark, str(tmp_path / "x"), marker, sample).collect()) == sorted(calls.collect())
+
+
+def test_long_lines_reach_tasks_in_pieces(spark, tmp_path, monkeypatch):
+    """Pieces of missing calls alone are left out, so a task holds a bounded part of a line, and places stay right."""
+    monkeypatch.setattr(formats, "PIECE", 8)
+    calls = [(0, 0, 2), (0, 7, 0), (0, 8, 1), (1, 40, 1), (3, 16, 0), (3, 41, 2)]
+    for k, line in enumerate(["".join({(m, s): str(g) for m, s, g in calls}.get((m, s), "9") for s in range(42)) for m in range(4)]):
+        (tmp_path / f"part-{k}").write_text(line + "\n")
+    marker = spark.createDataFrame([(m, m) for m in range(4)], "snp bigint, ord bigint")
+    sample = spark.createDataFrame([(s, s) for s in range(42)], "sample bigint, ord bigint")
+    got = formats.read_eigenstrat(spark, str(tmp_path), marker, sample)
+    assert sorted(tuple(r) for r in got.collect()) == calls
