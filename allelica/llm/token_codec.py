@@ -12,6 +12,7 @@ length. The driver handles one count for each id of the vocabulary and one sum f
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -95,23 +96,42 @@ class Encoder:
         return np.array(ids, dtype=self.width).tobytes()
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode the words of new pieces, 2000 to a call, and cut the ids at the line feeds between them."""
-        known, size = self.known, np.dtype(self.width).itemsize
-        words = set()
-        for p in pieces:
+        """Encode the words of new pieces, those in a line and those that begin one, 2000 to a call."""
+        inside, leading = set(), set()
+        for p in set(pieces):
             if p[0] != "\n":
                 w = p.rstrip(MARKS)
-                words.add(w if w.isalpha() else p)
-        fresh, feed = list(words.difference(known)), np.frombuffer(self.feed, dtype=self.width)
-        for at in range(0, len(fresh) if len(feed) == 1 else 0, 2000):
-            part = fresh[at : at + 2000]
-            raw = self.library(" " + "\n ".join(part))
+                inside.add(w if w.isalpha() else p)
+            elif len(p) > 1:
+                leading.add(p)
+        self.known.update(self.cut(list(inside.difference(self.known)), " ", "\n "))
+        firsts = list(leading)
+        self.known.update((p, self.feed + ids) for p, ids in self.cut(firsts, "", "", skip=1))
+
+    def cut(self, words: list[str], before: str, between: str, skip: int = 0) -> list[tuple[str, bytes]]:
+        """The words with their ids: they are encoded in a row, each behind a line feed (that is the word's own first
+        character where ``skip`` is 1), and the ids are cut at these. Words that cannot be told apart so are left out."""
+        feed, size, out = np.frombuffer(self.feed, dtype=self.width), np.dtype(self.width).itemsize, []
+        for at in range(0, len(words) if len(feed) == 1 else 0, 2000):
+            part = words[at : at + 2000]
+            raw = self.library((before + between.join(part))[skip:])
             cuts = np.flatnonzero(np.frombuffer(raw, dtype=self.width) == feed[0])
             if len(cuts) == len(part) - 1:  # else the pieces are encoded one by one when asked for
                 starts, ends = [0, *(size * (cuts + 1)).tolist()], [*(size * cuts).tolist(), len(raw)]
-                known.update(zip(part, [raw[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
+                out += zip(part, [raw[x:y] for x, y in zip(starts, ends, strict=True)], strict=True)
+        return out
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        # Nothing here makes cycles, and every collection would walk through all the remembered pieces.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts, end)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None], end: int) -> list[bytes]:
         tail, skip = np.array([end], dtype=self.width).tobytes(), len(self.feed)
         if len(self.known) > MEMORY:
             self.known = Pieces(self.library, self.feed)
@@ -125,15 +145,16 @@ class Encoder:
                 continue
             pieces = ("\n" + t).replace("\n", " \n").split(" ")[1:]
             ids = list(map(known.get, pieces))
-            if missing := [i for i, x in enumerate(ids) if x is None]:
-                missing = [(i, pieces[i]) for i in missing]
-                new += [p for _, p in missing]
-                open_.append((k, ids, missing))
+            if None in ids:
+                missing = [i for i, x in enumerate(ids) if x is None]
+                names = [pieces[i] for i in missing]
+                new += names
+                open_.append((k, ids, missing, names))
             else:
                 out[k] = b"".join(ids)[skip:] + tail
         self.learn(new)
-        for k, ids, missing in open_:
-            for i, p in missing:
+        for k, ids, missing, names in open_:
+            for i, p in zip(missing, names, strict=True):
                 ids[i] = known[p]
             out[k] = b"".join(ids)[skip:] + tail
         return out
