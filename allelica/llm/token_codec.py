@@ -79,7 +79,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 65_536 else np.uint32
@@ -88,33 +88,55 @@ class Encoder:
         split = made["pre_tokenizer"] or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"]
         self.piecewise = bool(plain and made["normalizer"] is None and made["model"]["type"] == "BPE")
+        # For words of letters alone, which are one word to the tokenizer with the space before them: it need not search them.
+        self.lines = Tokenizer.from_file(path)
+        if self.piecewise:
+            cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), cut])
         self.feed = self.library("\n")
         self.known = Pieces(self.library, self.feed)
 
+    def letters(self, text: str) -> bytes:
+        """The same as ``library`` for lines of one space and letters each."""
+        return np.array(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.width).tobytes()
+
     def library(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype=self.width).tobytes()
 
     def learn(self, pieces: list[str]) -> None:
         """Encode the words of new pieces, those in a line and those that begin one, 2000 to a call."""
-        inside, leading = set(), set()
+        words, others, leading, marked = set(), set(), set(), []
         for p in set(pieces):
-            if p[0] != "\n":
+            if p.isalpha():
+                words.add(p)
+            elif p[0] != "\n":
                 w = p.rstrip(MARKS)
-                inside.add(w if w.isalpha() else p)
+                if w.isalpha():
+                    words.add(w)
+                    marked.append((p, w))
+                else:
+                    others.add(p)
             elif len(p) > 1:
                 leading.add(p)
-        self.known.update(self.cut(list(inside.difference(self.known)), " ", "\n "))
+        self.known.update(self.cut(list(words.difference(self.known)), " ", "\n ", letters=True))
+        self.known.update(self.cut(list(others.difference(self.known)), " ", "\n "))
+        known, marks = self.known, self.known.marks
+        for p, w in marked:
+            tail = p[len(w) :]
+            if tail not in marks:
+                marks[tail] = self.library(tail)
+            known[p] = known[w] + marks[tail]
         firsts = list(leading)
         self.known.update((p, self.feed + ids) for p, ids in self.cut(firsts, "", "", skip=1))
 
-    def cut(self, words: list[str], before: str, between: str, skip: int = 0) -> list[tuple[str, bytes]]:
+    def cut(self, words: list[str], before: str, between: str, skip: int = 0, letters: bool = False) -> list[tuple[str, bytes]]:
         """The words with their ids: they are encoded in a row, each behind a line feed (that is the word's own first
         character where ``skip`` is 1), and the ids are cut at these. Words that cannot be told apart so are left out."""
         feed, size, out = np.frombuffer(self.feed, dtype=self.width), np.dtype(self.width).itemsize, []
         for at in range(0, len(words) if len(feed) == 1 else 0, 2000):
             part = words[at : at + 2000]
-            raw = self.library((before + between.join(part))[skip:])
+            raw = (self.letters if letters else self.library)((before + between.join(part))[skip:])
             cuts = np.flatnonzero(np.frombuffer(raw, dtype=self.width) == feed[0])
             if len(cuts) == len(part) - 1:  # else the pieces are encoded one by one when asked for
                 starts, ends = [0, *(size * (cuts + 1)).tolist()], [*(size * cuts).tolist(), len(raw)]
