@@ -85,14 +85,16 @@ def fourier_jackknife(spark, sf_dir):
 
 @query(None)
 def decay_dates(spark, sf_dir):
-    """left_out (null: none), generations, and the error of the whole from dates without each chromosome."""
+    """left_out (null: none), generations, and the error of the whole from dates without each chromosome; null where too
+    few pairs have enough common samples for a curve."""
     d = adapter.load(spark, sf_dir)
     m = counts.moments(counts.allele_counts(d.genotype, d.sample))
     weighted = d.marker.join(linkage.frequency_difference(m, 1, 2), "snp")
     found = linkage.decay_sums(linkage.pair_tables(d.genotype, weighted, BAND, ("weight",)), 100_000)
     # A row for each bin and chromosome, from one count of the pairs.
-    sums = spark.createDataFrame(found.collect(), found.schema)
+    held = found.collect()
+    sums = spark.createDataFrame(held, found.schema)
     own, whole = linkage.decay_without_each(sums).toPandas(), linkage.decay(sums).toPandas()
     sizes = d.marker.groupBy("chrom").count().toPandas().set_index("chrom")["count"]
-    rows, se = numeric.dates(whole, own, sizes, 100_000 * 1e-7)
+    rows, se = numeric.dates(whole, own, sizes, 100_000 * 1e-7, sorted({r.chrom for r in held}))
     return spark.createDataFrame([(k, v, se) for k, v in rows], "left_out bigint, generations double, se double")

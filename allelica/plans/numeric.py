@@ -116,10 +116,15 @@ def sub_models(x: np.ndarray, cov: np.ndarray, least: float = -0.001) -> list[di
 
 
 def exponential_fit(d: np.ndarray, y: np.ndarray, constant: bool = True, rounds: int = 200) -> tuple[float, float, float]:
-    """(C, A, m) of y = C + A exp(-m d): a grid of rates with linear least squares, then Gauss-Newton."""
+    """(C, A, m) of y = C + A exp(-m d): a grid of rates with linear least squares, then Gauss-Newton. A rate whose
+    exponentials pass a double is no better than any other."""
 
     def linear(m: float) -> tuple[float, float, float]:
-        e = np.exp(-m * d)
+        with np.errstate(over="ignore"):
+            e = np.exp(-m * d)
+            size = e @ e
+        if not np.isfinite(size):
+            return np.inf, 0.0, 0.0
         design = np.column_stack([np.ones_like(d), e]) if constant else e[:, None]
         c = np.linalg.lstsq(design, y, rcond=None)[0]
         left = y - design @ c
@@ -134,6 +139,8 @@ def exponential_fit(d: np.ndarray, y: np.ndarray, constant: bool = True, rounds:
         scale, best = 1.0, linear(m)[0]
         while scale > 1e-6 and linear(m + scale * step[-1])[0] > best:
             scale /= 2
+        if linear(m + scale * step[-1])[0] == np.inf:
+            break
         m += scale * step[-1]
         _, c, a = linear(m)
         if abs(scale * step[-1]) < 1e-12 * abs(m):
@@ -162,16 +169,24 @@ def mixture(block_sums: DataFrame, sources: int) -> tuple[np.ndarray, np.ndarray
     return mean, np.sqrt(np.diag(cov))
 
 
-def dates(whole, own, sizes, width: float) -> tuple[list[tuple[int | None, float]], float]:
+def dates(whole, own, sizes, width: float, chroms: list[int] | None = None) -> tuple[list[tuple[int | None, float | None]], float | None]:
     """Decay rates per Morgan of the whole table (bin, regression) and of those without each chromosome (chrom, bin,
-    regression), and the jackknife error with the chromosomes' markers as weights."""
+    regression), and the jackknife error with the chromosomes' markers as weights. ``chroms`` are the chromosomes with
+    pairs, of which one alone has no row in ``own``.
 
-    def rate(table) -> float:
-        t = table.dropna(subset=["regression"]).sort_values("bin")
-        return exponential_fit((t["bin"].to_numpy(float) + 0.5) * width, t["regression"].to_numpy(float))[2]
+    A table with fewer bins than the curve has parameters fits any rate: it has none, and there is no error unless every
+    table has a rate and two chromosomes have pairs."""
 
-    full, chroms = rate(whole), sorted(own["chrom"].unique())
-    less = np.array([rate(own[own["chrom"] == c]) for c in chroms])
-    _, cov = vector(less[:, None], np.array([full]), np.array([sizes[c] for c in chroms], dtype=float))
-    rows = [(None, float(full)), *[(int(c), float(v)) for c, v in zip(chroms, less, strict=True)]]
+    def rate(table) -> float | None:
+        t = table.dropna(subset=["regression"]).sort_values("bin")
+        if t["bin"].nunique() < 3:
+            return None
+        return float(exponential_fit((t["bin"].to_numpy(float) + 0.5) * width, t["regression"].to_numpy(float))[2])
+
+    full, chroms = rate(whole), sorted(own["chrom"].unique()) if chroms is None else chroms
+    less = [rate(own[own["chrom"] == c]) for c in chroms]
+    rows = [(None, full), *[(int(c), v) for c, v in zip(chroms, less, strict=True)]]
+    if len(less) < 2 or any(v is None for _, v in rows):
+        return rows, None
+    _, cov = vector(np.array(less)[:, None], np.array([full]), np.array([sizes[c] for c in chroms], dtype=float))
     return rows, float(np.sqrt(cov[0, 0]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from allelica.functions.alleles import pair_class
 from allelica.operators import filters, fstats, jackknife, linkage, merges, qc
-from allelica.plans import basis, numeric
+from allelica.plans import basis, models, numeric
 from tests.test_operators import calls, simulated
 
 
@@ -182,6 +182,35 @@ def test_dates_of_an_exact_decay():
     assert [k for k, _ in rows] == [None, 1, 2, 3] and [v for _, v in rows] == pytest.approx([30] * 4, rel=1e-3) and se < 1
 
 
+def test_dates_of_tables_without_a_curve():
+    import pandas as pd
+
+    table = lambda **c: pd.DataFrame(c | {"regression": np.array(c["regression"], dtype=float)})
+    none = table(bin=np.zeros(0, int), regression=[])
+    assert numeric.dates(none, table(chrom=np.zeros(0, int), bin=np.zeros(0, int), regression=[]), {}, 0.01, []) == ([(None, None)], None)
+    # Two bins fit any rate; one chromosome alone leaves nothing.
+    bins = np.arange(5)
+    y = np.exp(-30 * (bins + 0.5) * 0.01)
+    two = table(chrom=[1, 1], bin=[0, 3], regression=[1.0, 0.5])
+    rows, se = numeric.dates(table(bin=bins, regression=y), two, {1: 10, 2: 20}, 0.01, [1, 2])
+    assert rows == [(None, pytest.approx(30, rel=1e-3)), (1, None), (2, None)] and se is None
+    # Steps to rates whose exponentials pass a double are not taken.
+    for seed in range(60):
+        y = np.random.default_rng(seed).normal(size=4)
+        for d in (np.array([0.0, 1, 2, 3]), np.array([0.5, 1e3, 2e3, 1e6])):
+            assert np.isfinite(numeric.exponential_fit(d, y)).all()
+
+
+def test_dates_of_calls_that_share_no_samples(spark, tmp_path):
+    """Tables so thin that no pair of markers has four common samples."""
+    table = lambda name, rows, kinds: spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
+    table("nation", [(k, k % 5) for k in range(25)], "n_nationkey int, n_regionkey int")
+    table("part", [(k,) for k in range(30)], "p_partkey bigint")
+    table("supplier", [(k, k % 25) for k in range(50)], "s_suppkey bigint, s_nationkey int")
+    table("lineitem", [(k, (7 * k + 11 * j) % 50, float(k + j)) for k in range(30) for j in range(5)], "l_partkey bigint, l_suppkey bigint, l_quantity double")
+    assert [tuple(r) for r in models.decay_dates(spark, str(tmp_path)).collect()] == [(None, None, None)]
+
+
 def test_pair_classes(spark):
     df = spark.createDataFrame([(a, b) for a in "ACGTX" for b in "ACGTX"], "a string, b string")
     got = {(r.a, r.b): r.c for r in df.select("a", "b", pair_class(F.col("a"), F.col("b")).alias("c")).collect()}
