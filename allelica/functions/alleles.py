@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +55,28 @@ def id_hash(ids: list[str]) -> str:
 def id_hash_column(ids: Column) -> Column:
     """The same over an ordered array of ids."""
     m = F.lit(0xFFFFFFFF).cast("bigint")
-    one = lambda s: F.aggregate(F.split(s, ""), F.lit(0).cast("bigint"), lambda h, c: F.when(c == "", h).otherwise((h * 23 + F.ascii(c)).bitwiseAND(m)))
-    return F.lower(F.hex(F.aggregate(ids, F.lit(0).cast("bigint"), lambda t, s: (t * 17).bitwiseAND(m).bitwiseXOR(one(s)))))
+    return F.lower(F.hex(F.aggregate(ids, F.lit(0).cast("bigint"), lambda t, s: (t * 17).bitwiseAND(m).bitwiseXOR(one_id_hash(s)))))
+
+
+def one_id_hash(s: Column) -> Column:
+    m = F.lit(0xFFFFFFFF).cast("bigint")
+    return F.aggregate(F.split(s, ""), F.lit(0).cast("bigint"), lambda h, c: F.when(c == "", h).otherwise((h * 23 + F.ascii(c)).bitwiseAND(m)))
 
 
 def ordered_hash(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """One row: hash of a sample or marker table's ids in file order. The list has one id per row of the table."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).cast("string").alias("s")))), lambda x: x["s"])
-    return rows.agg(id_hash_column(ids).alias("hash"))
+    """One row: hash of a sample or marker table's ids in file order. Ids are hashed where they are; their hashes, 12 bytes
+    a row of the table, pass one task in order as a stream, as each step needs the one before."""
+    own = rows.select(F.col(order).alias("o"), one_id_hash(F.col(name).cast("string")).alias("h"))
+
+    def run(batches):
+        total = 0
+        for b in batches:
+            for h in b.column("h").to_pylist():
+                total = ((total * 17) & 0xFFFFFFFF) ^ h
+        yield pa.RecordBatch.from_arrays([pa.array([f"{total:x}"])], ["hash"])
+
+    folded = own.repartition(1).sortWithinPartitions("o", "h").select("h").mapInArrow(run, "hash string")
+    return folded.agg(F.coalesce(F.max("hash"), F.lit("0")).alias("hash"))
 
 
 def pair_class(a: Column, b: Column) -> Column:

@@ -30,7 +30,8 @@ def dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     # Ids of the tables run from 0 without gaps, as places do.
     marker = alleles(d).select("snp", "chrom", (F.col("genpos") / F.lit(1e7)).alias("genpos"), "physpos", "ref", "alt", F.col("snp").alias("ord"))
     sample = d.sample.select("sample", "sex", "pop", F.col("sample").alias("ord"))
-    held = d.genotype.join(marker.select("snp"), "snp", "left_semi").join(sample.select("sample"), "sample", "left_semi")
+    own = lambda table, name: formats.beside(table.select(name), table.count())
+    held = d.genotype.join(own(d.marker, "snp"), "snp", "left_semi").join(own(d.sample, "sample"), "sample", "left_semi")
     return held, marker, sample
 
 

@@ -79,11 +79,21 @@ def read_fam(spark: SparkSession, path: str, family_names: bool = True) -> DataF
     return _lines(spark, path).select(name.alias("sample"), sex.alias("sex"), label.alias("pop"), "ord", f[5].isin("0", "9", "-9").alias("ignored"))
 
 
+#: Rows of a marker or sample table that Spark may send whole to every task.
+SENT_WHOLE = 500_000
+
+
+def beside(table: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` rows to join calls to. A narrow column of a wide file seems small to Spark, which would send millions
+    of rows whole through the driver: longer tables are shuffled with the calls."""
+    return table.hint("shuffle_hash") if n > SENT_WHOLE else table
+
+
 def _named(cells: DataFrame, marker: DataFrame, sample: DataFrame) -> DataFrame:
     """Cells (m, s, g) by place become calls by name; ignored samples go."""
     use = sample.where(~F.col("ignored")) if "ignored" in sample.columns else sample
-    rows = cells.join(marker.select(F.col("ord").alias("m"), "snp"), "m")
-    return rows.join(use.select(F.col("ord").alias("s"), "sample"), "s").select("snp", "sample", F.col("g").cast("bigint").alias("g"))
+    rows = cells.join(beside(marker.select(F.col("ord").alias("m"), "snp"), marker.count()), "m")
+    return rows.join(beside(use.select(F.col("ord").alias("s"), "sample"), sample.count()), "s").select("snp", "sample", F.col("g").cast("bigint").alias("g"))
 
 
 #: Digits of a piece of an EIGENSTRAT line.
@@ -131,10 +141,10 @@ def read_ped(spark: SparkSession, path: str, marker: DataFrame, family_names: bo
     return counted.where("n = 2").select("snp", "sample", "g")
 
 
-def _wanted(rows: DataFrame, held: int) -> list[int] | None:
-    """The places of a sample or marker table, where they are fewer than a file's rows; a number for each of its rows."""
-    places = [r.ord for r in rows.select("ord").collect()]
-    return places if len(places) < held else None
+def _wanted(rows: DataFrame, held: int) -> np.ndarray | None:
+    """The places of a sample or marker table, where they are fewer than a file's rows: eight bytes for each. A whole
+    table's are not fetched."""
+    return rows.select("ord").toArrow().column("ord").to_numpy() if rows.count() < held else None
 
 
 def read_packed(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame, check: bool = True) -> DataFrame:
@@ -148,8 +158,9 @@ def read_packed(spark: SparkSession, path: str, marker: DataFrame, sample: DataF
             raise ValueError("the header does not fit the marker and sample tables")
     use = sample.where(~F.col("ignored")) if "ignored" in sample.columns else sample
     wanted = _wanted(use if own.kind == "TGENO" else marker, own.rows)
-    rows = packed.read(spark, path, wanted, own.n_ind)
-    return _named(packed.calls(rows, own.kind, own.columns), marker, sample)
+    k, at = ("s", "m") if own.kind == "TGENO" else ("m", "s")
+    cells = packed.read_calls(spark, path, wanted, own.n_ind)
+    return _named(cells.select(F.col("k").alias(k), F.col("at").alias(at), "g"), marker, sample)
 
 
 def read_bed(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame) -> DataFrame:
@@ -199,17 +210,17 @@ def packed_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame, kind:
 
 
 def write_packed(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path: str, kind: str = "GENO") -> None:
-    """A folder of packed parts (GENO, TGENO or BED) with the id hashes of the tables, whose ``ord`` count from 0.
-
-    TGENO is made of packed marker rows by turning tiles, not from single calls.
-    """
+    """A folder of packed parts (GENO, TGENO or BED) with the id hashes of the tables, whose ``ord`` count from 0."""
     kind = kind.upper()
     n_ind, n_snp = sample.count(), marker.count()
-    rows = packed_rows(genotype, marker, sample, "bed" if kind == "BED" else "geno").withColumnRenamed("ord", "k")
-    if kind == "TGENO":
-        rows = packed.transposed(rows, n_snp, n_ind, packed.row_bytes("TGENO", n_snp))
+    cells = genotype.join(beside(marker.select("snp", F.col("ord").alias("m")), n_snp), "snp").join(beside(sample.select("sample", F.col("ord").alias("s")), n_ind), "sample")
+    (k, rows), at = ((("s", sample), "m") if kind == "TGENO" else (("m", marker), "s"))
     hashes = [ordered_hash(t, c, "ord").first()["hash"] for t, c in ((sample, "sample"), (marker, "snp"))]
-    packed.write(rows, path, kind, n_ind, n_snp, tuple(hashes), dealt=True)
+    if kind == "TGENO":
+        rows = packed.transposed(packed_rows(genotype, marker, sample).withColumnRenamed("ord", "k"), n_snp, n_ind, packed.row_bytes("TGENO", n_snp))
+        packed.write(rows, path, kind, n_ind, n_snp, tuple(hashes), dealt=True)
+        return
+    packed.write_calls(cells.select(F.col(k).alias("k"), F.col(at).alias("at"), "g"), rows.select(F.col("ord").alias("k")), path, kind, n_ind, n_snp, tuple(hashes))
 
 
 def transpose_packed(spark: SparkSession, path: str, out: str) -> None:
