@@ -216,10 +216,6 @@ def write_packed(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path
     cells = genotype.join(beside(marker.select("snp", F.col("ord").alias("m")), n_snp), "snp").join(beside(sample.select("sample", F.col("ord").alias("s")), n_ind), "sample")
     (k, rows), at = ((("s", sample), "m") if kind == "TGENO" else (("m", marker), "s"))
     hashes = [ordered_hash(t, c, "ord").first()["hash"] for t, c in ((sample, "sample"), (marker, "snp"))]
-    if kind == "TGENO":
-        rows = packed.transposed(packed_rows(genotype, marker, sample).withColumnRenamed("ord", "k"), n_snp, n_ind, packed.row_bytes("TGENO", n_snp))
-        packed.write(rows, path, kind, n_ind, n_snp, tuple(hashes), dealt=True)
-        return
     packed.write_calls(cells.select(F.col(k).alias("k"), F.col(at).alias("at"), "g"), rows.select(F.col("ord").alias("k")), path, kind, n_ind, n_snp, tuple(hashes))
 
 

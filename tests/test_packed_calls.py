@@ -96,3 +96,16 @@ def test_hash_of_ids_is_no_list(spark):
     assert hashed.first().hash == id_hash(ids)
     assert "collect_list" not in hashed._jdf.queryExecution().executedPlan().toString()
     assert ordered_hash(df.where("ord < 0"), "id", "ord").first().hash == "0"
+
+
+def test_transposed_rows_are_made_of_calls(spark, tmp_path, monkeypatch):
+    """20 GB of TGENO rows, of which a task makes those that have a call; no marker row is made on the way."""
+    monkeypatch.setattr(packed, "transposed", None)
+    n_snp, n_ind = 800_000, 100_000
+    marker = spark.range(n_snp).select(F.col("id").alias("snp"), F.col("id").alias("ord"))
+    sample = spark.range(n_ind).select(F.col("id").alias("sample"), F.col("id").alias("ord"), (F.col("id") % 500).alias("pop"))
+    g = spark.range(3000).select((F.col("id") * 7919 % n_snp).alias("snp"), (F.col("id") * 13 % n_ind).alias("sample"), (F.col("id") % 3).alias("g"))
+    formats.write_packed(g, marker, sample, str(tmp_path / "x"), "TGENO")
+    assert sum(size for part in packed.layout(str(tmp_path / "x")).frames for size, _ in part) < 200_000
+    back = formats.read_packed(spark, str(tmp_path / "x"), marker, sample.where("pop = 7"), check=False)
+    assert sorted(back.collect()) == sorted(g.where("sample % 500 = 7").collect())
