@@ -220,11 +220,16 @@ def write_packed(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path
 
 
 def transpose_packed(spark: SparkSession, path: str, out: str) -> None:
-    """A GENO dataset as a TGENO folder, or the other way: two-bit tiles are exchanged and nothing is unpacked."""
+    """A GENO dataset as a TGENO folder, or the other way: where calls are few they change places one by one, otherwise
+    two-bit tiles are exchanged and nothing is unpacked."""
     own = packed.layout(path)
     kind = {"GENO": "TGENO", "TGENO": "GENO"}.get(own.kind)
     if kind is None:
         raise ValueError("only GENO and TGENO are each other's transposes")
+    if own.few_calls:
+        cells = packed.read_calls(spark, path).select(F.col("at").alias("k"), F.col("k").alias("at"), "g")
+        packed.write_calls(cells, spark.range(own.columns).withColumnRenamed("id", "k"), out, kind, own.n_ind, own.n_snp, own.hashes)
+        return
     turned = packed.transposed(packed.read(spark, path), own.rows, own.columns, packed.row_bytes(kind, own.rows))
     packed.write(turned, out, kind, own.n_ind, own.n_snp, own.hashes, dealt=True)
 

@@ -73,6 +73,26 @@ def test_rows_and_calls_that_are_not_there(tmp_path, monkeypatch):
     assert (tmp_path / "one").read_bytes() == plain_file(g, "GENO")
 
 
+def test_work_follows_the_calls(spark, tmp_path):
+    """20 GB of packed rows with 3,000 calls: turned and turned back."""
+    n_snp, n_ind = 200_000, 400_000
+    made = spark.range(3000).select((F.col("id") * 7919 % n_snp).alias("k"), (F.col("id") * 104_729 % n_ind).alias("at"), (F.col("id") % 3).cast("int").alias("g"))
+    packed.write_calls(made, spark.range(n_snp).withColumnRenamed("id", "k"), str(tmp_path / "a"), "GENO", n_ind, n_snp)
+    assert packed.layout(str(tmp_path / "a")).few_calls
+    formats.transpose_packed(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    formats.transpose_packed(spark, str(tmp_path / "b"), str(tmp_path / "c"))
+    want = sorted(map(tuple, made.collect()))
+    for name, turned in (("a", False), ("b", True), ("c", False)):
+        own = packed.layout(str(tmp_path / name))
+        assert (own.kind, own.rows) == (("TGENO", n_ind) if turned else ("GENO", n_snp))
+        assert sum(size for part in own.frames for size, _ in part) < 200_000
+        found = packed.read_calls(spark, str(tmp_path / name))
+        assert found.rdd.getNumPartitions() == 1
+        assert sorted((r.at, r.k, r.g) if turned else tuple(r) for r in found.collect()) == want
+    one = packed.read(spark, str(tmp_path / "c"), [7919]).first()
+    assert len(one.raw) == n_ind // 4 and len(packed.present(packed.matrix(pa.array([bytes(one.raw)])), n_ind)[0]) == sum(k == 7919 for k, _, _ in want)
+
+
 @pytest.mark.parametrize("kind", ["GENO", "TGENO", "BED"])
 def test_long_tables_are_not_sent_whole(spark, tmp_path, monkeypatch, kind):
     """Neither joined by a broadcast through the driver nor fetched by it."""
