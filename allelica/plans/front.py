@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from allelica.operators import blocks, counts, filters, fstats, jackknife, linkage, transforms
 from allelica.plans import basis, graph, numeric
-from allelica.sources import formats
+from allelica.sources import formats, packed
 from allelica.sources import parameters as par
 
 UNITS = 1e7  # positions are kept in 1e-7 Morgan
@@ -37,7 +37,9 @@ def load(spark: SparkSession, p: dict[str, str]) -> Data:
 
 
 def genotype(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame) -> DataFrame:
-    """The calls of a file of any format, by its first line."""
+    """The calls of a file of any format, by its first line, or of a folder by its manifest."""
+    if packed.is_folder(path):
+        return (formats.read_eigenstrat if packed.layout(path).kind == packed.TEXT else formats.read_packed)(spark, path, marker, sample)
     first = spark.read.text(path).first()
     head = first.value if first else ""
     if head.startswith(("GENO", "TGENO")):
@@ -294,7 +296,7 @@ PACKED = {"PACKEDANCESTRYMAP": "GENO", "GENO": "GENO", "TGENO": "TGENO", "TRANSP
 
 
 def write(d: Data, p: dict[str, str]) -> None:
-    """The dataset in ``outputformat``: EIGENSTRAT, ANCESTRYMAP or PED as folders of text parts, packed ones as folders
+    """The dataset in ``outputformat``: ANCESTRYMAP or PED as folders of text parts, EIGENSTRAT and packed ones as folders
     with a manifest."""
     kind = p.get("outputformat", "EIGENSTRAT").upper()
     places = d.sample.select("sample").distinct().count()

@@ -101,10 +101,13 @@ PIECE = 1024
 
 
 def read_eigenstrat(spark: SparkSession, path: str, marker: DataFrame, sample: DataFrame) -> DataFrame:
-    """A line per marker, a digit per sample, 9 missing; a line that begins with X is all missing.
+    """A line per marker, a digit per sample, 9 missing; a line that begins with X is all missing. A folder of
+    ``write_eigenstrat`` is read by its frames, any other text by Spark's reader.
 
-    Lines are cut into pieces, and those of missing calls alone are left out, so that what a task holds does not grow
+    There lines are cut into pieces, and those of missing calls alone are left out, so that what a task holds does not grow
     with the samples."""
+    if packed.is_folder(path):
+        return _named(packed.read_calls(spark, path).select(F.col("k").alias("m"), F.col("at").alias("s"), "g"), marker, sample)
     lines = _lines(spark, path).where(~F.col("line").startswith("X"))
     digits = F.trim("line").cast("binary")
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("digits") - 1) / PIECE).cast("int")), lambda k: F.substring(F.col("digits"), k * PIECE + 1, F.lit(PIECE)))
@@ -194,8 +197,11 @@ def eigenstrat_lines(genotype: DataFrame, marker: DataFrame, sample: DataFrame)
 
 
 def write_eigenstrat(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path: str) -> None:
-    """A folder of gzipped text parts whose order is the markers': a line has a digit for every sample, called or not."""
-    eigenstrat_lines(genotype, marker, sample).write.option("compression", "gzip").text(path)
+    """A folder of text parts, compressed by zstd, whose order is the markers': a line has a digit for every sample, called
+    or not, and its length is known, so lines are made of the calls as they come. ``packed.single_file`` makes plain text of
+    it."""
+    n_ind, n_snp = sample.count(), marker.count()
+    packed.write_calls(_places(genotype, marker, sample, "m", "s"), marker.select(F.col("ord").alias("k")), path, packed.TEXT, n_ind, n_snp)
 
 
 def write_ancestrymap(genotype: DataFrame, path: str) -> None:
@@ -209,14 +215,19 @@ def packed_rows(genotype: DataFrame, marker: DataFrame, sample: DataFrame, kind:
     return rows.withColumnRenamed("k", "ord")  # in order
 
 
+def _places(genotype: DataFrame, marker: DataFrame, sample: DataFrame, k: str, at: str) -> DataFrame:
+    """k, at, g: calls by places of markers m and samples s."""
+    own = beside(marker.select("snp", F.col("ord").alias("m")), marker.count()), beside(sample.select("sample", F.col("ord").alias("s")), sample.count())
+    return genotype.join(own[0], "snp").join(own[1], "sample").select(F.col(k).alias("k"), F.col(at).alias("at"), "g")
+
+
 def write_packed(genotype: DataFrame, marker: DataFrame, sample: DataFrame, path: str, kind: str = "GENO") -> None:
     """A folder of packed parts (GENO, TGENO or BED) with the id hashes of the tables, whose ``ord`` count from 0."""
     kind = kind.upper()
     n_ind, n_snp = sample.count(), marker.count()
-    cells = genotype.join(beside(marker.select("snp", F.col("ord").alias("m")), n_snp), "snp").join(beside(sample.select("sample", F.col("ord").alias("s")), n_ind), "sample")
     (k, rows), at = ((("s", sample), "m") if kind == "TGENO" else (("m", marker), "s"))
     hashes = [ordered_hash(t, c, "ord").first()["hash"] for t, c in ((sample, "sample"), (marker, "snp"))]
-    packed.write_calls(cells.select(F.col(k).alias("k"), F.col(at).alias("at"), "g"), rows.select(F.col("ord").alias("k")), path, kind, n_ind, n_snp, tuple(hashes))
+    packed.write_calls(_places(genotype, marker, sample, k, at), rows.select(F.col("ord").alias("k")), path, kind, n_ind, n_snp, tuple(hashes))
 
 
 def transpose_packed(spark: SparkSession, path: str, out: str) -> None:
